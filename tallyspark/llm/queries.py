@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, sharding, telephony, warc
+from . import language, near, packing, pieces, sharding, telephony, topk, warc
 from .common import read
 
 
@@ -24,10 +24,32 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = topk.top_k(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+    return best.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP2_SQL = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.text_media(read(spark, sf_dir, "documents"))
 
 
+def op5_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=2048)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(warc.write_archive(read(spark, sf_dir, "pages"))).drop("url")
 
@@ -40,15 +62,30 @@ FROM (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION B
 """
 
 
+def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_components(read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    judged = language.identify(docs.drop("lang"), language.fit(docs.where(~F.col("held_out")).drop("doc_id")))
+    return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_topk": op2_topk,
     "op4_media": op4_media,
+    "op5_bin_slack": op5_bin_slack,
     "op6_warc": op6_warc,
+    "op7_odd_sketch": op7_odd_sketch,
     "op8_jump_shards": op8_jump_shards,
+    "op9_language": op9_language,
 }
 
-ORACLES: dict[str, str] = {"op6_warc": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op6_warc": OP6_SQL}
