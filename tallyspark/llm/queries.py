@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near, packing, pieces, sharding, telephony, topk, warc
+from . import language, near, packing, pieces, repeats, sharding, telephony, topk, warc
 from .common import read
 
 
@@ -77,6 +77,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return repeats.without_repeats(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_topk": op2_topk,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_odd_sketch": op7_odd_sketch,
     "op8_jump_shards": op8_jump_shards,
     "op9_language": op9_language,
+    "op10_run_index": op10_run_index,
 }
 
 ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op6_warc": OP6_SQL}
