@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near, packing, pieces, repeats, sharding, telephony, topk, warc
+from . import language, near, packing, passages, pieces, repeats, sharding, telephony, topk, warc
 from .common import read
 
 
@@ -42,6 +42,10 @@ FROM scored QUALIFY rank <= 20
 """
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(read(spark, sf_dir, "documents"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.text_media(read(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_topk": op2_topk,
+    "op3_compact_windows": op3_compact_windows,
     "op4_media": op4_media,
     "op5_bin_slack": op5_bin_slack,
     "op6_warc": op6_warc,
