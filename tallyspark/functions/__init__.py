@@ -1,0 +1 @@
+"""Column expressions: nothing here runs anything."""

@@ -1,0 +1 @@
+"""Readers of raw payloads and tables."""
