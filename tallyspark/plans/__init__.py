@@ -1,6 +1,6 @@
 """The operators applied to whole tables, by name, with equivalent SQL."""
 
-from tallyspark.plans import factors
+from tallyspark.plans import factors, players
 from tallyspark.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "factors"]
+__all__ = ["ORACLES", "QUERIES", "factors", "players"]
