@@ -134,7 +134,7 @@ def test_estimates_follow_similarity():
             n = int(600 * 2 * share / (1 + share))
             y = np.concatenate([x[:n], rng.integers(0, 1 << 63, 600 - n, dtype=np.uint64)])
             a, b = (near.samples(np.sort(z), np.array([0, len(z)])) for z in (x, y))
-            apart = int(np.bitwise_count(near.odd_sketch(a) ^ near.odd_sketch(b)).sum())
+            apart = int(np.bitwise_count((near.odd_sketch(a) ^ near.odd_sketch(b)).view(np.uint64)).sum())
             found.append(1 + math.log(1 - 2 * apart / near.BITS) * near.BITS / (4 * near.SAMPLES))
         assert abs(np.mean(found) - share) < 0.02
 
