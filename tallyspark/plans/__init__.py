@@ -1,6 +1,6 @@
 """The operators applied to whole tables, by name, with equivalent SQL."""
 
-from tallyspark.plans import factors, models, players
+from tallyspark.plans import factors, models, players, scalars
 from tallyspark.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "factors", "models", "players"]
+__all__ = ["ORACLES", "QUERIES", "factors", "models", "players", "scalars"]
