@@ -1,0 +1 @@
+"""Incremental forms of operators that are naturally incremental."""
