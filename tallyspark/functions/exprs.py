@@ -62,7 +62,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle miles."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_MILES * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * EARTH_MILES * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # least() would skip a null
 
 
 def iso_clock_seconds(x: str | Column) -> Column:

@@ -14,17 +14,15 @@ COUNTS = ["fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "oreb", "dreb", "tov", "pt
 def with_opponent(teams: DataFrame, counts: list[str] = COUNTS, game: str = "game_id", team: str = "team_id", names: tuple[str, ...] = ()) -> DataFrame:
     """Each row of a two-row game beside the other: `opp_` columns. One shuffle by game; a game of any other size raises.
 
-    A game's rows are gathered in an aggregate of at most two structs that matter, so the check and the pairing are the
-    same pass.
+    The count that the check needs and the other row come from windows over the same partitioning.
     """
     carried = [team, *names, *counts]
     both = W.partitionBy(game).orderBy(team).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     other = W.partitionBy(game).orderBy(team)
-    pick = lambda c: F.coalesce(F.lead(c).over(other), F.lag(c).over(other))
     sized = teams.withColumn("_n", F.count("*").over(both))
     bad = F.raise_error(F.concat(F.lit("game without exactly two rows: "), F.col(game).cast("string")))
-    checked = sized.withColumn(game, F.when(F.col("_n") == 2, F.col(game)).otherwise(bad.cast(teams.schema[game].dataType)))
-    return checked.withColumns({f"opp_{c}": pick(c) for c in carried}).drop("_n")
+    pick = lambda c: F.when(F.col("_n") == 2, F.coalesce(F.lead(c).over(other), F.lag(c).over(other))).otherwise(bad.cast(teams.schema[c].dataType))
+    return sized.withColumns({f"opp_{c}": pick(c) for c in carried}).drop("_n")
 
 
 def with_factors(paired: DataFrame) -> DataFrame:

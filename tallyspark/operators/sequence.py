@@ -44,7 +44,8 @@ def normalised(feed: DataFrame) -> DataFrame:
         .when(action == "Foul", "foul")
         .when((action == "period") & (sub == "end"), "period_end")
     )
-    pts = F.when(made & (F.col("kind") == "shot"), F.when(desc.contains("3PT"), 3).otherwise(2)).when(made & (F.col("kind") == "ft"), 1).otherwise(0)
+    scored = F.col("made")
+    pts = F.when(scored & (F.col("kind") == "shot"), F.when(desc.contains("3PT"), 3).otherwise(2)).when(scored & (F.col("kind") == "ft"), 1).otherwise(0)
     part = lambda i: F.regexp_extract(sub, r"(\d+) of (\d+)", i).try_cast("int")
     rows = feed.select(
         F.lpad("gameId", 10, "0").alias("game_id"),
@@ -149,7 +150,7 @@ def stints(events: DataFrame, starters: DataFrame, size: int = 5) -> DataFrame:
 
     def walk(rows: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in STINT.split(", ")]
-        floor = {s: set(first.pid[first.side == s]) for s in ("home", "away")}
+        floor = {s: set(first.pid[first.side == s]) if len(first) else set() for s in ("home", "away")}
         if not len(rows) or any(len(x) != size for x in floor.values()):
             return pd.DataFrame([], columns=names)
         rows = rows.sort_values("feed_pos")
@@ -172,7 +173,9 @@ def stints(events: DataFrame, starters: DataFrame, size: int = 5) -> DataFrame:
 
     key = ["game_id", "period"]
     rows = events.select(*key, "feed_pos", "at", "kind", "side", "pid", F.col("sub_in").cast("double"), "pts")
-    return rows.groupBy(*key).cogroup(starters.groupBy(*key)).applyInPandas(walk, STINT)
+    # aliases make new columns: both sides may come from the same events
+    first = starters.select(*[F.col(c).alias(c) for c in (*key, "side", "pid")])
+    return rows.groupBy(*key).cogroup(first.groupBy(*key)).applyInPandas(walk, STINT)
 
 
 def lineup_channels(found: DataFrame) -> DataFrame:

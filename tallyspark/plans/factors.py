@@ -122,7 +122,7 @@ def with_venue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VENUE = """venue AS (SELECT *, CAST(25 + host * 7 % 24 AS DOUBLE) AS lat, CAST(-120 + host * 13 % 50 AS DOUBLE) AS lon, CAST(-8 + host % 4 AS INTEGER) AS utc FROM (SELECT *, min(team_id) OVER (PARTITION BY game_id) AS host FROM team)),
 legs AS (SELECT *, lag(game_date) OVER w AS d0, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lag(utc) OVER w AS utc0 FROM venue WINDOW w AS (PARTITION BY season, team_id ORDER BY game_date, game_id)),
-miles AS (SELECT *, coalesce(2 * 3958.7613 * asin(sqrt(least(1.0, power(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * power(sin(radians(lon - lon0) / 2), 2)))), 0) AS leg FROM legs)"""
+miles AS (SELECT *, CASE WHEN d0 IS NULL THEN 0 ELSE 2 * 3958.7613 * asin(sqrt(least(1.0, power(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * power(sin(radians(lon - lon0) / 2), 2)))) END AS leg FROM legs)"""
 
 
 @query(
