@@ -1,6 +1,6 @@
 """The operators applied to whole tables, by name, with equivalent SQL."""
 
-from tallyspark.plans import factors, models, players, plays, scalars
+from tallyspark.plans import factors, forecasts, models, players, plays, scalars
 from tallyspark.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "factors", "models", "players", "plays", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "factors", "forecasts", "models", "players", "plays", "scalars"]
