@@ -1,15 +1,18 @@
 """Content-addressed WARC archive.
 
-Payload bytes are stored once, under a SHA-256 digest that is verified when they are read; the exact header of every
-record is stored apart. Joining the two on the digest gives the original records again, byte for byte.
+Payload bytes are stored once, compressed, under a SHA-256 digest that is verified when they are read; the exact header
+of every record is stored apart. Joining the two on the digest gives the original records again, byte for byte.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import shared_dir, stored
 
@@ -24,6 +27,19 @@ class Archive:
     payloads: DataFrame
 
 
+@F.pandas_udf(BinaryType())
+def squeezed(payload: pd.Series) -> pd.Series:
+    """Zstandard frames; a column's frames hold their content's size."""
+    coder = zstandard.ZstdCompressor(level=3)
+    return payload.map(coder.compress, na_action="ignore")
+
+
+@F.pandas_udf(BinaryType())
+def unsqueezed(frame: pd.Series) -> pd.Series:
+    coder = zstandard.ZstdDecompressor()
+    return frame.map(coder.decompress, na_action="ignore")
+
+
 def record_header(kind: Column, page_id: Column, url: Column, sha1: Column, length: Column, target: Column) -> Column:
     """The bytes of a record before its payload. A revisit carries no payload and names the record that does."""
     revisit = kind == "revisit"
@@ -55,15 +71,14 @@ def write_archive(pages: DataFrame, revisit_from: int = 1000) -> Archive:
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), payload.alias("payload"))
-    rows = rows.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("length"))
-    best = rows.groupBy("digest", "length").agg(F.max("page_id").alias("best"))
-    rows = rows.join(best, ["digest", "length"])
-    first = F.col("page_id").eqNullSafe(F.col("best"))
-    kind = F.when((F.col("length") >= revisit_from) & ~first, "revisit").otherwise("response")
-    head = record_header(kind, F.col("page_id"), F.col("url"), F.sha1("payload"), F.col("length"), F.col("best"))
-    headers = stored(rows.select("page_id", head.alias("header"), "digest"), "warc-headers")
-    keeper = rows.where(first).select("digest", "length", "payload")
-    payloads = stored(keeper.dropDuplicates(["digest", "length"]), "warc-payloads")
+    rows = rows.select("*", F.unhex(F.sha2("payload", 256)).alias("digest"))
+    facts = stored(rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("length"), F.sha1("payload").alias("sha1")), "warc-facts")
+    best = facts.groupBy("digest").agg(F.max("page_id").alias("best"))
+    facts = facts.join(best, "digest")
+    kind = F.when((F.col("length") >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("best")), "revisit").otherwise("response")
+    head = record_header(kind, F.col("page_id"), F.col("url"), F.col("sha1"), F.col("length"), F.col("best"))
+    headers = stored(facts.select("page_id", kind.alias("kind"), head.alias("header"), "digest"), "warc-headers")
+    payloads = stored(rows.select("digest", squeezed("payload").alias("frame")).dropDuplicates(["digest"]), "warc-payloads")
     return Archive(headers, payloads)
 
 
@@ -73,18 +88,17 @@ def field(header: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def checked_payloads(archive: Archive) -> DataFrame:
-    """The stored payloads whose bytes still have the digest and length that they are stored under; others raise."""
-    sound = (F.sha2("payload", 256) == F.col("digest")) & (F.octet_length("payload") == F.col("length"))
-    return archive.payloads.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not match its digest")).cast("binary")))
-
-
 def records(archive: Archive) -> DataFrame:
-    """Every original record again: page_id, record (header, payload unless it is a revisit, two line ends)."""
+    """Every original record again: page_id, kind, record (header, payload unless it is a revisit, two line ends).
+
+    A payload whose bytes don't have the digest that they are stored under raises.
+    """
     end = F.lit((CRLF * 2).encode())
-    heads = archive.headers.withColumn("kind", field(F.decode("header", "utf-8"), "WARC-Type"))
-    full = heads.where("kind = 'response'").join(checked_payloads(archive), "digest").select("page_id", F.concat("header", "payload", end).alias("record"))
-    return full.unionByName(heads.where("kind = 'revisit'").select("page_id", F.concat("header", end).alias("record")))
+    heads = archive.headers
+    full = heads.where("kind = 'response'").join(archive.payloads, "digest").select("page_id", "kind", "header", "digest", unsqueezed("frame").alias("payload"))
+    sound = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not match its digest")).cast("binary"))
+    full = full.select("page_id", "kind", F.concat("header", sound, end).alias("record"))
+    return full.unionByName(heads.where("kind = 'revisit'").select("page_id", "kind", F.concat("header", end).alias("record")))
 
 
 def read_archive(archive: Archive) -> DataFrame:
@@ -96,15 +110,17 @@ def read_archive(archive: Archive) -> DataFrame:
     parts = F.split(F.decode("record", "utf-8"), CRLF * 2, 3)
     head = F.concat(parts[0], F.lit(CRLF))
     body = F.substring(parts[2], F.lit(1), F.length(parts[2]) - 4).cast("binary")
-    rows = records(archive).select(
+    split = records(archive).select("page_id", head.alias("head"), body.alias("body"))
+    rows = split.select(
         "page_id",
-        field(head, "WARC-Type").alias("record_type"),
-        F.regexp_extract(F.coalesce(field(head, "WARC-Payload-Digest"), F.lit("")), "sha1:(.*)", 1).alias("said"),
-        F.regexp_extract(F.coalesce(field(head, "WARC-Refers-To"), F.lit("")), r"<urn:page:(-?\d+)>", 1).alias("target"),
-        F.url_decode(field(head, "WARC-Target-URI")).alias("url"),
-        F.sha1(body).alias("found"),
-        F.octet_length(body).cast("long").alias("payload_bytes"),
+        field(F.col("head"), "WARC-Type").alias("record_type"),
+        F.regexp_extract(F.coalesce(field(F.col("head"), "WARC-Payload-Digest"), F.lit("")), "sha1:(.*)", 1).alias("said"),
+        F.regexp_extract(F.coalesce(field(F.col("head"), "WARC-Refers-To"), F.lit("")), r"<urn:page:(-?\d+)>", 1).alias("target"),
+        F.url_decode(field(F.col("head"), "WARC-Target-URI")).alias("url"),
+        F.sha1("body").alias("found"),
+        F.octet_length("body").cast("long").alias("payload_bytes"),
     )
+    rows = stored(rows, "warc-read")
     sound = F.when(F.col("said") == F.col("found"), F.col("found")).otherwise(F.raise_error(F.lit("a record's digest does not match its payload")).cast("string"))
     responses = rows.where("record_type = 'response'").select("page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "url")
     named = responses.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("said")).agg(F.max("payload_bytes").alias("payload_bytes"))
