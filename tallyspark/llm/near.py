@@ -80,11 +80,17 @@ def parts(texts: list[bytes], most: int = 400_000) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n (distinct shingles), content (digest of the set), bands and sketch; the last three are null if n is 0."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0)
             texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
             for a, b in parts(texts):
@@ -108,7 +114,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     """doc_id and set: the sorted distinct shingle hashes, as an array of long."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
             for a, b in parts(texts):
                 hashes, start = distinct(*shingles(texts[a:b], size))

@@ -24,12 +24,12 @@ from .sharding import with_slots
 
 #: The pre-tokenisation pattern of the byte-level vocabulary. Fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Distinct words that a task remembers before it starts afresh.
+REMEMBERED = 300_000
 
 
 class WordIds:
-    """Ids of whole texts by a byte-level `tokenizers` file; each distinct word is encoded once per worker."""
+    """Ids of whole texts by a byte-level `tokenizers` file; each distinct word is encoded once per task."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -72,19 +72,22 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_ids(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                keys = part.column(0).to_pylist()
-                out = []
-                for key, ids in zip(keys, tok.encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
-                    ids += b"\0\0\0\0"
-                    n = len(ids) // 4
-                    first = n % capacity or capacity
-                    bounds = [0, *range(first, n + 1, capacity)]
-                    out += [(key, k, a, b - a, ids[4 * a : 4 * b]) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    keys = part.column(0).to_pylist()
+                    out = []
+                    for key, ids in zip(keys, tok.encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
+                        ids += b"\0\0\0\0"
+                        n = len(ids) // 4
+                        first = n % capacity or capacity
+                        bounds = [0, *range(first, n + 1, capacity)]
+                        out += [(key, k, a, b - a, ids[4 * a : 4 * b]) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids"])
+        finally:
+            tok.known.clear()  # the worker lives on for other stages
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 

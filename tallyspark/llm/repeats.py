@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -131,12 +132,11 @@ def key_of(hashed: np.ndarray) -> np.ndarray:
     return hashed >> np.uint64(16)
 
 
-def dealt(kind: int, bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+def dealt(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
     """The ranges of a sorted bucket column."""
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        if cuts[b] < cuts[b + 1]:
-            yield b, slice(cuts[b], cuts[b + 1])
+    start = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(bucket)], strict=False):
+        yield int(bucket[a]), slice(a, b)
 
 
 def anchor_keys(buckets: int, text: str, key: str):
@@ -157,7 +157,7 @@ def anchor_keys(buckets: int, text: str, key: str):
                 bucket = ((hashed & np.uint64(0xFFFF)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 keys, bucket = key_of(hashed[order]), bucket[order]
-                out = [(b, pack6(keys[part])) for b, part in dealt(0, bucket, buckets)]
+                out = [(b, pack6(keys[part])) for b, part in dealt(bucket)]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([number] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "batch", "keys"])
 
     return made
@@ -182,6 +182,15 @@ def shared_keys(hot: int):
     return made
 
 
+@lru_cache(maxsize=2)
+def usual_powers(base: int) -> np.ndarray:
+    return powers(base, BATCH + 1)
+
+
+def powers_of(base: int, n: int) -> np.ndarray:
+    return usual_powers(base)[:n] if n <= BATCH + 1 else powers(base, n)
+
+
 class Stretches:
     """The text of a batch around its shared anchors: places, and the distinct stretches that they show."""
 
@@ -203,9 +212,10 @@ class Stretches:
         else:
             singles = 0
         sums = np.zeros(len(flat) + 1, np.uint64)
-        up = powers(_BASE, len(flat))
-        np.cumsum(_BYTES[flat] * up, out=sums[1:])
-        down = powers(pow(_BASE, -1, 1 << 64), len(flat) + 1)
+        np.take(_BYTES, flat, out=sums[1:])
+        sums[1:] *= powers_of(_BASE, len(flat))
+        np.cumsum(sums, out=sums)
+        down = powers_of(pow(_BASE, -1, 1 << 64), len(flat) + 1)
         size = last - first + SPAN
         print_ = mix((sums[first + size] - sums[first]) * down[first] + size.astype(np.uint64))
         if singles:
@@ -242,7 +252,7 @@ def stretch_rows(buckets: int, text: str, key: str):
             flat, bounds = flat_text(table, text)
             s = Stretches(flat, bounds, doc_ids(table, key), marked_keys(answers), buckets)
             squeeze = zstandard.ZstdCompressor(level=1)
-            for b, part in dealt(0, s.bucket, buckets):
+            for b, part in dealt(s.bucket):
                 raw = b"".join((np.array([part.stop - part.start], np.int64).tobytes(), s.key[part].tobytes(), s.print[part].tobytes(), s.least[part].tobytes(), s.size[part].astype(np.uint8).tobytes(), gathered(flat, s.begin[part], s.size[part]).tobytes()))
                 rows.append((b, batch["batch"][0].as_py(), squeeze.compress(raw)))
         return pa.table({"bucket": pa.array([x[0] for x in rows], pa.int32()), "batch": pa.array([x[1] for x in rows], pa.int64()), "body": pa.array([x[2] for x in rows], pa.binary())})
