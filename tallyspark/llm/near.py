@@ -191,7 +191,8 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     tries = stored(keys.join(leaders, "key").where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("shared")), "tries")
 
     touched = tries.select("doc_id").unionByName(tries.select(F.col("leader").alias("doc_id"))).distinct()
-    sets = stored(full_sets(docs.join(touched, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
+    # without the hint, small tables would be broadcast and only large ones shuffled
+    sets = stored(full_sets(docs.join(touched.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
     sketches = texts.join(touched, "doc_id", "left_semi").select("doc_id", "sketch", F.col("n").alias("size"))
     other = lambda df, **names: df.select(*(F.col(k).alias(v) for k, v in names.items()))
     likely = tries.join(sketches, "doc_id").join(other(sketches, doc_id="leader", sketch="theirs", size="their_size"), "leader")
