@@ -34,7 +34,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     kept = near.near_components(docs, size=5, percent=80).where("kept and doc_id is not null")
     ids = stored(kept.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    single = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # the hint makes small tables take the same way as large ones
+    single = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     rest = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     several = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("row"))
     return single.unionByName(several.select("doc_id", "row.*")).unionByName(docs.where("doc_id is null")).select(*docs.columns)
@@ -48,7 +49,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents' tokens into as few sequences of 2048 as minimum bin slack finds."""
-    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), capacity=2048)
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), capacity=2048, hold=False)
 
 
 STAGES = [("language ID", language_id), ("MinHash near-dedup", near_dedup), ("suffix-array dedup", suffix_array_dedup), ("best-fit packing", best_fit_packing)]
