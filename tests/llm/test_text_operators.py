@@ -203,3 +203,32 @@ def test_passages_cover_every_exact_repeat(docs, no_docs):
                 assert any(a <= p and p + 50 <= b for a, b in covered[i]), (i, p)
         seen.update(own)
     assert passages.near_passages(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_passages_alike_that_differ_from_their_first_holder(spark, monkeypatch, block):
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    prose = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    words, families = {}, range(0, 600, 100)
+    for base in families:
+        passage = prose(60)
+        edited = lambda at: [f"{w}x" if k == at else w for k, w in enumerate(passage)]  # noqa: E731,B023
+        for i in range(1, 13):  # every 5 words of the passage stand in one of these, too few in a row
+            words[base + i] = prose(60) + (passage[:32] if i % 2 else passage[28:]) + prose(60)
+        words[base + 13] = prose(40) + passage + prose(40)
+        words[base + 14] = prose(40) + edited(30) + prose(40)
+        again = prose(60)  # its first holder has it in parts before it has it as a whole
+        words[base + 50] = sum((prose(60) + (again[:32] if k % 2 else again[28:]) for k in range(12)), []) + prose(60) + again
+        words[base + 51] = prose(40) + again + prose(40)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string")
+    found = passages.near_passages(docs).collect()
+    shingled = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for r in found:
+        a = shingled(words[r["doc_id"]][r["start_word"] : r["start_word"] + r["n_words"]])
+        b = shingled(words[r["other_id"]][r["other_start"] : r["other_start"] + r["other_words"]])
+        assert r["other_id"] < r["doc_id"] and r["n_words"] >= 50
+        assert len(a & b) / len(a | b) == pytest.approx(r["similarity"], abs=1e-5) and r["similarity"] >= 0.8
+    pairs = {(r["doc_id"], r["other_id"]) for r in found}
+    assert len(found) == len(set(found))
+    assert all((base + 14, base + 13) in pairs and (base + 51, base + 50) in pairs for base in families)
