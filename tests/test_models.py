@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark import plans
 from tallyspark.operators import asof as A
 from tallyspark.operators import availability as V
 from tallyspark.operators import linear as L
@@ -175,3 +176,23 @@ def test_streams(spark, tmp_path):
     seen = []
     levels.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "l")).start().awaitTermination()
     assert {r["user_id"] for r in seen} == {0, 1, 2} and all(0 < r["level_var"] < 100 for r in seen)
+
+
+def test_sections_query_splits_texts_with_headings(spark, tmp_path):
+    texts = {1: "intro\n# One\nbody 1\n### Two \n\nbody 2\nmore\n#### deep\n#tag", 2: "# Only", 3: "plain", 4: "", 5: "## A\n## B\nx", 6: None, 7: "a # b\n## C\ny"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, text in texts.items():
+        parts = [[]]
+        for line in (text or "").split("\n"):
+            if parts[-1] and any(line.startswith("#" * n + " ") for n in (1, 2, 3)):
+                parts.append([])
+            parts[-1].append(line)
+        for k, lines in enumerate(parts):
+            headed = any(lines[0].startswith("#" * n + " ") for n in (1, 2, 3))
+            heading = lines[0].lstrip("#").strip() if headed else "(start)"
+            # trim takes blanks alone, not the ends of lines
+            body = "\n".join(lines[1:] if headed else lines) + ("\n" if k < len(parts) - 1 and (not headed or len(lines) > 1) else "")
+            if headed or body.strip(" "):
+                want.add((i, k, heading, len(body.strip(" "))))
+    assert {tuple(r) for r in plans.QUERIES["t1_sections"](spark, str(tmp_path)).collect()} == want
