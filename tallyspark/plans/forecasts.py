@@ -155,3 +155,11 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = X.nearest(vectors.where("vec_id < 3"), vectors, "vec_id", "embedding", 6).withColumn("body", F.concat(F.lit("text of "), F.col("vec_id").cast("string")))
     p = X.prompt(found, "who?", "body")
     return p.select("query", F.substring_index("prompt", "\n\n", -1).alias("tail"), (F.size(F.split("prompt", "\n\n")) - 1).cast("long").alias("passages"))
+
+
+@query("t7_prompt_hundredths", "SELECT q AS query, 'Question: who?' AS tail, count(*) AS passages FROM (SELECT q.vec_id AS q, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS n FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE n <= 6 GROUP BY q")
+def prompts_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = X.nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 6).withColumn("body", F.concat(F.lit("text of "), F.col("vec_id").cast("string")))
+    p = X.prompt(found, "who?", "body")
+    return p.select("query", F.substring_index("prompt", "\n\n", -1).alias("tail"), (F.size(F.split("prompt", "\n\n")) - 1).cast("long").alias("passages"))

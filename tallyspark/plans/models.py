@@ -206,6 +206,13 @@ def cosine_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.nearest(vectors.where("vec_id < 3"), vectors, "vec_id", "embedding", 6).withColumn("score", F.round("score", 4))
 
 
+@query("t6_cosine_top_k_hundredths", "SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 QUALIFY rank <= 6")
+def cosine_top_k_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches that grow with the table: every hundredth vector against all."""
+    vectors = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return X.nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 6).withColumn("score", F.round("score", 4))
+
+
 STOP_SQL = ", ".join(f"'{w}'" for w in X.STOP)
 
 

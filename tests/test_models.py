@@ -196,3 +196,19 @@ def test_sections_query_splits_texts_with_headings(spark, tmp_path):
             if headed or body.strip(" "):
                 want.add((i, k, heading, len(body.strip(" "))))
     assert {tuple(r) for r in plans.QUERIES["t1_sections"](spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["t6_cosine_top_k_hundredths", "t7_prompt_hundredths"])
+def test_searches_grow_with_the_table(spark, sf_dir, name):
+    asked = {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 100 = 0").collect()}
+    assert {r["query"] for r in plans.QUERIES[name](spark, sf_dir).collect()} == asked and len(asked) > 3
+
+
+def test_nearest_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, v array<double>").where("aggregate(v, 0d, (s, x) -> s + abs(x)) > 0")
+    found = X.nearest(docs.where("id % 4 = 0"), docs, "id", "v", 5, block=7, asked=3)
+    want = docs.alias("a").join(docs.alias("b")).where("a.id % 4 = 0").select(F.col("a.id").alias("q"), F.col("b.id").alias("i"), X.cosine(F.col("a.v"), F.col("b.v")).alias("s")).collect()
+    best = {(q, *x) for q in {r["q"] for r in want} for x in [(r["i"], n) for n, r in enumerate(sorted((r for r in want if r["q"] == q), key=lambda r: (-r["s"], r["i"]))[:5], 1)]}
+    assert {(r["query"], r["id"], r["rank"]) for r in found.collect()} == best
