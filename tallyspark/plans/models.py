@@ -227,6 +227,20 @@ def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.tf_idf(docs, "doc_id", "text", 256).groupBy("doc_id").agg(F.count("*").alias("terms"), r(F.max("weight"), "top", 5), r(F.sum("weight"), "total", 3))
 
 
+@query(
+    "t4_tf_idf_4096",
+    f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term NOT IN ({STOP_SQL}) GROUP BY ALL),
+    t AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY term ORDER BY total DESC, term LIMIT 4096), x AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS v FROM c JOIN t USING (term)),
+    n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM x GROUP BY doc_id), y AS (SELECT doc_id, count(*) AS terms, round(max(v / norm), 5) AS top, round(sum(v / norm), 3) AS total FROM x JOIN n USING (doc_id) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(terms, 0) AS terms, top, total FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN y USING (doc_id)""",
+)
+def tf_idf_4096(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many terms as the operator has by default, and a row for documents without any of them: 0 terms, no weights."""
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    weighed = X.tf_idf(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("terms"), r(F.max("weight"), "top", 5), r(F.sum("weight"), "total", 3))
+    return docs.select("doc_id").distinct().join(weighed, "doc_id", "left").withColumn("terms", F.coalesce("terms", F.lit(0).cast("long")))
+
+
 @query("t2_t3_chunks")
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chunks(B.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", separator="\n")

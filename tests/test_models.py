@@ -212,3 +212,10 @@ def test_nearest_in_blocks(spark):
     want = docs.alias("a").join(docs.alias("b")).where("a.id % 4 = 0").select(F.col("a.id").alias("q"), F.col("b.id").alias("i"), X.cosine(F.col("a.v"), F.col("b.v")).alias("s")).collect()
     best = {(q, *x) for q in {r["q"] for r in want} for x in [(r["i"], n) for n, r in enumerate(sorted((r for r in want if r["q"] == q), key=lambda r: (-r["s"], r["i"]))[:5], 1)]}
     assert {(r["query"], r["id"], r["rank"]) for r in found.collect()} == best
+
+
+def test_tf_idf_query_has_all_terms_and_documents(spark, tmp_path):
+    rows = [(1, " ".join(f"t{k}" for k in range(1000))), (2, " ".join(f"u{k} u{k}" for k in range(300))), (3, "the of"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["terms"], r["top"] is None) for r in plans.QUERIES["t4_tf_idf_4096"](spark, str(tmp_path)).collect()}
+    assert found == {1: (1000, False), 2: (300, False), 3: (0, True), 4: (0, True)}
