@@ -35,6 +35,8 @@ GRAMS = SPAN - K + 1
 #: Bytes of text in a batch (a longer document is a batch by itself), places looked at together, and the number of
 #: batches from which an anchor's strings are dealt one by one.
 BATCH, CHUNK, HOT = 1_500_000, 1 << 18, 2048
+#: Rows of a batch at most.
+ROWS = 60_000
 LAST = np.iinfo(np.int64).max
 _BYTES = np.random.default_rng(501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xA24BAED4963EE407
@@ -52,7 +54,7 @@ def batched(docs: DataFrame, text: str, most: int) -> DataFrame:
             sizes = pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy()
             begin = 0
             while begin < len(sizes):
-                end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), most, "right")))
+                end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin : begin + ROWS]), most, "right")))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, whole.schema) as out:
                     out.write_batch(whole.slice(begin, end - begin))
