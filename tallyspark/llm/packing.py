@@ -9,7 +9,7 @@ find their places by their rank among the pieces of their length, on the executo
 from __future__ import annotations
 
 import json
-import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,21 +22,68 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .sharding import with_slots
+from .shingles import mix
 
 #: The pre-tokenisation pattern of the byte-level vocabulary. Fixed value.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: The same for texts of Latin-1 characters, which the standard library's engine cuts up in half the time; OTHER finds a
-#: character beyond those, or one of the control characters on which the engines differ.
-LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+|\s+(?!\S)|\s+")
-OTHER = re.compile(r"[^\t-\r\x20-\x7e\xa0-\xff]")
-#: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What may follow an apostrophe in a contraction, as PATTERN has it.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Distinct words that a worker remembers before it starts afresh, and characters that are cut into words together.
+REMEMBERED, TOGETHER = 300_000, 1_000_000
+LETTER, NUMBER, OTHER, BLANK = range(4)
+
+
+@lru_cache(maxsize=1)
+def character_kinds() -> np.ndarray:
+    """The kind of every code point in PATTERN's terms."""
+    kinds = np.full(0x110000, OTHER, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+        for found in regex.finditer(pattern, every):
+            first, last = ord(every[found.start()]), ord(every[found.end() - 1])
+            kinds[first : last + 1] = kind
+    kinds[0xD800:0xE000] = OTHER
+    return kinds
+
+
+def word_starts(code: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where PATTERN's words start in texts laid end to end as code points; edges: where the texts that aren't empty start."""
+    kind = character_kinds()[code]
+    blank = kind == BLANK
+    first = np.zeros(len(code) + 1, bool)
+    first[edges] = first[-1] = True
+    run = np.ones(len(code), bool)
+    run[1:] = kind[1:] != kind[:-1]
+    run |= first[:-1]
+    # a run of blanks leaves its last one to what follows, which takes it in if it is a space
+    joined = np.zeros(len(code), bool)
+    joined[1:] = run[1:] & ~blank[1:] & (code[:-1] == 32)
+    joined &= ~first[:-1]
+    start = run & ~joined
+    start[:-1] |= blank[:-1] & ~blank[1:] & ~first[1:-1]
+    # contractions, of apostrophes that a word starts with
+    at = np.flatnonzero((code == 39) & run & start)
+    for ending in ENDINGS:
+        fits = at + len(ending) < len(code)
+        for k, letter in enumerate(ending, 1):
+            here = np.minimum(at + k, len(code) - 1)
+            fits &= (code[here] == ord(letter)) & ~first[here]
+        hit = at[fits]
+        start[hit + 1] = False
+        after = hit + len(ending) + 1
+        start[after[after < len(code)]] = True
+        at = at[~fits]
+    return np.flatnonzero(start)
 
 
 class WordIds:
-    """Ids of whole texts by a byte-level `tokenizers` file; each distinct word is encoded once per worker."""
+    """Ids of whole texts by a byte-level `tokenizers` file; each distinct word is encoded once per worker.
+
+    Texts are cut into words and put together again with numpy; a word is known by a 64-bit hash of its characters.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,21 +93,61 @@ class WordIds:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         if spec.get("normalizer") or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("only byte-level vocabularies without normaliser and leading space are supported")
-        self.known: dict[str, bytes] = {}
+        vocabulary = spec["model"]["vocab"]
+        merged = [vocabulary["".join(x.split(" ") if isinstance(x, str) else x)] for x in spec["model"]["merges"]]
+        if merged != sorted(set(merged)):
+            raise ValueError("only vocabularies whose ids follow their merges are supported")
+        # byte-level vocabularies spell a byte as a visible character: its own, or one from 256 on
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        byte = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+        ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if word not in special}
+        self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[int, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, no special tokens added."""
+        out: list[bytes] = []
+        begin = size = 0
+        for end, text in enumerate([*texts, ""], 1):
+            size += len(text)
+            if size >= TOGETHER or end > len(texts):
+                out += self._together(texts[begin:end])
+                begin, size = end, 0
+        return out
+
+    def _together(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        split = [None if self.special and self.special.search(x) else (PATTERN if OTHER.search(x) else LATIN).findall(x) for x in texts]
-        new = list({w for words in split if words for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        # a text that spells a special token goes through the tokenizer as a whole
-        return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join([known[w] for w in words]) for x, words in zip(texts, split, strict=True)]
+        # a text that spells a special token, or isn't valid, goes through the tokenizer as a whole
+        apart = {i for i, x in enumerate(texts) if self.special and self.special.search(x)}
+        flat = "".join("" if i in apart else x for i, x in enumerate(texts))
+        code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4")
+        size = np.array([0 if i in apart else len(x) for i, x in enumerate(texts)], np.int64)
+        edge = np.cumsum(size) - size
+        n = np.zeros(len(texts) + 1, np.int64)
+        ids = np.zeros(0, "<u4")
+        if len(code):
+            start = word_starts(code, edge[size > 0])
+            length = np.diff(np.append(start, len(code)))
+            ahead = np.arange(len(code)) - np.repeat(start, length)
+            name = np.add.reduceat(mix(code.astype(np.uint64) + (ahead.astype(np.uint64) + np.uint64(1) << np.uint64(21))), start)
+            name, first, of = np.unique(name, return_index=True, return_inverse=True)
+            names = name.tolist()
+            for k, w in enumerate(names):
+                if w not in known:
+                    at = start[first[k]]
+                    known[w] = array("I", self.words.encode_ordinary(flat[at : at + length[first[k]]])).tobytes()
+            found = [known[w] for w in names]
+            many = np.array([len(x) // 4 for x in found])
+            base = np.cumsum(many) - many
+            own = many[of]
+            before = np.cumsum(own) - own
+            ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(base[of] - before, own) + np.arange(int(own.sum()))]
+            n[:] = np.append(before, len(ids))[np.searchsorted(start, np.append(edge, len(code)))]
+        whole = lambda x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        return [whole(texts[i]) if i in apart else ids[a:b].tobytes() for i, (a, b) in enumerate(zip(n[:-1].tolist(), n[1:].tolist(), strict=True))]
 
 
 @lru_cache(maxsize=2)
