@@ -15,15 +15,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local session (driver and executor in one process) gets a temporary folder; a cluster raises.
+    """
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tallyspark-")
-        spark.sparkContext.setCheckpointDir(at)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(at)
     return at
 
 
@@ -35,9 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fan_out(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def beside(many: DataFrame, one: DataFrame, key: str, part: str = "part") -> DataFrame:
+    """`many` with the columns of `one`, which has one row or a few for each `key`.
+
+    A row of `one` goes once to each pair of its key and a part of `many` (rows that were read together), so the rows of
+    a very frequent key stay dealt over the parts, whatever their number. Rows of `many` without a partner go.
+    """
+    pairs = many.select(key, part).distinct().join(one.hint("merge"), key)
+    return many.join(pairs.hint("merge"), [key, part])
 
 
 def components(edges: DataFrame) -> DataFrame:

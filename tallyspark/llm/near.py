@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import beside, components, stored
 from .shingles import distinct, mix, shingles
 
 #: Bands, samples in a band, bits of a sketch. At a similarity of 0.85 the bands miss 1 link in 10 million, at 0.8 1 in 60,000.
@@ -87,9 +88,10 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (distinct shingles), content (digest of the set), bands and sketch; the last three are null if n is 0."""
+    """doc_id, part (of rows read together), n (distinct shingles), content (digest of the set), bands and sketch; the last three are null if n is 0."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         for batch in sliced(batches):
             ids = batch.column(0)
             texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
@@ -105,9 +107,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                         for k, x in zip(np.flatnonzero(some), value, strict=True):
                             column[k] = x
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(content, pa.binary()), pa.array(key, longs), pa.array(sketch, longs)], ["doc_id", "n", "content", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([part] * (b - a), pa.int32()), pa.array(n), pa.array(content, pa.binary()), pa.array(key, longs), pa.array(sketch, longs)], ["doc_id", "part", "n", "content", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signed, "doc_id long, n long, content binary, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signed, "doc_id long, part int, n long, content binary, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -176,48 +178,68 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Documents are linked if 100 * shared shingles of `size` words >= `percent` * all their shingles; a text of fewer
     words is one shingle, and a text that is null or has no words is linked with nothing. component_id is the smallest
-    doc_id that can be reached over links, kept says whether it is the row's own. doc_ids should be unique: rows that
-    repeat one share its component. Rows without a doc_id stand alone, with component_id null and kept true. Other
-    columns play no part, and an empty table gives an empty one.
+    doc_id that can be reached over links, kept says whether it is the row's own. Rows that repeat a doc_id are one
+    document, linked with all that any of its texts is like; n_shingles is that of the row. Rows without a doc_id stand
+    alone, with component_id null and kept true. Other columns play no part, and an empty table gives an empty one.
     """
     rows = stored(signatures(docs, size), "signatures")
     full = rows.where("n > 0 and doc_id is not null")
-    first = full.groupBy("content").agg(F.min("doc_id").alias("text_id"))
-    copies = stored(full.select("doc_id", "content").join(first, "content").select("doc_id", "text_id"), "copies")
-    texts = full.join(copies.where("doc_id = text_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    keys = texts.select("doc_id", F.explode("bands").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    tries = stored(keys.join(leaders, "key").where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("shared")), "tries")
-
+    # an equal set is one text, under its smallest doc_id; minima are taken by part first, and told by part
+    first = full.groupBy("content", "part").agg(F.min("doc_id").alias("text_id")).groupBy("content").agg(F.min("text_id").alias("text_id"))
+    named = stored(beside(full, first, "content"), "named")
+    texts = named.where("doc_id = text_id").dropDuplicates(["doc_id", "content"]).select("doc_id", "part", "n", "bands", "sketch")
+
+    keys = texts.select("doc_id", "part", F.explode("bands").alias("key"))
+    leaders = keys.groupBy("key", "part").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n"))
+    leaders = leaders.groupBy("key").agg(F.min("leader").alias("leader"), F.sum("n").alias("n")).where("n > 1").select("key", "leader")
+    tries = stored(beside(keys, leaders, "key").where("doc_id <> leader").select("doc_id", "part", "leader").distinct(), "tries")
+
+    # without the hints, small tables would be broadcast and only large ones shuffled; an id with several texts has
+    # several sketches and sets, each of which is held against those of its leaders
     touched = tries.select("doc_id").unionByName(tries.select(F.col("leader").alias("doc_id"))).distinct()
-    # without the hint, small tables would be broadcast and only large ones shuffled
-    sets = stored(full_sets(docs.join(touched.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
-    sketches = texts.join(touched, "doc_id", "left_semi").select("doc_id", "sketch", F.col("n").alias("size"))
+    sets = stored(full_sets(docs.join(touched.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), size), "sets")
+    sketches = texts.join(touched.hint("merge"), "doc_id", "left_semi").select("doc_id", "sketch", F.col("n").alias("size"))
     other = lambda df, **names: df.select(*(F.col(k).alias(v) for k, v in names.items()))
-    likely = tries.join(sketches, "doc_id").join(other(sketches, doc_id="leader", sketch="theirs", size="their_size"), "leader")
-    likely = likely.where(estimate(F.col("sketch"), F.col("theirs")) >= percent / 100 - SLACK).where(100 * F.least("size", "their_size") >= percent * F.greatest("size", "their_size")).select("doc_id", "leader")
-    checked = likely.join(sets, "doc_id").join(other(sets, doc_id="leader", set="theirs"), "leader")
+    likely = beside(tries.join(sketches.hint("merge"), "doc_id"), other(sketches, doc_id="leader", sketch="theirs", size="their_size"), "leader")
+    likely = likely.where(estimate(F.col("sketch"), F.col("theirs")) >= percent / 100 - SLACK).where(100 * F.least("size", "their_size") >= percent * F.greatest("size", "their_size"))
+    likely = stored(likely.select("doc_id", "part", "leader").distinct(), "likely")
+    checked = beside(likely, other(sets, doc_id="leader", set="theirs"), "leader").join(sets.hint("merge"), "doc_id")
     both = F.size(F.array_intersect("set", "theirs")).cast("long")
     stars = checked.where(100 * both >= percent * (F.size("set") + F.size("theirs") - both))
-    stars = stored(stars.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), "stars")
+    stars = stored(stars.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
 
-    # what shares buckets and is still apart
+    # what shares buckets and is still apart: whole families where they fit in a block, and otherwise bucket by bucket
     label = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
     cluster = components(tries.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    placed = cluster.join(label, "doc_id", "left").select("doc_id", "cluster", F.coalesce("label", "doc_id").alias("label"))
-    placed = stored(placed.join(sketches.select("doc_id", "size"), "doc_id"), "placed")
-    apart = placed.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("docs"), F.sum("size").alias("shingles"), F.max("doc_id").alias("last"), F.min("doc_id").alias("one"))
-    apart = apart.where("low <> high and docs > 2")  # of two texts, the star has settled the link
+    placed = cluster.join(label.hint("merge"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("label", "doc_id").alias("label"))
+    placed = stored(placed.join(sketches.groupBy("doc_id").agg(F.sum("size").alias("size")).hint("merge"), "doc_id"), "placed")
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    dealt = placed.join(apart.select("cluster", blocks.alias("blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+
+    def apart(members: DataFrame) -> DataFrame:
+        """Groups of several labels; of two texts, the star has settled the link."""
+        found = members.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("docs"), F.sum("size").alias("shingles"))
+        return found.where("low <> high and docs > 2").select("group", blocks.alias("blocks"))
+
+    families = placed.withColumnRenamed("cluster", "group")
+    open_ = stored(apart(families), "families")
+    large = open_.where("blocks > 1").select(F.col("group").alias("cluster"))
+    in_bucket = placed.join(large.hint("merge"), "cluster", "left_semi").select("doc_id", "label", "size")
+    in_bucket = stored(in_bucket.join(keys.select("doc_id", F.col("key").alias("group")).distinct().hint("merge"), "doc_id"), "buckets")
+    small = families.join(open_.where("blocks = 1").hint("merge"), "group").select(F.lit(False).alias("bucket"), "group", "doc_id", "label", "blocks")
+    dealt = small.unionByName(in_bucket.join(apart(in_bucket).hint("merge"), "group").select(F.lit(True).alias("bucket"), "group", "doc_id", "label", "blocks"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "doc_id", "label")
-    inside = dealt.join(sets, "doc_id").select("cluster", "i", "j", "side", F.col("doc_id").alias("doc"), "label", "set")
-    more = inside.groupBy("cluster", "i", "j").applyInArrow(linked_blocks(percent), "a long, b long")
-    joined = components(stored(stars.unionByName(more), "links"))
-
-    of_text = copies.join(joined.select(F.col("node").alias("text_id"), "component"), "text_id", "left")
-    of_text = of_text.select("doc_id", F.coalesce("component", "text_id").alias("component")).distinct()
-    out = rows.select("doc_id", "n").join(of_text, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    dealt = dealt.select("bucket", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "doc_id", "label")
+    inside = dealt.join(sets.hint("merge"), "doc_id").select("bucket", "group", "i", "j", "side", F.col("doc_id").alias("doc"), "label", "set")
+    more = inside.groupBy("bucket", "group", "i", "j").applyInArrow(linked_blocks(percent), "a long, b long")
+
+    # an id with several texts links what they are under
+    of_row = named.select("doc_id", "text_id").distinct()
+    own = of_row.groupBy("doc_id").agg(F.min("text_id").alias("b"), F.max("text_id").alias("last")).where("b <> last").select("doc_id", "b")
+    own = of_row.join(own.hint("merge"), "doc_id").select(F.col("text_id").alias("a"), "b")
+    joined = components(stored(stars.unionByName(more).unionByName(own), "links")).select(F.col("node").alias("text_id"), F.col("component").alias("joined"))
+
+    of_text = beside(named.select("doc_id", "part", "text_id"), joined, "text_id").select("doc_id", F.col("joined").alias("component"))
+    of_id = named.select("doc_id", F.col("text_id").alias("component")).unionByName(of_text).groupBy("doc_id").agg(F.min("component").alias("component"))
+    out = rows.select("doc_id", "n").join(of_id.hint("merge"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -165,7 +165,7 @@ def test_pipeline_against_brute_force(spark, docs, sf_dir):
     assert kept.columns == raw.columns and 0.97 * raw.count() <= kept.count() <= raw.count()
     once = common.stored(stages["MinHash near-dedup"](spark, kept, sf_dir), "t1")
     components = brute_components([(r["doc_id"], r["text"]) for r in kept.collect()], 5, 80)
-    assert {r["doc_id"] for r in once.collect()} == {c for _, c in components.values()} and once.columns == raw.columns
+    assert {r["doc_id"] for r in once.collect()} == {c for _, _, c in components} and once.columns == raw.columns
     clean = common.stored(stages["suffix-array dedup"](spark, once, sf_dir), "t2")
     want = {i: sha for (i, _, _, _, sha) in brute_repeats([(r["doc_id"], r["text"]) for r in once.collect()])}
     assert all(hashlib.sha256(r["text"].encode()).hexdigest() == want[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in clean.collect())

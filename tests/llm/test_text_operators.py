@@ -85,30 +85,31 @@ def test_bin_plan_uses_every_piece(counts):
 
 
 def brute_components(rows, size, percent):
-    sets = {}
+    """(n_shingles, component) of each row; rows of one id are one document."""
+    sets = []
     for i, x in rows:
         words = tuple((x or "").encode().lower().split())
-        sets[i] = {words[k : k + size] for k in range(len(words) - size + 1)} if len(words) >= size else {words} if words else set()
-    root = {i: i for i in sets}
+        sets.append((i, {words[k : k + size] for k in range(len(words) - size + 1)} if len(words) >= size else {words} if words else set()))
+    root = {i: i for i, _ in rows}
 
     def top(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in sets:
-        for j in sets:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+    for i, own in sets:
+        for j, other in sets:
+            if i < j and own and other and 100 * len(own & other) >= percent * len(own | other):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
-    return {i: (len(sets[i]), top(i)) for i in sets}
+    return Counter((i, len(own), top(i)) for i, own in sets)
 
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
 def test_near_components(docs, no_docs, size, percent):
-    unique = docs.where("doc_id is not null and doc_id not in (7, 96)")
-    rows = [(r["doc_id"], r["text"]) for r in unique.collect()]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_components(unique, size, percent).collect()}
+    named = docs.where("doc_id is not null")
+    rows = [(r["doc_id"], r["text"]) for r in named.collect()]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near.near_components(named, size, percent).collect())
     assert got == brute_components(rows, size, percent)
     assert near.near_components(no_docs).count() == 0
     every = near.near_components(docs, size, percent).collect()
@@ -117,12 +118,22 @@ def test_near_components(docs, no_docs, size, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in every if r["doc_id"] is not None)
 
 
-def test_a_loose_family_is_joined_through_its_middle(spark):
+def test_a_loose_family_is_joined_through_its_middle(spark, monkeypatch):
     words = [f"w{i}" for i in range(400)]
     steps = [" ".join(words[:k] + [f"x{j}" for j in range(k, 0, -1)] + words[2 * k :]) for k in range(0, 40)]
     rows = list(enumerate(steps))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
-    assert got == brute_components(rows, 3, 85)
+    for block in (512, 8):  # the family as a whole, and bucket by bucket
+        monkeypatch.setattr(near, "BLOCK_DOCS", block)
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+        assert got == brute_components(rows, 3, 85)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 0, 2, 3), (3, 2, 1, 0)])
+def test_an_id_with_several_texts_links_what_they_are_like(spark, order):
+    rows = [(5, "q r s t u v w"), (5, "a b c d e f g"), (3, "a b c d e f g"), (9, "q r s t u v w")]
+    docs = spark.createDataFrame([rows[k] for k in order], "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(r) for r in near.near_components(docs, 3, 85).collect())
+    assert got == [(3, 5, 3, True), (5, 5, 3, False), (5, 5, 3, False), (9, 5, 3, False)]
 
 
 def test_estimates_follow_similarity():
