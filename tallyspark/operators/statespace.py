@@ -1,109 +1,241 @@
-"""State-space filters: true recursions, so each team league's season or player is one ordered group of a grouped map.
+"""State-space filters: levels that drift or revert, learnt from one observation after the other.
 
-A group is one season of one league, or one player's career: thousands of rows at most, whatever the table's size.
+The recursions run in numpy over groups that Spark deals out. Teams that play one another are one group, a season of one
+league, so `by` must name groups of a bounded number of teams and games. Players don't meet, so they are dealt into
+buckets by hash, and a step of the loop takes the next row of every player of a bucket. All settings of a grid are
+filtered in the same pass, side by side in one array.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: Rows of players that a bucket has on average.
+BUCKET_ROWS = 100_000
+
+
+def in_buckets(df: DataFrame, entity: str) -> DataFrame:
+    """`df` with `_bucket`: entities dealt by hash, into as many buckets as the rows need."""
+    buckets = max(8, df.count() // BUCKET_ROWS)
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(entity), F.lit(buckets)))
+
+
+class Histories:
+    """The rows of many entities, each in order of time: their days, values, minutes, and the rows of each step."""
+
+    def __init__(self, rows: pd.DataFrame, entity: str, date: str, value: str, minutes: str):
+        self.rows = rows.sort_values([entity, date, minutes], kind="stable").reset_index(drop=True)
+        days = pd.to_datetime(self.rows[date]).to_numpy().astype("datetime64[D]").astype(np.int64)
+        code = pd.factorize(self.rows[entity])[0]
+        new = np.flatnonzero(np.diff(code, prepend=-1))
+        self.step = np.arange(len(code)) - np.repeat(new, np.diff(np.append(new, len(code))))
+        self.gap = np.where(self.step > 0, np.diff(days, prepend=days[:1]), 0).astype(float)
+        self.value, self.minutes = self.rows[value].to_numpy(float), self.rows[minutes].to_numpy(float)
+        self.seen = ~np.isnan(self.value) & (self.minutes > 0)
+        by_step = np.argsort(self.step, kind="stable")
+        self.steps = np.split(by_step, np.cumsum(np.bincount(self.step))[:-1]) if len(code) else []
+
+    def filtered(self, lam: np.ndarray, sigma2: np.ndarray, c: np.ndarray, mu: float) -> np.ndarray:
+        """(settings, rows, 4): level and variance before each row and after it, for each setting."""
+        lam, sigma2, c = (np.asarray(x, float)[:, None] for x in (lam, sigma2, c))
+        out = np.empty((len(lam), len(self.rows), 4))
+        for rows in self.steps:  # the rows before these are each entity's last
+            if self.step[rows[0]] == 0:
+                level, var = np.full((len(lam), len(rows)), mu), np.broadcast_to(sigma2, (len(lam), len(rows)))
+            else:
+                keep = np.exp(-lam * self.gap[rows])
+                level, var = out[:, rows - 1, 2], out[:, rows - 1, 3]
+                level, var = mu + keep * (level - mu), keep * keep * var + sigma2 * (1 - keep * keep)
+            out[:, rows, 0], out[:, rows, 1] = level, var
+            with np.errstate(divide="ignore", invalid="ignore"):
+                trust = np.where(self.seen[rows], var / (var + c / self.minutes[rows]), 0.0)
+            out[:, rows, 2] = level + trust * np.where(self.seen[rows], self.value[rows] - level, 0.0)
+            out[:, rows, 3] = (1 - trust) * var
+        return out
 
 
 def ou_filter(df: DataFrame, entity: str, date: str, value: str, minutes: str, lam: float, sigma2: float, c: float, mu: float) -> DataFrame:
     """A mean-reverting level observed with noise c / minutes: pred, pred_var (before the row), level, level_var (after).
 
     The level reverts to `mu` at rate `lam` a day with stationary variance `sigma2`. A row without a value or without
-    minutes changes nothing but the passing of time. Rows must be few enough per entity to fit in a task.
+    minutes changes nothing but the passing of time. A row's step costs the same however many entities a bucket has, so
+    an entity with very many rows takes time, not memory beyond its rows.
     """
     schema = f"{entity} {df.schema[entity].dataType.simpleString()}, {date} date, {value} double, {minutes} double, pred double, pred_var double, level double, level_var double"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([date, minutes], kind="stable")
-        days = pd.to_datetime(rows[date]).to_numpy().astype("datetime64[D]").astype(np.int64)
-        y, m = rows[value].to_numpy(float), rows[minutes].to_numpy(float)
-        out = np.empty((len(rows), 4))
-        level, var, last = mu, sigma2, days[0] if len(days) else 0
-        for i in range(len(rows)):
-            phi = math.exp(-lam * (days[i] - last))
-            last = days[i]
-            level, var = mu + phi * (level - mu), phi * phi * var + sigma2 * (1 - phi * phi)
-            out[i, :2] = level, var
-            if y[i] == y[i] and m[i] > 0:
-                gain = var / (var + c / m[i])
-                level, var = level + gain * (y[i] - level), (1 - gain) * var
-            out[i, 2:] = level, var
-        return pd.concat([rows.reset_index(drop=True), pd.DataFrame(out, columns=["pred", "pred_var", "level", "level_var"])], axis=1)
+        h = Histories(rows.drop(columns="_bucket"), entity, date, value, minutes)
+        out = h.filtered([lam], [sigma2], [c], mu)[0]
+        return pd.concat([h.rows, pd.DataFrame(out, columns=["pred", "pred_var", "level", "level_var"])], axis=1)
 
     typed = df.selectExpr(entity, f"cast({date} as date) {date}", f"cast({value} as double) {value}", f"cast({minutes} as double) {minutes}")
-    return typed.groupBy(entity).applyInPandas(run, schema)
+    return in_buckets(typed, entity).groupBy("_bucket").applyInPandas(run, schema)
 
 
-def team_kalman(games: DataFrame, seed: DataFrame | None = None, q: float = 0.5, r: float = 140.0, p0: float = 30.0, home: float = 2.5) -> DataFrame:
-    """Ratings of all teams of a season and one home term, updated game by game.
+def ou_likelihood(df: DataFrame, entity: str, date: str, value: str, minutes: str, period: str, settings: list[tuple[float, float, float]], mu: float) -> DataFrame:
+    """How well settings (lam, sigma2, c) foresee the values: setting (its number), `period`, nll (a sum), n.
 
-    games: season, game_id, game_date, home_id, away_id, margin (null: not played yet). seed: season, team_id, rating.
-    Returns season, game_id, pred, pred_var (before the game). Every team's variance grows by q with every game.
+    A row's term looks at earlier rows only, so the terms of the periods up to any fold add up to the likelihood that a
+    fit on those would have. Settings are filtered side by side; what leaves a task is one row per setting and period.
     """
+    lam, sigma2, c = (np.array(x) for x in zip(*settings, strict=True))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        h = Histories(rows.drop(columns="_bucket"), entity, date, value, minutes)
+        seen, parts = np.flatnonzero(h.seen), []
+        names, code = np.unique(h.rows[period].to_numpy()[seen], return_inverse=True)
+        for at in range(0, len(settings), 16):  # a few settings at a time hold memory down
+            own = slice(at, at + 16)
+            out = h.filtered(lam[own], sigma2[own], c[own], mu)[:, seen]
+            var = out[..., 1] + c[own, None] / h.minutes[seen]
+            term = 0.5 * (np.log(2 * math.pi * var) + (h.value[seen] - out[..., 0]) ** 2 / var)
+            for k, line in enumerate(term, at):
+                parts.append(pd.DataFrame({"setting": k, period: names, "nll": np.bincount(code, line, len(names)), "n": np.bincount(code, minlength=len(names))}))
+        return pd.concat(parts) if parts else pd.DataFrame({"setting": [], period: [], "nll": [], "n": []})
+
+    typed = df.selectExpr(entity, f"cast({date} as date) {date}", f"cast({value} as double) {value}", f"cast({minutes} as double) {minutes}", period)
+    sums = in_buckets(typed, entity).groupBy("_bucket").applyInPandas(run, f"setting int, {period} {df.schema[period].dataType.simpleString()}, nll double, n long")
+    return sums.groupBy("setting", period).agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"))
+
+
+def chosen_before(scores: DataFrame, period: str, loss: Column | str = "nll", burn_in: int = 1) -> DataFrame:
+    """Of each period, the setting of least total `loss` over all earlier periods: `period`, setting, loss (of those)."""
+    earlier = W.partitionBy("setting").orderBy(period).rowsBetween(W.unboundedPreceding, -1)
+    known = scores.select("setting", period, F.sum(loss).over(earlier).alias("loss"), F.count("*").over(earlier).alias("_periods")).where(F.col("_periods") >= burn_in)
+    best = F.row_number().over(W.partitionBy(period).orderBy("loss", "setting"))
+    return known.withColumn("_best", best).where("_best = 1").select(period, "setting", "loss")
+
+
+class Beliefs:
+    """Correlated Gaussian levels, for many settings at once: mean (settings, levels), covariance between all levels.
+
+    Every step adds `drift` to each level's own variance. That adds up along the diagonal only, so it is kept as a count
+    of steps and enters where a column is looked at.
+    """
+
+    def __init__(self, mean: np.ndarray, variance: np.ndarray, drift: np.ndarray):
+        self.mean, self.drift, self.steps = mean.astype(float), drift, 0
+        self.spread = np.zeros((*mean.shape, mean.shape[1]))
+        self.spread[:, np.arange(mean.shape[1]), np.arange(mean.shape[1])] = variance
+
+    def expect(self, columns: list[int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of weighted sums (a row of `weights` each) of levels: mean, covariance, and covariance with all levels."""
+        reach = self.spread[:, :, columns] @ weights.T
+        reach[:, columns] += self.steps * self.drift[:, columns, None] * weights.T
+        return self.mean[:, columns] @ weights.T, weights @ reach[:, columns], reach
+
+    def learn(self, surprise: np.ndarray, total: np.ndarray, reach: np.ndarray) -> None:
+        """Take in sums that came out `surprise` off, where `total` is their covariance with noise."""
+        pull = np.linalg.solve(total, np.swapaxes(reach, 1, 2))
+        self.mean += np.einsum("sk,skn->sn", surprise, pull)
+        self.spread -= reach @ pull
+
+
+def in_order(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """A league's games in order, its teams, and each game's home and away team by number."""
+    rows = rows.sort_values(["game_date", "game_id"], kind="stable")
+    teams, code = np.unique(np.concatenate([rows.home_id.to_numpy(), rows.away_id.to_numpy()]), return_inverse=True)
+    return rows, teams, code[: len(rows)], code[len(rows) :]
+
+
+def margins_foreseen(rows: pd.DataFrame, seeds: dict, q: np.ndarray, r: np.ndarray, p0: np.ndarray, home: float) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The games in order, and their predicted margins and variances: (games, settings). The last level is the home term."""
+    rows, teams, hosts, guests = in_order(rows)
+    n, many = len(teams), len(q)
+    start = np.array([*(seeds.get(t, 0.0) for t in teams), home])
+    variance, drift = np.repeat(p0[:, None], n + 1, 1), np.repeat(q[:, None], n + 1, 1)
+    variance[:, n], drift[:, n] = 1.0, 0.0
+    state = Beliefs(np.tile(start, (many, 1)), variance, drift)
+    sums = np.array([[1.0, -1.0, 1.0]])
+    said, spread = np.empty((len(rows), many)), np.empty((len(rows), many))
+    for k, (i, j, z) in enumerate(zip(hosts.tolist(), guests.tolist(), rows.margin.to_numpy(float), strict=True)):
+        state.steps += 1
+        mean, within, reach = state.expect([i, j, n], sums)
+        total = within + r[:, None, None]
+        said[k], spread[k] = mean[:, 0], total[:, 0, 0]
+        if not math.isnan(z):
+            state.learn(z - mean, total, reach)
+    return rows, said, spread
+
+
+def typed_games(games: DataFrame, by: list[str], more: Iterable[str] = ()) -> DataFrame:
+    return games.select(*by, "game_id", "game_date", "home_id", "away_id", F.col("margin").cast("double").alias("margin"), *(F.col(c).cast("double").alias(c) for c in more))
+
+
+def keyed(games: DataFrame, by: list[str]) -> str:
+    return ", ".join(f"{c} {games.schema[c].dataType.simpleString()}" for c in by)
+
+
+def team_kalman(games: DataFrame, seed: DataFrame | None = None, q: float = 0.5, r: float = 140.0, p0: float = 30.0, home: float = 2.5, by: tuple[str, ...] = ("season",)) -> DataFrame:
+    """Ratings of all teams of a group `by` and one home term, updated game by game: `by`, game_id, pred, pred_var.
+
+    games: `by`, game_id, game_date, home_id, away_id, margin (null: not played yet). seed: `by`, team_id, rating.
+    Every team's variance grows by q with every game of its group. A group is one task's: a season of a league.
+    """
+    by = list(by)
 
     def run(rows: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["game_date", "game_id"], kind="stable")
-        teams = np.unique(np.concatenate([rows.home_id.to_numpy(), rows.away_id.to_numpy()]))
-        x, p = np.zeros(len(teams) + 1), np.eye(len(teams) + 1) * p0
+        names = ["game_id", "pred", "pred_var"]
+        if not len(rows):
+            return pd.DataFrame(columns=[*by, *names])
         given = dict(zip(seeds.team_id, seeds.rating, strict=True)) if len(seeds) else {}
-        x[:-1] = [given.get(t, 0.0) for t in teams]
-        x[-1], p[-1, -1] = home, 1.0
-        at = {t: i for i, t in enumerate(teams)}
-        out = []
-        diagonal = np.arange(len(teams))
-        for g in rows.itertuples():
-            p[diagonal, diagonal] += q
-            i, j = at[g.home_id], at[g.away_id]
-            ph = p[:, i] - p[:, j] + p[:, -1]
-            s = ph[i] - ph[j] + ph[-1] + r
-            pred = x[i] - x[j] + x[-1]
-            out.append((g.season, g.game_id, pred, s))
-            if g.margin == g.margin and g.margin is not None:
-                x = x + ph * ((g.margin - pred) / s)
-                p = p - np.outer(ph, ph) / s
-        return pd.DataFrame(out, columns=["season", "game_id", "pred", "pred_var"])
-
-    schema = "season string, game_id string, pred double, pred_var double"
-    seeds = seed if seed is not None else games.sparkSession.createDataFrame([], "season string, team_id long, rating double")
-    typed = games.selectExpr("season", "game_id", "game_date", "home_id", "away_id", "cast(margin as double) margin")
-    return typed.groupBy("season").cogroup(seeds.groupBy("season")).applyInPandas(run, schema)
-
-
-def kalman_grid(games: DataFrame, grid: list[dict]) -> DataFrame:
-    """The mean predictive log-likelihood loss of every setting of `grid` and season: all of them run side by side.
-
-    The grid is a short list of settings, so each season's games are repeated that many times and no more.
+        rows, said, spread = margins_foreseen(rows, given, np.array([q]), np.array([r]), np.array([p0]), home)
+        return rows[[*by, "game_id"]].assign(pred=said[:, 0], pred_var=spread[:, 0])
+
+    seeds = seed if seed is not None else games.sparkSession.createDataFrame([], f"{keyed(games, by)}, team_id long, rating double")
+    schema = f"{keyed(games, by)}, game_id string, pred double, pred_var double"
+    return typed_games(games, by).groupBy(*by).cogroup(seeds.groupBy(*by)).applyInPandas(run, schema)
+
+
+def kalman_grid(games: DataFrame, grid: list[dict], home: float = 2.5, by: tuple[str, ...] = ("season",)) -> DataFrame:
+    """How every setting of `grid` (q, r, p0) foresees each group's margins: `by`, setting, nll and mae (means), n."""
+    by = list(by)
+    q, r, p0 = (np.array([s[c] for s in grid], float) for c in ("q", "r", "p0"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        group = rows.iloc[0][by]
+        rows, said, spread = margins_foreseen(rows, {}, q, r, p0, home)
+        off = rows.margin.to_numpy()[:, None] - said
+        nll = 0.5 * (np.log(2 * math.pi * spread) + off**2 / spread)
+        return pd.DataFrame({**{c: group[c] for c in by}, "setting": np.arange(len(grid)), "nll": nll.mean(0), "mae": np.abs(off).mean(0), "n": len(rows)})
+
+    return typed_games(games.where("margin is not null"), by).groupBy(*by).applyInPandas(run, f"{keyed(games, by)}, setting int, nll double, mae double, n long")
+
+
+def factor_kalman(games: DataFrame, factors: list[str], means: list[float], sds: list[float], weights: list[float], home: float, margin_var: float, q: float = 0.01, r: float = 1.0, p0: float = 1.0, margin_noise: float | None = None, by: tuple[str, ...] = ("season",)) -> DataFrame:
+    """One level per team and factor, learnt jointly from each game's factor differences: `by`, game_id, pred, pred_var.
+
+    A game shows the home levels less the away levels in standard units, with noise `r`; the margin foreseen is those
+    differences by `weights` plus `home`. With `margin_noise`, the margin itself is one more observation of the levels.
     """
+    by, many = list(by), len(factors)
+    w = np.array(weights, float)
+    apart = np.hstack([np.eye(many), -np.eye(many)])
+    seen = apart if margin_noise is None else np.vstack([apart, w @ apart])
+    noise = np.diag([r] * many + ([] if margin_noise is None else [margin_noise]))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        k = int(rows.setting.iloc[0])
-        s = grid[k]
-        rows = rows.sort_values(["game_date", "game_id"], kind="stable")
-        teams = np.unique(np.concatenate([rows.home_id.to_numpy(), rows.away_id.to_numpy()]))
-        at = {t: i for i, t in enumerate(teams)}
-        x, p = np.zeros(len(teams) + 1), np.eye(len(teams) + 1) * s["p0"]
-        x[-1], p[-1, -1] = s.get("home", 2.5), 1.0
-        diagonal, loss, n = np.arange(len(teams)), 0.0, 0
-        for g in rows.itertuples():
-            p[diagonal, diagonal] += s["q"]
-            i, j = at[g.home_id], at[g.away_id]
-            ph = p[:, i] - p[:, j] + p[:, -1]
-            v = ph[i] - ph[j] + ph[-1] + s["r"]
-            e = g.margin - (x[i] - x[j] + x[-1])
-            loss += 0.5 * (math.log(2 * math.pi * v) + e * e / v)
-            n += 1
-            x, p = x + ph * (e / v), p - np.outer(ph, ph) / v
-        return pd.DataFrame([(rows.season.iloc[0], k, loss / max(n, 1), n)], columns=["season", "setting", "nll", "n"])
-
-    from pyspark.sql import functions as F
-
-    typed = games.where("margin is not null").selectExpr("season", "game_id", "game_date", "home_id", "away_id", "cast(margin as double) margin")
-    every = typed.withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
-    return every.groupBy("season", "setting").applyInPandas(run, "season string, setting int, nll double, n long")
+        rows, teams, hosts, guests = in_order(rows)
+        n = len(teams) * many
+        state = Beliefs(np.zeros((1, n)), np.full((1, n), p0), np.full((1, n), q))
+        y = (rows[factors].to_numpy(float) - np.array(means)) / np.array(sds)
+        z = rows.margin.to_numpy(float) - home
+        said, spread = np.empty(len(rows)), np.empty(len(rows))
+        for k, (i, j) in enumerate(zip(hosts.tolist(), guests.tolist(), strict=True)):
+            state.steps += 1
+            mean, within, reach = state.expect([*range(i * many, i * many + many), *range(j * many, j * many + many)], seen)
+            said[k] = w @ mean[0, :many] + home
+            spread[k] = w @ within[0, :many, :many] @ w + margin_var
+            shown = y[k] if margin_noise is None else np.append(y[k], z[k])
+            if not np.isnan(shown).any():
+                state.learn(shown - mean, within + noise, reach)
+        return rows[[*by, "game_id"]].assign(pred=said, pred_var=spread)
+
+    return typed_games(games, by, factors).groupBy(*by).applyInPandas(run, f"{keyed(games, by)}, game_id string, pred double, pred_var double")

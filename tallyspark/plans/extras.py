@@ -17,7 +17,7 @@ from tallyspark.operators import statespace as K
 from tallyspark.operators import trailing as T
 from tallyspark.plans.base import query, with_player, with_team
 from tallyspark.plans.factors import live, r
-from tallyspark.plans.models import home_games
+from tallyspark.plans.models import league_games
 from tallyspark.plans.plays import feed
 from tallyspark.sources import boxscores as B
 
@@ -135,24 +135,54 @@ def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lineup_channels(S.stints(events, S.period_starters(events))).select("game_id", "side", "pid", F.col("seconds"))
 
 
+FACTORS = ["efg_d", "oreb_d", "tov_d", "ftr_d"]
+
+
+def factor_calibration(games: DataFrame) -> dict:
+    """Means, deviations and margin weights of the factor differences, from one aggregate over the calibration seasons."""
+    stats = games.agg(*[f(c).alias(f"{n}_{c}") for c in FACTORS for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    means, sds = ([stats[f"{n}_{c}"] for c in FACTORS] for n in "ms")
+    standard = games.select("margin", *[((F.col(c) - m) / s).alias(c) for c, m, s in zip(FACTORS, means, sds, strict=True)])
+    fit = L.fit(standard, FACTORS, "margin")
+    return {"means": means, "sds": sds, "weights": [float(b) for b in fit["beta"][1:]], "home": float(fit["beta"][0]), "margin_var": float(fit["sigma2"])}
+
+
+def factor_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """league_games with the home side's factor differences."""
+    home = live(spark, sf_dir).where("is_home").select("game_id", *FACTORS)
+    return league_games(spark, sf_dir).join(home, "game_id")
+
+
 @query("q8_factor_filters")
 def factor_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter for each of four factor differences of every team: one pass, the factor being part of the key."""
-    names = ["efg_d", "tov_d", "oreb_d", "ftr_d"]
-    long = live(spark, sf_dir).select("team_id", "game_date", F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("y")) for c in names])).alias("f")).where("f.y is not null")
-    keyed = long.select(F.concat_ws("/", F.col("team_id").cast("string"), "f.factor").alias("key"), "game_date", (F.col("f.y") * 100).alias("y"), F.lit(48.0).alias("minutes"))
-    out = K.ou_filter(keyed, "key", "game_date", "y", "minutes", 0.002, 25.0, 4800.0, 0.0)
-    return out.select(F.split("key", "/")[0].cast("long").alias("team_id"), F.split("key", "/")[1].alias("factor"), "game_date", "pred", "level")
+    """A joint filter of four factors of all teams of a league, with the margin as a fifth observation or without."""
+    games = factor_games(spark, sf_dir)
+    known = factor_calibration(games.where("season < '1995_96'"))
+    parts = [K.factor_kalman(games, FACTORS, **known, margin_noise=noise, by=("season", "league")).withColumn("with_margin", F.lit(noise is not None)) for noise in (None, known["margin_var"])]
+    return parts[0].unionByName(parts[1])
+
+
+COMPONENT_SHARES = {"a": "score * 0.5", "b": "score * 0.3 - minutes * 5", "c": "minutes * 12 - score * 0.1"}
 
 
 @query("q10_component_filters")
 def component_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filters of a player's components, added up: level and variance of the total."""
-    log = B.player_log(spark, sf_dir).where("score is not null")
-    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), (F.col("score") * w).alias("y")) for i, w in enumerate((0.5, 0.3, 0.2))])).alias("p")
-    keyed = log.select(F.concat_ws("/", F.col("person_id").cast("string"), F.lit("p")).alias("base"), "game_date", "minutes", parts).select(F.concat("base", F.col("p.part").cast("string")).alias("key"), "game_date", F.col("p.y").alias("y"), "minutes")
+    """Filters of a player's components, added up: the total's prediction, and its variance without and with covariance.
+
+    The correlations are those of the components' standardised surprises in the first season, a handful of sums.
+    """
+    log = B.player_log(spark, sf_dir).where("score is not null").groupBy("person_id", "game_date", "season").agg(F.sum("score").cast("double").alias("score"), F.sum("minutes").cast("double").alias("minutes"))
+    long = log.select("person_id", "season", "game_date", "minutes", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.expr(v).alias("y")) for k, v in COMPONENT_SHARES.items()])).alias("p")).select("*", "p.*")
+    keyed = long.select(F.struct("person_id", "part").alias("key"), "game_date", "y", "minutes")
     out = K.ou_filter(keyed, "key", "game_date", "y", "minutes", 0.02, 1e5, 4e6, 600.0)
-    return out.groupBy(F.split("key", "/")[0].cast("long").alias("person_id"), "game_date").agg(F.sum("level").alias("level"), F.sum("level_var").alias("level_var"))
+    rows = out.select("key.person_id", "key.part", "game_date", "y", "pred", (F.col("pred_var") + 4e6 / F.col("minutes")).alias("var"))
+    wide = rows.groupBy("person_id", "game_date").agg(*[F.max(F.when(F.col("part") == k, F.col(c))).alias(f"{c}_{k}") for k in COMPONENT_SHARES for c in ("y", "pred", "var")])
+    surprise = {k: (F.col(f"y_{k}") - F.col(f"pred_{k}")) / F.sqrt(f"var_{k}") for k in COMPONENT_SHARES}
+    pairs = [("a", "b"), ("a", "c"), ("b", "c")]
+    early = wide.where("game_date < date'2024-01-16'").agg(*[F.corr(surprise[i], surprise[j]).alias(i + j) for i, j in pairs]).first()
+    total = lambda c: sum((F.col(f"{c}_{k}") for k in COMPONENT_SHARES), F.lit(0.0))
+    shared = sum((2 * float(early[i + j] or 0.0) * F.sqrt(F.col(f"var_{i}") * F.col(f"var_{j}")) for i, j in pairs), F.lit(0.0))
+    return wide.select("person_id", "game_date", total("pred").alias("pred"), total("var").alias("var"), (total("var") + shared).alias("joint_var"))
 
 
 @query("j18_name_resolution", "SELECT c_custkey, CAST(c_custkey AS BIGINT) AS person_id FROM customer")
@@ -244,6 +274,6 @@ def variance_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q7_m21_kalman_scores")
 def kalman_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter's predictions judged by season."""
-    games = home_games(spark, sf_dir)
-    said = K.team_kalman(games).join(games.select("season", "game_id", "margin"), ["season", "game_id"])
+    games = league_games(spark, sf_dir)
+    said = K.team_kalman(games, by=("season", "league")).join(games.select("game_id", "margin"), "game_id")
     return L.metrics(said, "pred", "margin", by=["season"])

@@ -161,14 +161,30 @@ def expected_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("season", "team_id").agg(r(F.sum("w"), "expected", 5), F.sum((F.col("margin") > 0).cast("int")).alias("wins"))
 
 
+def league_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """home_games in leagues of 30 teams: a league's games are those of a range of numbers, so a season of it is bounded."""
+    g = home_games(spark, sf_dir)
+    league = F.floor(F.col("game_id").cast("long") / 65_536).cast("int")
+    host = F.col("home_id") % 30
+    return g.withColumns({"league": league, "home_id": host, "away_id": (host + 1 + F.col("away_id") % 29) % 30})
+
+
 @query("q7_team_kalman")
 def team_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.team_kalman(home_games(spark, sf_dir))
+    return S.team_kalman(league_games(spark, sf_dir), by=("season", "league"))
+
+
+#: Settings of the team filter that are tried: drift, noise and first variance.
+KALMAN_GRID = [{"q": q, "r": v, "p0": p} for q in (0.002, 0.01, 0.03, 0.08) for v in (110.0, 130.0, 150.0, 170.0) for p in (4.0, 9.0, 16.0)]
 
 
 @query("m12_kalman_grid")
 def kalman_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.kalman_grid(home_games(spark, sf_dir), [{"q": q, "r": v, "p0": 30.0} for q in (0.1, 0.5) for v in (120.0, 160.0)])
+    """For every season, the setting of least loss over the seasons before it, and how it does in its own."""
+    games = S.kalman_grid(league_games(spark, sf_dir), KALMAN_GRID, by=("season", "league"))
+    seasons = games.groupBy("season", "setting").agg((F.sum(F.col("nll") * F.col("n")) / F.sum("n")).alias("nll"), (F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("mae"), F.sum("n").alias("n"))
+    settings = spark.createDataFrame([(k, s["q"], s["r"], s["p0"]) for k, s in enumerate(KALMAN_GRID)], "setting int, q double, r double, p0 double")
+    return S.chosen_before(seasons, "season").drop("loss").join(seasons, ["season", "setting"]).join(F.broadcast(settings), "setting")
 
 
 @query("q9_player_filter")
@@ -176,6 +192,36 @@ def player_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ou_filter(B.player_log(spark, sf_dir), "person_id", "game_date", "score", "minutes", 0.02, 0.9e6, 3.5e7, 2000.0)
 
 
+#: Half-lives in days, stationary variances and noise constants of the player filter that are tried.
+OU_GRID = [(float(h), s, c) for h in (3, 15, 60, 240, 1000) for s in (1e4, 1e5, 1e6) for c in (1e7, 3e7, 9e7)]
+
+
+def ou_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """setting, month, nll, n of all settings, around the mean value by minutes."""
+    log = B.player_log(spark, sf_dir).withColumn("month", F.date_format("game_date", "yyyy-MM"))
+    mu = log.where("score is not null").agg(F.sum(F.col("score") * F.col("minutes")) / F.sum("minutes")).first()[0]
+    return S.ou_likelihood(log, "person_id", "game_date", "score", "minutes", "month", [(0.6931471805599453 / h, s, c) for h, s, c in OU_GRID], float(mu or 0.0))
+
+
+def ou_settings(spark: SparkSession) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(k, *s) for k, s in enumerate(OU_GRID)], "setting int, half_life double, sigma2 double, c double"))
+
+
+@query("m13_ou_profile")
+def ou_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood's profile over the half-life: for each, the best of the other two parameters."""
+    total = ou_scores(spark, sf_dir).groupBy("setting").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n")).join(ou_settings(spark), "setting")
+    return total.groupBy("half_life").agg(F.min(F.struct("nll", "sigma2", "c", "n")).alias("b")).select("half_life", "b.*")
+
+
+@query("m13_ou_walk_forward")
+def ou_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every month, the parameters that were most likely over the months before it, and their loss in it."""
+    scores = ou_scores(spark, sf_dir)
+    found = S.chosen_before(scores, "month").drop("loss").join(scores, ["month", "setting"]).join(ou_settings(spark), "setting")
+    return found.select("month", "half_life", "sigma2", "c", (F.col("nll") / F.col("n")).alias("mean_nll"), "n")
+
+
 @query("l6_set_operations", with_player("SELECT person_id FROM log WHERE status = 'played' INTERSECT SELECT person_id FROM log WHERE status = 'inactive' EXCEPT SELECT person_id FROM log WHERE status = 'dnp_coach'"))
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = B.player_log(spark, sf_dir)

@@ -13,8 +13,8 @@ from tallyspark.operators import pairing as P
 from tallyspark.operators import trailing as T
 from tallyspark.sources import boxscores as B
 
-LAL = {"fgm": 40, "fga": 85, "fg3m": 10, "fg3a": 30, "ftm": 15, "fta": 20, "oreb": 12, "dreb": 35, "tov": 14, "pts": 110}
-BOS = {"fgm": 38, "fga": 88, "fg3m": 8, "fg3a": 28, "ftm": 14, "fta": 18, "oreb": 10, "dreb": 33, "tov": 16, "pts": 100}
+KEL = {"fgm": 36, "fga": 80, "fg3m": 12, "fg3a": 33, "ftm": 18, "fta": 25, "oreb": 9, "dreb": 31, "tov": 11, "pts": 102}
+ORN = {"fgm": 35, "fga": 84, "fg3m": 7, "fg3a": 25, "ftm": 21, "fta": 30, "oreb": 13, "dreb": 29, "tov": 15, "pts": 98}
 
 
 def games(spark, rows):
@@ -26,11 +26,11 @@ def row(game, team, abbr, home, counts, day=1, neutral=False):
 
 
 def test_golden_factors(spark):
-    out = P.with_factors(P.with_opponent(games(spark, [row("0022400001", 1, "LAL", True, LAL), row("0022400001", 2, "BOS", False, BOS)]))).where("team_id = 1").first()
-    want = {"off_efg_pct": 0.5294117647058824, "off_tov_pct": 0.12987012987012989, "off_orb_pct": 0.26666666666666666, "off_ft_rate": 0.23529411764705882, "def_efg_pct": 0.4772727272727273, "def_tov_pct": 0.14295925661186562, "def_orb_pct": 0.2222222222222222, "def_ft_rate": 0.20454545454545456}
+    out = P.with_factors(P.with_opponent(games(spark, [row("0022400001", 1, "KEL", True, KEL), row("0022400001", 2, "ORN", False, ORN)]))).where("team_id = 1").first()
+    want = {"off_efg_pct": 42 / 80, "off_tov_pct": 11 / 102, "off_orb_pct": 9 / 38, "off_ft_rate": 25 / 80, "def_efg_pct": 38.5 / 84, "def_tov_pct": 15 / 112.2, "def_orb_pct": 13 / 44, "def_ft_rate": 30 / 84}
     for name, value in want.items():
         assert out[name] == pytest.approx(value, abs=1e-15), name
-    assert out["margin"] == 10
+    assert out["margin"] == 4
 
 
 def test_a_scoreless_game_has_no_factors(spark):
@@ -44,18 +44,18 @@ def test_a_scoreless_game_has_no_factors(spark):
 @pytest.mark.parametrize("teams", [[1], [1, 2, 3]])
 def test_an_unpaired_game_raises(spark, teams):
     with pytest.raises(Exception, match="without exactly two rows"):
-        P.with_opponent(games(spark, [row("g", t, "A", True, LAL) for t in teams])).collect()
+        P.with_opponent(games(spark, [row("g", t, "A", True, KEL) for t in teams])).collect()
 
 
 def test_pairing_is_one_shuffle(spark):
-    plan = P.with_factors(P.with_opponent(games(spark, [row("g", 1, "A", True, LAL), row("g", 2, "B", False, BOS)])))._jdf.queryExecution().executedPlan().toString()
+    plan = P.with_factors(P.with_opponent(games(spark, [row("g", 1, "A", True, KEL), row("g", 2, "B", False, ORN)])))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
 def test_game_level_gives_neutral_games_a_home_side(spark):
-    rows = P.with_opponent(games(spark, [row("g", 1, "LAL", False, LAL, neutral=True), row("g", 2, "BOS", False, BOS, neutral=True)]))
+    rows = P.with_opponent(games(spark, [row("g", 1, "KEL", False, KEL, neutral=True), row("g", 2, "ORN", False, ORN, neutral=True)]))
     out = P.game_level(rows, ["team_abbr", "pts"]).first()
-    assert (out["home_team_abbr"], out["away_team_abbr"], out["home_pts"]) == ("BOS", "LAL", 100)
+    assert (out["home_team_abbr"], out["away_team_abbr"], out["home_pts"]) == ("KEL", "ORN", 102)
     assert P.game_level(rows, ["pts"], include_neutral=False).count() == 0
 
 
@@ -114,9 +114,9 @@ def test_haversine_and_clocks(spark):
     assert x["s"] == 690.5 and x["n"] == "luka doncic" and x["p"] == pytest.approx(0.9750021, abs=1e-6) and x["y"] == "2023_24" and x["g"] == "1997_98"
 
 
-def envelope(tmp_path, matchups=("LAL vs. BOS", "BOS @ LAL"), key="resultSets"):
+def envelope(tmp_path, matchups=("KEL vs. ORN", "ORN @ KEL"), key="resultSets"):
     headers = ["GAME_ID", "GAME_DATE", "MATCHUP", "TEAM_ID", "TEAM_ABBREVIATION", "FGM", "FGA", "FG3M", "FG3A", "FTM", "FTA", "OREB", "DREB", "TOV", "PTS"]
-    rows = [["22400001", "2024-11-01", m, t, m[:3], *[c[x] for x in P.COUNTS]] for t, (m, c) in enumerate(zip(matchups, (LAL, BOS), strict=True))]
+    rows = [["22400001", "2024-11-01", m, t, m[:3], *[c[x] for x in P.COUNTS]] for t, (m, c) in enumerate(zip(matchups, (KEL, ORN), strict=True))]
     one = {"name": "LeagueGameLog", "headers": headers, "rowSet": rows}
     (tmp_path / "log.json").write_text(json.dumps({key: [one] if key == "resultSets" else one}, indent=1))
     return str(tmp_path / "log.json")
@@ -125,15 +125,15 @@ def envelope(tmp_path, matchups=("LAL vs. BOS", "BOS @ LAL"), key="resultSets"):
 @pytest.mark.parametrize("key", ["resultSets", "resultSet"])
 def test_game_log_envelope(spark, tmp_path, key):
     rows = B.team_games_from_log(B.read_envelope(spark, envelope(tmp_path, key=key), "LeagueGameLog"), "2024_25", "regular_season").orderBy("team_id").collect()
-    assert [(r["game_id"], r["team_abbr"], r["is_home"], r["is_neutral"], r["pts"]) for r in rows] == [("0022400001", "LAL", True, False, 110), ("0022400001", "BOS", False, False, 100)]
+    assert [(r["game_id"], r["team_abbr"], r["is_home"], r["is_neutral"], r["pts"]) for r in rows] == [("0022400001", "KEL", True, False, 102), ("0022400001", "ORN", False, False, 98)]
     assert B.read_envelope(spark, envelope(tmp_path), "Other").count() == 0
 
 
 def test_neutral_and_corrupt_envelopes(spark, tmp_path):
-    rows = B.team_games_from_log(B.read_envelope(spark, envelope(tmp_path, ("LAL @ BOS", "BOS @ LAL"))), "2024_25", "regular_season").collect()
+    rows = B.team_games_from_log(B.read_envelope(spark, envelope(tmp_path, ("KEL @ ORN", "ORN @ KEL"))), "2024_25", "regular_season").collect()
     assert all(r["is_neutral"] and not r["is_home"] for r in rows)
     with pytest.raises(Exception, match="unknown match-up"):
-        B.team_games_from_log(B.read_envelope(spark, envelope(tmp_path, ("LAL - BOS", "BOS @ LAL"))), "2024_25", "regular_season").collect()
+        B.team_games_from_log(B.read_envelope(spark, envelope(tmp_path, ("KEL - ORN", "ORN @ KEL"))), "2024_25", "regular_season").collect()
     (tmp_path / "bad.json").write_text("{nothing")
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         B.read_envelope(spark, str(tmp_path / "bad.json")).collect()
@@ -142,7 +142,7 @@ def test_neutral_and_corrupt_envelopes(spark, tmp_path):
 
 
 def test_processed_tree(spark, tmp_path):
-    rows = P.with_opponent(games(spark, [row("a", 1, "LAL", True, LAL), row("a", 2, "BOS", False, BOS)]))
+    rows = P.with_opponent(games(spark, [row("a", 1, "KEL", True, KEL), row("a", 2, "ORN", False, ORN)]))
     root = str(tmp_path / "processed")
     assert B.read_processed(spark, root, "2020_21", "2025_26", "regular_season").count() == 0
     B.write_processed(rows, root)
@@ -161,6 +161,6 @@ def test_box_scores_lines_and_coaches(spark, tmp_path):
     assert rows[1]["minutes"] == 30.5 and rows[1]["starter"] and rows[3]["minutes"] == 12.0 and not rows[3]["is_home"]
     (tmp_path / "l.csv").write_text("date,home,away,score_home,score_away,spread,total,whos_favored\n2024-11-01,a,b,1,2,3.5,200,away\n2024-11-02,a,b,1,2,3.5,200,home\n")
     assert [r["line"] for r in B.lines_csv(spark, str(tmp_path / "l.csv")).orderBy("date").collect()] == [-3.5, 3.5]
-    (tmp_path / "c.txt").write_text("#2023\nBOS,Ann\nBOS,Bob\n#2024\nBOS,Bob\n")
+    (tmp_path / "c.txt").write_text("#2023\nORN,Ann\nORN,Bob\n#2024\nORN,Bob\n")
     got = [tuple(r) for r in B.coach_stints(spark, str(tmp_path / "c.txt")).orderBy("season", "stint").collect()]
-    assert got == [("2023_24", "BOS", "Ann", 1), ("2023_24", "BOS", "Bob", 2), ("2024_25", "BOS", "Bob", 1)]
+    assert got == [("2023_24", "ORN", "Ann", 1), ("2023_24", "ORN", "Bob", 2), ("2024_25", "ORN", "Bob", 1)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -64,21 +65,122 @@ def test_player_filter_follows_a_level_and_ignores_absence(spark):
     assert other[30]["level"] == other[30]["pred"] and [tuple(r) for r in out[:30]] == [tuple(r) for r in other[:30]]
 
 
-def test_team_kalman_finds_the_better_team_and_never_looks_ahead(spark):
-    rng = np.random.default_rng(2)
+LEAGUE = "season string, game_id string, game_date date, home_id long, away_id long, margin double"
+
+
+def league(n=90, seed=2):
+    rng = np.random.default_rng(seed)
     strength = {1: 8.0, 2: 0.0, 3: -8.0}
     rows = []
-    for i in range(90):
+    for i in range(n):
         h, a = rng.choice([1, 2, 3], 2, replace=False)
         rows.append(("2024_25", f"{i:03}", DAY(1) + dt.timedelta(days=i), int(h), int(a), float(strength[h] - strength[a] + 2.5 + rng.normal() * 3)))
-    schema = "season string, game_id string, game_date date, home_id long, away_id long, margin double"
-    out = {r["game_id"]: r["pred"] for r in K.team_kalman(spark.createDataFrame(rows, schema), q=0.01, r=9.0).collect()}
+    return strength, rows
+
+
+def textbook(observed, h, noise, drift, x, p, wanted=None):
+    """A Kalman filter with whole matrices: what is foreseen of `wanted` (a row of each h by default), step by step."""
+    said = []
+    for y, m in zip(observed, h, strict=True):
+        p = p + np.diag(drift)
+        row = m[0] if wanted is None else wanted(m)
+        said.append((row @ x, row @ p @ row))
+        if not np.isnan(y).any():
+            gain = p @ m.T @ np.linalg.inv(m @ p @ m.T + noise)
+            x, p = x + gain @ (y - m @ x), (np.eye(len(x)) - gain @ m) @ p
+    return np.array(said)
+
+
+def test_team_kalman_finds_the_better_team_and_never_looks_ahead(spark):
+    strength, rows = league()
+    out = {r["game_id"]: r["pred"] for r in K.team_kalman(spark.createDataFrame(rows, LEAGUE), q=0.01, r=9.0).collect()}
     late = rows[60:]
     assert np.mean([abs(out[r[1]] - (strength[r[3]] - strength[r[4]] + 2.5)) for r in late]) < 2
     changed = [(*r[:5], -50.0) if r is rows[-1] else r for r in rows]
-    assert {r["game_id"]: r["pred"] for r in K.team_kalman(spark.createDataFrame(changed, schema), q=0.01, r=9.0).collect()} == out
-    grid = K.kalman_grid(spark.createDataFrame(rows, schema), [{"q": 0.01, "r": 9.0, "p0": 30.0}, {"q": 5.0, "r": 400.0, "p0": 30.0}]).orderBy("setting").collect()
-    assert grid[0]["nll"] < grid[1]["nll"]
+    assert {r["game_id"]: r["pred"] for r in K.team_kalman(spark.createDataFrame(changed, LEAGUE), q=0.01, r=9.0).collect()} == out
+
+
+def test_team_kalman_is_the_textbook_filter(spark):
+    _, rows = league(40)
+    rows[7] = (*rows[7][:5], None)  # not played yet
+    h = [np.array([[(t == r[3]) - (t == r[4]) for t in (1, 2, 3)] + [1.0]], float) for r in rows]
+    y = [np.array([np.nan if r[5] is None else r[5]]) for r in rows]
+    want = textbook(y, h, np.array([[9.0]]), [0.02] * 3 + [0.0], np.array([1.5, 0.0, -4.0, 2.5]), np.diag([30.0, 30.0, 30.0, 1.0]))
+    seed = spark.createDataFrame([("2024_25", 1, 1.5), ("2024_25", 3, -4.0)], "season string, team_id long, rating double")
+    got = sorted(tuple(r)[1:] for r in K.team_kalman(spark.createDataFrame(rows, LEAGUE), seed, q=0.02, r=9.0).collect())
+    assert np.allclose([g[1] for g in got], want[:, 0]) and np.allclose([g[2] for g in got], want[:, 1] + 9.0)
+
+
+def test_kalman_grid_is_each_setting_by_itself_and_choices_look_back(spark):
+    rows = [(f"202{k}", *r[1:]) for k in range(3) for r in league(30, k)[1]]
+    games = spark.createDataFrame(rows, LEAGUE)
+    grid = [{"q": 0.01, "r": 9.0, "p0": 30.0}, {"q": 5.0, "r": 400.0, "p0": 30.0}]
+    scores = K.kalman_grid(games, grid)
+    for r in scores.collect():
+        s = grid[r["setting"]]
+        own = K.team_kalman(games.where(F.col("season") == r["season"]), q=s["q"], r=s["r"], p0=s["p0"]).join(games, ["season", "game_id"])
+        one = own.agg(F.avg(0.5 * (F.log(2 * math.pi * F.col("pred_var")) + F.pow(F.col("margin") - F.col("pred"), 2) / F.col("pred_var"))).alias("nll"), F.avg(F.abs(F.col("margin") - F.col("pred"))).alias("mae")).first()
+        assert r["nll"] == pytest.approx(one["nll"]) and r["mae"] == pytest.approx(one["mae"]) and r["n"] == 30
+    assert sorted((r["season"], r["setting"]) for r in K.chosen_before(scores, "season").collect()) == [("2021", 0), ("2022", 0)]
+
+
+@pytest.mark.parametrize("margin_noise", [None, 4.0])
+def test_factor_kalman_is_the_textbook_filter(spark, margin_noise):
+    rng = np.random.default_rng(4)
+    rows = [(*r, *map(float, rng.normal(size=2))) for r in league(25)[1]]
+    rows[5] = (*rows[5][:7], None)
+    w = np.array([2.0, -1.0])
+    h, y = [], []
+    for r in rows:
+        m = np.zeros((2, 6))
+        for k in range(2):
+            m[k, 2 * (r[3] - 1) + k], m[k, 2 * (r[4] - 1) + k] = 1, -1
+        z = [np.nan if v is None else (v - 0.1) / 2 for v in r[6:]]
+        h.append(m if margin_noise is None else np.vstack([m, w @ m]))
+        y.append(np.array(z if margin_noise is None else [*z, r[5] - 2.5]))
+    noise = np.diag([1.5, 1.5] + ([] if margin_noise is None else [margin_noise]))
+    want = textbook(y, h, noise, [0.03] * 6, np.zeros(6), np.eye(6) * 0.7, lambda m: w @ m[:2])
+    found = K.factor_kalman(spark.createDataFrame(rows, LEAGUE + ", f double, g double"), ["f", "g"], [0.1, 0.1], [2.0, 2.0], list(w), 2.5, 5.0, q=0.03, r=1.5, p0=0.7, margin_noise=margin_noise)
+    got = sorted(tuple(r)[1:] for r in found.collect())
+    assert np.allclose([g[1] for g in got], want[:, 0] + 2.5) and np.allclose([g[2] for g in got], want[:, 1] + 5.0)
+
+
+def careers(players=40, games=80, half_life=30.0, seed=5):
+    """Levels that revert with a known half-life, seen with noise 300 / minutes."""
+    rng = np.random.default_rng(seed)
+    rows, lam = [], math.log(2) / half_life
+    for p in range(players):
+        level, day = rng.normal() * 5, 0
+        for _ in range(games):
+            step = int(rng.integers(1, 6))
+            day += step
+            keep = math.exp(-lam * step)
+            level = keep * level + rng.normal() * 5 * math.sqrt(1 - keep * keep)
+            minutes = float(rng.integers(10, 40))
+            rows.append((p, dt.date(2023, 1, 1) + dt.timedelta(days=day), level + rng.normal() * math.sqrt(300 / minutes), minutes))
+    return [(*r[:2], None, None) if i % 11 == 3 else r for i, r in enumerate(rows)]
+
+
+def test_likelihood_is_the_sum_of_its_rows_and_finds_the_half_life(spark):
+    rows = careers()
+    df = spark.createDataFrame(rows, "person long, d date, y double, m double").withColumn("month", F.date_format("d", "yyyy-MM"))
+    settings = [(math.log(2) / h, 25.0, 300.0) for h in (2.0, 30.0, 500.0)]
+    got = {(r["setting"], r["month"]): (r["nll"], r["n"]) for r in K.ou_likelihood(df, "person", "d", "y", "m", "month", settings, 0.0).collect()}
+    want = {}
+    for k, (lam, s2, c) in enumerate(settings):
+        for p in range(40):
+            level, var, last = 0.0, s2, None
+            for _, d, y, m in (r for r in rows if r[0] == p):
+                keep = math.exp(-lam * (d - last).days) if last else 1.0
+                last, level, var = d, keep * level, keep**2 * var + s2 * (1 - keep**2)
+                if y is not None:
+                    f = var + c / m
+                    total, n = want.get((k, f"{d:%Y-%m}"), (0.0, 0))
+                    want[k, f"{d:%Y-%m}"] = (total + 0.5 * (math.log(2 * math.pi * f) + (y - level) ** 2 / f), n + 1)
+                    level, var = level + var / f * (y - level), var * (1 - var / f)
+    assert got.keys() == want.keys() and all(got[k] == (pytest.approx(want[k][0]), want[k][1]) for k in want)
+    sums = [sum(v[0] for (k, _), v in got.items() if k == s) for s in range(3)]
+    assert sums[1] == min(sums)
 
 
 def play(pos, kind, team=1, pid=11, made=False, at=0.0, pts=0, n=1, m=1, oreb=None, technical=False, flagrant=False, period=1):
