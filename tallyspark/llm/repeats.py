@@ -3,8 +3,9 @@
 A string of SPAN bytes is found through its anchor: of the K-grams inside it, the one with the smallest hash, leftmost
 first. Equal strings have equal anchors, so only anchors that occur in two documents matter, and text around others is
 never moved. Text around shared anchors is gathered by anchor, every distinct stretch once with the smallest doc_id
-that has it. Where an anchor has several stretches, these go into a run-length index, and streaming them through it
-gives, for each place, the earliest document with which the match is SPAN bytes long.
+that has it. Where an anchor has several stretches, all but that of the last document go into a run-length index, and
+all but that of the first are streamed through it: matching statistics tell where SPAN bytes match, and the index holds
+the earliest document of each such string. A stretch that no earlier one is like is never sorted.
 
 Texts travel as compressed batches, hashes and answers as packed arrays, so a shuffled row is large and rows are few.
 An anchor in very many documents is sent once or twice by each batch; where it has many different stretches, its
@@ -35,8 +36,8 @@ GRAMS = SPAN - K + 1
 #: Bytes of text in a batch (a longer document is a batch by itself), places looked at together, and the number of
 #: batches from which an anchor's strings are dealt one by one.
 BATCH, CHUNK, HOT = 1_500_000, 1 << 18, 2048
-#: Rows of a batch at most.
-ROWS = 60_000
+#: Rows of a batch at most, and bytes of the stretches whose anchors share an index.
+ROWS, INDEXED = 60_000, 400_000
 LAST = np.iinfo(np.int64).max
 _BYTES = np.random.default_rng(501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xA24BAED4963EE407
@@ -289,16 +290,25 @@ def earliest_holders(table: pa.Table) -> pa.Table:
     of[order] = np.cumsum(new) - 1
     one = order[start]  # a row for each distinct stretch
     first_doc = np.minimum.reduceat(least[order], start)
-    same_key = np.flatnonzero(np.diff(key[one]) == 0)
-    several = np.zeros(len(one), bool)
-    several[same_key] = several[same_key + 1] = True
     strings = size[one] - SPAN + 1
     base = np.cumsum(strings) - strings
     answer = np.repeat(first_doc, strings)
-    if several.any():
-        rows = one[several]
-        index = RunIndex(gathered(text, begin[rows], size[rows]), size[rows], first_doc[several], SPAN)
-        answer[np.repeat(several, strings)] = index.earliest()
+    # the distinct stretches of each anchor, by their first documents
+    by_doc = np.lexsort((first_doc, key[one]))
+    same = key[one][by_doc][1:] == key[one][by_doc][:-1]
+    indexed, streamed = np.append(same, False), np.append(False, same)
+    some = np.flatnonzero(indexed | streamed)
+    volume = np.cumsum(size[one][by_doc][some])
+    begins = some[~streamed[some]]
+    part = np.searchsorted(begins, some, "right") - 1  # the anchor, and then the index that it belongs to
+    part = (volume[np.searchsorted(some, begins)] // INDEXED)[part] if len(some) else part
+    for rows in np.split(some, np.flatnonzero(np.diff(part)) + 1) if len(some) else []:
+        held, asked = by_doc[rows[indexed[rows]]], by_doc[rows[streamed[rows]]]
+        index = RunIndex(gathered(text, begin[one[held]], size[one[held]]), size[one[held]], first_doc[held], SPAN)
+        found = index.matched(gathered(text, begin[one[asked]], size[one[asked]]), size[one[asked]])
+        wide = strings[asked]
+        at = np.repeat(base[asked] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
+        answer[at] = np.minimum(answer[at], found)
     out = []
     at = 0
     for number, n in zip(table["batch"].to_pylist(), counts, strict=True):

@@ -53,22 +53,60 @@ def test_codec_tables():
     assert telephony.ALAW[0xD5] == 8 and telephony.MULAW[0xFF] == 0
 
 
+def plain_adpcm(block):
+    steps = telephony.adpcm_steps()
+    sample, index = struct.unpack("<h", block[:2])[0], min(88, block[2])
+    out = [sample]
+    for byte in block[4:]:
+        for nibble in (byte & 15, byte >> 4):
+            step = int(steps[index])
+            diff = (step >> 3) + (step if nibble & 4 else 0) + (step >> 1 if nibble & 2 else 0) + (step >> 2 if nibble & 1 else 0)
+            sample = max(-32768, min(32767, sample - diff if nibble & 8 else sample + diff))
+            index = max(0, min(88, index + telephony.INDEX_MOVES[nibble]))
+            out.append(sample)
+    return out
+
+
+def plain_mulaw(code):
+    code = ~code & 255
+    size = ((((code & 15) << 3) + 132) << ((code >> 4) & 7)) - 132
+    return -size if code & 128 else size
+
+
+def plain_alaw(code):
+    code ^= 0x55
+    exponent, size = (code >> 4) & 7, ((code & 15) << 4) + 8
+    size = size if exponent == 0 else (size + 256) << (exponent - 1)
+    return size if code & 128 else -size
+
+
 def test_adpcm_of_many_blocks_is_that_of_each():
     blocks = np.random.default_rng(8).integers(0, 256, (50, 64), dtype=np.uint8)
-    blocks[:, 2] %= 89
     got = telephony.decode_adpcm(blocks, lanes=7)
-    steps = telephony.adpcm_steps()
     for block, pcm in zip(blocks, got, strict=True):
-        sample, index = struct.unpack("<h", block[:2].tobytes())[0], int(block[2])
-        want = [sample]
-        for byte in block[4:].tolist():
-            for nibble in (byte & 15, byte >> 4):
-                step = int(steps[index])
-                diff = (step >> 3) + (step if nibble & 4 else 0) + (step >> 1 if nibble & 2 else 0) + (step >> 2 if nibble & 1 else 0)
-                sample = max(-32768, min(32767, sample - diff if nibble & 8 else sample + diff))
-                index = max(0, min(88, index + telephony.INDEX_MOVES[nibble]))
-                want.append(sample)
-        assert pcm.tolist() == want
+        assert pcm.tolist() == plain_adpcm(block.tobytes())
+
+
+def test_features_are_those_of_the_stored_samples(spark, monkeypatch):
+    monkeypatch.setattr(telephony, "TOGETHER", 500)
+    texts = ["", "Ärger, ça va? 你好 " * 40, "a" * 191, "b" * 192, "c" * 193]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def summary(x):
+        return f"{max(map(abs, x))}:{sum(v * v for v in x) // len(x)}:{sum((p < 0) != (q < 0) for p, q in zip(x, x[1:], strict=False))}"
+
+    for rate in (4000, 8000, 16000):
+        for r in telephony.text_media(docs, "mulaw", rate).collect():
+            raw = texts[r["doc_id"]].encode()
+            raw += b" " * (-len(raw) % 192 if raw else 192)
+            pcm = [plain_mulaw(c) for c in raw]
+            if rate == 4000:
+                pcm = [(p + q) >> 1 for p, q in zip(pcm[::2], pcm[1::2], strict=True)]
+            if rate == 16000:
+                pcm = [v for p, q in zip(pcm, [*pcm[1:], pcm[-1]], strict=True) for v in (p, (p + q) >> 1)]
+            crc = zlib.crc32(struct.pack(f"<{len(pcm)}h", *pcm))
+            adpcm = [v for k in range(0, len(raw), 192) for v in plain_adpcm(raw[k : k + 192])]
+            assert r["feature"] == f"mulaw {summary(pcm)} {crc} alaw {summary([plain_alaw(c) for c in raw])} adpcm {summary(adpcm)}"
 
 
 @pytest.mark.parametrize("codec", ["mulaw", "alaw", "adpcm"])

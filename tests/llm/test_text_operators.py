@@ -185,13 +185,18 @@ def test_repeats_give_texts_and_keep_columns(docs):
             assert hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.integers(2, 9), st.lists(st.binary(min_size=9, max_size=25).map(lambda b: bytes(c % 3 for c in b)), min_size=1, max_size=8), st.data())
-def test_run_index(depth, strings, data):
-    weights = [data.draw(st.integers(0, 9)) for _ in strings]
-    index = RunIndex(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), np.array(weights, np.int64), depth)
-    want = [min(w for w, t in zip(weights, strings, strict=True) if s[i : i + depth] in t) for s in strings for i in range(len(s) - depth + 1)]
-    assert index.earliest().tolist() == want
+few_bytes = st.lists(st.binary(min_size=1, max_size=25).map(lambda b: bytes(c % 3 for c in b)), min_size=1, max_size=8)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(2, 12), few_bytes, few_bytes, st.data())
+def test_run_index(depth, held, asked, data):
+    asked = [*asked, *(a + h[: len(h) // 2 + 4] for a, h in zip(asked, held, strict=False))]
+    weights = [data.draw(st.integers(0, 9)) for _ in held]
+    flat = lambda strings: (np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]))
+    index = RunIndex(*flat(held), np.array(weights, np.int64), depth)
+    want = [min([w for w, t in zip(weights, held, strict=True) if s[i : i + depth] in t], default=repeats.LAST) for s in asked for i in range(len(s) - depth + 1)]
+    assert index.matched(*flat(asked)).tolist() == want
 
 
 def test_passages_cover_every_exact_repeat(docs, no_docs):
