@@ -30,15 +30,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of documents of similar 5-word shingles (0.8 or more).
 
-    Rows that share a kept doc_id are one document; the row of the least text stays. Rows without a doc_id all stay.
+    Rows that repeat a kept doc_id with different texts all stay; of rows equal in doc_id and text, the least stays.
+    Rows without a doc_id all stay.
     """
     kept = near.near_components(docs, size=5, percent=80).where("kept and doc_id is not null")
     ids = stored(kept.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    # the hint makes small tables take the same way as large ones
+    # the hints make small tables take the same way as large ones
     single = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    rest = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    several = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("row"))
-    return single.unionByName(several.select("doc_id", "row.*")).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rest = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    several = docs.join(ids.where("n > 1").select("doc_id").hint("merge"), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("row"))
+    return single.unionByName(several.select("doc_id", "text", "row.*")).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
