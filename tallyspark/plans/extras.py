@@ -173,9 +173,10 @@ def component_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     log = B.player_log(spark, sf_dir).where("score is not null").groupBy("person_id", "game_date", "season").agg(F.sum("score").cast("double").alias("score"), F.sum("minutes").cast("double").alias("minutes"))
     long = log.select("person_id", "season", "game_date", "minutes", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.expr(v).alias("y")) for k, v in COMPONENT_SHARES.items()])).alias("p")).select("*", "p.*")
-    keyed = long.select(F.struct("person_id", "part").alias("key"), "game_date", "y", "minutes")
+    keyed = long.select(F.concat_ws("/", "person_id", "part").alias("key"), "game_date", "y", "minutes")
     out = K.ou_filter(keyed, "key", "game_date", "y", "minutes", 0.02, 1e5, 4e6, 600.0)
-    rows = out.select("key.person_id", "key.part", "game_date", "y", "pred", (F.col("pred_var") + 4e6 / F.col("minutes")).alias("var"))
+    parts = F.split("key", "/")
+    rows = out.select(parts[0].cast("long").alias("person_id"), parts[1].alias("part"), "game_date", "y", "pred", (F.col("pred_var") + 4e6 / F.col("minutes")).alias("var"))
     wide = rows.groupBy("person_id", "game_date").agg(*[F.max(F.when(F.col("part") == k, F.col(c))).alias(f"{c}_{k}") for k in COMPONENT_SHARES for c in ("y", "pred", "var")])
     surprise = {k: (F.col(f"y_{k}") - F.col(f"pred_{k}")) / F.sqrt(f"var_{k}") for k in COMPONENT_SHARES}
     pairs = [("a", "b"), ("a", "c"), ("b", "c")]
@@ -199,56 +200,6 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("team_id"), F.lit(5)).cast("int")).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("team_id").alias("teams"))
 
 
-def trailing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.causal_means(live(spark, sf_dir), ["season", "team_id"], ["game_date", "game_id"], ["margin", "efg_d", "tov_d", "oreb_d", "ftr_d"], 15, 2)
-
-
-@query("m20_m22_feature_sweep")
-def feature_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk-forward error of several feature sets on one table: the sums of each set are taken once per season."""
-    rows = trailing_table(spark, sf_dir)
-    sets = {"margin": ["margin_exp"], "factors": ["efg_d_exp", "tov_d_exp", "oreb_d_exp", "ftr_d_exp"], "both": ["margin_exp", "efg_d_exp", "tov_d_exp"]}
-    out = None
-    for name, features in sets.items():
-        one = L.metrics(L.walk_forward(rows, "season", features, "margin"), "prediction", "margin").withColumn("features", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("m23_matchup")
-def matchup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a product of both teams' tendencies helps beyond them: coefficients with standard errors."""
-    rows = P.with_opponent(trailing_table(spark, sf_dir).select("game_id", "team_id", "margin", F.col("efg_d_exp").alias("a")), ["a"])
-    rows = rows.withColumn("product", F.col("a") * F.col("opp_a"))
-    f = L.fit(rows, ["a", "opp_a", "product"], "margin")
-    return spark.createDataFrame([(n, float(b), float(s)) for n, b, s in zip(("intercept", "own", "theirs", "product"), f["beta"], f["se"], strict=True)], "term string, beta double, se double")
-
-
-@query("m19_boosting")
-def boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient-boosted trees on earlier seasons, judged on later ones; missing values take the training median."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    names = ["margin_exp", "efg_d_exp", "tov_d_exp", "oreb_d_exp"]
-    rows = trailing_table(spark, sf_dir).select("season", "game_id", "team_id", F.col("margin").cast("double").alias("margin"), *names)
-    stages = [Imputer(strategy="median", inputCols=names, outputCols=[f"i_{c}" for c in names]), VectorAssembler(inputCols=[f"i_{c}" for c in names], outputCol="x"), GBTRegressor(featuresCol="x", labelCol="margin", maxIter=10, maxDepth=3, seed=7)]
-    model = Pipeline(stages=stages).fit(rows.where("season < '1999_00'"))
-    return L.metrics(model.transform(rows.where("season >= '1999_00'")), "prediction", "margin", by=["season"])
-
-
-@query("m25_m36_common_universe")
-def common_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two models and their mean on the rows that both predict, by season."""
-    rows = trailing_table(spark, sf_dir)
-    one = L.walk_forward(rows, "season", ["margin_exp"], "margin").select("season", "game_id", "team_id", "margin", F.col("prediction").alias("a"))
-    two = L.walk_forward(rows, "season", ["efg_d_exp", "tov_d_exp"], "margin").select("game_id", "team_id", F.col("prediction").alias("b"))
-    both = one.where("a is not null").join(two.where("b is not null"), ["game_id", "team_id"])
-    long = both.select("season", "margin", F.explode(F.array(*[F.struct(F.lit(n).alias("model"), v.alias("prediction")) for n, v in (("margin", F.col("a")), ("factors", F.col("b")), ("mean", (F.col("a") + F.col("b")) / 2))])).alias("m"))
-    return L.metrics(long.select("season", "margin", "m.model", "m.prediction"), "prediction", "margin", by=["model", "season"])
-
-
 @query(
     "m27_fallback",
     with_team(", n AS (SELECT *, row_number() OVER (PARTITION BY season, team_id ORDER BY game_date, game_id) - 1 AS before FROM live) SELECT CASE WHEN before >= 5 THEN 'full' WHEN before >= 2 THEN 'reduced' ELSE 'seed_only' END AS regime, count(*) AS n, round(avg(abs(margin)), 6) AS mae FROM n GROUP BY ALL"),

@@ -193,14 +193,14 @@ def player_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Half-lives in days, stationary variances and noise constants of the player filter that are tried.
-OU_GRID = [(float(h), s, c) for h in (3, 15, 60, 240, 1000) for s in (1e4, 1e5, 1e6) for c in (1e7, 3e7, 9e7)]
+OU_GRID = [(float(h), s, c) for h in (1, 3, 15, 60, 240) for s in (1e4, 1e5, 1e6, 1e7) for c in (3e7, 1e8, 3e8, 1e9)]
 
 
 def ou_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """setting, month, nll, n of all settings, around the mean value by minutes."""
-    log = B.player_log(spark, sf_dir).withColumn("month", F.date_format("game_date", "yyyy-MM"))
+    """setting, week, nll, n of all settings, around the mean value by minutes."""
+    log = B.player_log(spark, sf_dir).withColumn("week", F.date_trunc("week", "game_date").cast("date").cast("string"))
     mu = log.where("score is not null").agg(F.sum(F.col("score") * F.col("minutes")) / F.sum("minutes")).first()[0]
-    return S.ou_likelihood(log, "person_id", "game_date", "score", "minutes", "month", [(0.6931471805599453 / h, s, c) for h, s, c in OU_GRID], float(mu or 0.0))
+    return S.ou_likelihood(log, "person_id", "game_date", "score", "minutes", "week", [(0.6931471805599453 / h, s, c) for h, s, c in OU_GRID], float(mu or 0.0))
 
 
 def ou_settings(spark: SparkSession) -> DataFrame:
@@ -216,10 +216,10 @@ def ou_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m13_ou_walk_forward")
 def ou_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every month, the parameters that were most likely over the months before it, and their loss in it."""
+    """For every week, the parameters that were most likely over the weeks before it, and their loss in it."""
     scores = ou_scores(spark, sf_dir)
-    found = S.chosen_before(scores, "month").drop("loss").join(scores, ["month", "setting"]).join(ou_settings(spark), "setting")
-    return found.select("month", "half_life", "sigma2", "c", (F.col("nll") / F.col("n")).alias("mean_nll"), "n")
+    found = S.chosen_before(scores, "week").drop("loss").join(scores, ["week", "setting"]).join(ou_settings(spark), "setting")
+    return found.select("week", "half_life", "sigma2", "c", (F.col("nll") / F.col("n")).alias("mean_nll"), "n")
 
 
 @query("l6_set_operations", with_player("SELECT person_id FROM log WHERE status = 'played' INTERSECT SELECT person_id FROM log WHERE status = 'inactive' EXCEPT SELECT person_id FROM log WHERE status = 'dnp_coach'"))
