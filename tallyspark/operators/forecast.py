@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions import exprs as E
 from tallyspark.operators import linear as L
+from tallyspark.operators.sparse import solved
+
+#: The unknown of the home term beside the teams'.
+HOME = -(1 << 62)
 
 
 def blend(prior: str | Column, current: str | Column, n: str | Column, k: float | Column) -> Column:
@@ -49,22 +52,19 @@ def frozen_forecasts(games: DataFrame, ratings: DataFrame, at: list[int], home:
     return rows.groupBy("season", "team_id", "x").agg(F.sum(F.when(done, (F.col("margin") > 0).cast("double")).otherwise(0.0)).alias("banked"), F.sum(F.when(done, (F.col("margin") > 0).cast("double")).otherwise(E.win_probability(edge, sigma))).alias("expected"))
 
 
-def market_ratings(lines: DataFrame, ridge: float = 1.0) -> DataFrame:
+def market_ratings(lines: DataFrame, ridge: float = 1.0, small: int = 2000) -> DataFrame:
     """team_id and rating implied by lines (home_id, away_id, line): ridge least squares, the home term free.
 
-    The normal equations are two aggregates over games; what comes to the driver is as small as the league.
+    The normal equations are sums per pair of teams that met. They are solved where they lie (see sparse.solved).
     """
-    pairs = lines.where("line is not null").groupBy("home_id", "away_id").agg(F.count("*").alias("n"), F.sum("line").alias("s")).collect()
-    teams = sorted({t for r in pairs for t in (r["home_id"], r["away_id"])})
-    at, p = {t: i for i, t in enumerate(teams)}, len(teams)
-    a, b = np.zeros((p + 1, p + 1)), np.zeros(p + 1)
-    for r in pairs:
-        x = np.zeros(p + 1)
-        x[at[r["home_id"]]], x[at[r["away_id"]]], x[p] = 1, -1, 1
-        a += r["n"] * np.outer(x, x)
-        b += r["s"] * x
-    beta = np.linalg.lstsq(a + np.diag([ridge] * p + [0.0]), b, rcond=None)[0]
-    return lines.sparkSession.createDataFrame([(int(t), float(beta[at[t]])) for t in teams], "team_id long, rating double")
+    met = lines.where("line is not null").groupBy("home_id", "away_id").agg(F.count("*").cast("double").alias("n"), F.sum("line").cast("double").alias("s"))
+    entry = lambda team, sign: F.struct(team.cast("long").alias("c"), F.lit(sign).alias("v"))
+    own = F.array(entry(F.col("home_id"), 1.0), entry(F.col("away_id"), -1.0), F.struct(F.lit(HOME).alias("c"), F.lit(1.0).alias("v")))
+    cells = met.select("n", "s", own.alias("x"))
+    gram = cells.select("n", F.explode("x").alias("a"), "x").select("n", "a", F.explode("x").alias("b")).groupBy(F.col("a.c").alias("i"), F.col("b.c").alias("j")).agg(F.sum(F.col("n") * F.col("a.v") * F.col("b.v")).alias("g"))
+    right = cells.select("s", F.explode("x").alias("a")).groupBy(F.col("a.c").alias("i")).agg(F.sum(F.col("s") * F.col("a.v")).alias("b"))
+    penalty = F.when(F.col("i") == HOME, 0.0).otherwise(float(ridge))
+    return solved(gram, right.withColumn("penalty", penalty), small=small).where(F.col("i") != HOME).select(F.col("i").alias("team_id"), F.col("x").alias("rating"))
 
 
 def project_minutes(players: DataFrame, share: str, team: list[str], cap: float = 38.0) -> DataFrame:

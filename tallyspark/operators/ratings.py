@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import exprs as E
+from tallyspark.operators.sparse import solved
 
 
 def design(stints: DataFrame) -> DataFrame:
@@ -20,35 +20,26 @@ def design(stints: DataFrame) -> DataFrame:
     return sums.withColumn("y", 100 * F.col("pts") / F.col("w")).drop("pts")
 
 
-def ridge_ratings(rows: DataFrame, ridge: float, prior: DataFrame | None = None) -> DataFrame:
+def ridge_ratings(rows: DataFrame, ridge: float, prior: DataFrame | None = None, small: int = 2000) -> DataFrame:
     """person_id, offence, defence (points saved per 100) by weighted ridge regression towards a prior.
 
-    The Gram matrix is one aggregate over pairs of the 12 entries of each row; its size is that of the players, not of
-    the rows, and only it comes to the driver. prior: person_id, offence, defence. Intercept and home term are free.
+    The Gram matrix is one aggregate over pairs of the 12 entries of each row, and is solved where it lies once there are
+    many players (see sparse.solved). prior: person_id, offence, defence. Intercept and home term are free.
     """
-    spark = rows.sparkSession
     entry = lambda kind, sign: lambda p: F.struct(F.concat(F.lit(kind), p.cast("string")).alias("c"), F.lit(sign).alias("v"))
     fixed = F.array(F.struct(F.lit("1").alias("c"), F.lit(1.0).alias("v")), F.struct(F.lit("home").alias("c"), F.col("home").alias("v")))
     cells = rows.select("y", "w", F.concat(F.transform("off", entry("o", 1.0)), F.transform("def", entry("d", -1.0)), fixed).alias("x"))
     pair = cells.select("w", F.explode("x").alias("a"), "x").select("w", "a", F.explode("x").alias("b"))
-    gram = pair.groupBy(F.col("a.c").alias("i"), F.col("b.c").alias("j")).agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("g")).collect()
-    right = cells.select("w", "y", F.explode("x").alias("a")).groupBy(F.col("a.c").alias("i")).agg(F.sum(F.col("w") * F.col("y") * F.col("a.v")).alias("g")).collect()
-    names = sorted({r["i"] for r in right})
-    at = {n: k for k, n in enumerate(names)}
-    a, b, start, free = np.zeros((len(names), len(names))), np.zeros(len(names)), np.zeros(len(names)), np.array([n in ("1", "home") for n in names])
-    for r in gram:
-        a[at[r["i"]], at[r["j"]]] = r["g"]
-    for r in right:
-        b[at[r["i"]]] = r["g"]
-    for r in prior.collect() if prior is not None else []:
-        for kind, v in (("o", r["offence"]), ("d", r["defence"])):
-            if f"{kind}{r['person_id']}" in at:
-                start[at[f"{kind}{r['person_id']}"]] = v
-    penalty = np.where(free, 0.0, ridge)
-    beta = np.linalg.lstsq(a + np.diag(penalty), b + penalty * start, rcond=None)[0]
-    players = sorted({int(n[1:]) for n in names if n[0] in "od" and n[1:].lstrip("-").isdigit()})
-    value = lambda kind, p: float(beta[at[f"{kind}{p}"]]) if f"{kind}{p}" in at else 0.0
-    return spark.createDataFrame([(p, value("o", p), value("d", p)) for p in players], "person_id long, offence double, defence double")
+    gram = pair.groupBy(F.col("a.c").alias("i"), F.col("b.c").alias("j")).agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("g"))
+    right = cells.select("w", "y", F.explode("x").alias("a")).groupBy(F.col("a.c").alias("i")).agg(F.sum(F.col("w") * F.col("y") * F.col("a.v")).alias("b"))
+    kind = F.substring("i", 1, 1)
+    right = right.withColumn("penalty", F.when(F.col("i").isin("1", "home"), 0.0).otherwise(float(ridge)))
+    if prior is not None:
+        known = prior.select(F.explode(F.array(*[F.struct(F.concat(F.lit(k), F.col("person_id").cast("string")).alias("i"), F.col(c).cast("double").alias("start")) for k, c in (("o", "offence"), ("d", "defence"))])).alias("p")).select("p.*")
+        right = right.join(known.hint("merge"), "i", "left").withColumn("b", F.col("b") + F.col("penalty") * F.coalesce("start", F.lit(0.0))).drop("start")
+    beta = solved(gram, right, small=small).where(~F.col("i").isin("1", "home"))
+    side = lambda k: F.coalesce(F.max(F.when(kind == k, F.col("x"))), F.lit(0.0))
+    return beta.groupBy(F.expr("cast(substring(i, 2) as long)").alias("person_id")).agg(side("o").alias("offence"), side("d").alias("defence"))
 
 
 def decayed(stints: DataFrame, date: str, on: str, half_life: float, window: int) -> DataFrame:

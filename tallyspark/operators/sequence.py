@@ -144,7 +144,8 @@ STINT = "game_id string, period int, stint_idx int, start_at double, end_at doub
 def stints(events: DataFrame, starters: DataFrame, size: int = 5) -> DataFrame:
     """Stretches of a period with unchanged line-ups and what each side did in them.
 
-    Substitutions at one time are made together. A period whose line-ups can't be kept at `size` gives no rows. Events
+    Substitutions at one time are made together. A period whose line-ups can't be kept at `size` gives no rows:
+    repaired_starters fills gaps by minutes, and stint_audit names the periods that remain. Events
     have side, pts and the columns of period_starters; a period's events fit in one task by far.
     """
 
@@ -178,6 +179,31 @@ def stints(events: DataFrame, starters: DataFrame, size: int = 5) -> DataFrame:
     return rows.groupBy(*key).cogroup(first.groupBy(*key)).applyInPandas(walk, STINT)
 
 
+def repaired_starters(events: DataFrame, starters: DataFrame, box: DataFrame, size: int = 5) -> DataFrame:
+    """`starters` with players added by their minutes where a side of a period has fewer than `size`.
+
+    Whoever plays a whole period without doing anything is in no event of it. Such players are those of the box score
+    (game_id, side, pid, seconds) who aren't in the period's events and have the most seconds that the stints of the
+    periods known so far don't account for.
+    """
+    key = ["game_id", "period", "side"]
+    sides = events.select("game_id", "period").distinct().withColumn("side", F.explode(F.array(F.lit("home"), F.lit("away"))))
+    short = sides.join(starters.groupBy(*key).agg(F.count("*").alias("n")), key, "left").select(*key, (size - F.coalesce("n", F.lit(0))).alias("missing")).where("missing > 0")
+    known = lineup_channels(stints(events, starters, size)).select("game_id", "side", "pid", "seconds")
+    spare = box.select("game_id", "side", "pid", F.col("seconds").alias("box")).join(known, ["game_id", "side", "pid"], "left").select("game_id", "side", "pid", (F.col("box") - F.coalesce("seconds", F.lit(0.0))).alias("spare")).where("spare > 0")
+    seen = events.select(*key, "pid").unionByName(events.where("sub_in is not null").select(*key, F.col("sub_in").alias("pid"))).unionByName(starters.select(*key, "pid")).distinct()
+    silent = short.join(spare, ["game_id", "side"]).join(seen, [*key, "pid"], "left_anti")
+    place = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("spare"), "pid"))
+    return starters.select(*key, "pid").unionByName(silent.withColumn("_place", place).where("_place <= missing").select(*key, "pid"))
+
+
+def stint_audit(events: DataFrame, found: DataFrame) -> DataFrame:
+    """Every period of `events`: game_id, period, usable (has stints), seconds covered. No period goes without a word."""
+    covered = found.groupBy("game_id", "period").agg(F.sum("seconds").alias("seconds"))
+    periods = events.select("game_id", "period").distinct()
+    return periods.join(covered, ["game_id", "period"], "left").select("game_id", "period", F.col("seconds").isNotNull().alias("usable"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
+
+
 def lineup_channels(found: DataFrame) -> DataFrame:
     """Seconds and points of every player out of stints: the ten line-up columns unpivoted, then summed."""
     side = lambda s, o: F.struct(F.lit(s).alias("side"), F.col(f"{s}_lineup").alias("who"), F.col(f"{s}_pts").alias("made"), F.col(f"{o}_pts").alias("allowed"))

@@ -135,6 +135,43 @@ def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lineup_channels(S.stints(events, S.period_starters(events))).select("game_id", "side", "pid", F.col("seconds"))
 
 
+SECONDS = "CAST(CASE WHEN pid <= 2 THEN 200 * pid WHEN pid <= 5 THEN 720 ELSE 720 - 200 * (pid - 5) END AS DOUBLE)"
+
+
+@query("q4_repaired_stints", f"SELECT g AS game_id, side, CAST(pid AS BIGINT) AS pid, {SECONDS} AS seconds FROM (SELECT DISTINCT lpad(CAST(user_id AS VARCHAR), 10, '0') AS g FROM events), (SELECT unnest(['home', 'away']) AS side), (SELECT unnest(range(1, 8)) AS pid)")
+def repaired_stints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The floor without a trace of two starters a side, who are found again by their minutes."""
+    events = floor_events(spark, sf_dir)
+    box = events.select("game_id", "side").distinct().withColumn("pid", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long")))).withColumn("seconds", F.expr(SECONDS))
+    heard = events.where("not (kind = 'shot' and pid in (4, 5))")
+    return S.lineup_channels(S.stints(heard, S.repaired_starters(heard, S.period_starters(heard), box))).select("game_id", "side", "pid", F.col("seconds"))
+
+
+@query("q4_stint_audit", "SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS game_id, 1 AS period, user_id % 3 <> 0 AS usable, CASE WHEN user_id % 3 <> 0 THEN 720.0::DOUBLE ELSE 0.0::DOUBLE END AS seconds FROM (SELECT DISTINCT user_id FROM events)")
+def stint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which periods have stints: in every third game a starter leaves no trace, and there is no box score to repair it."""
+    events = floor_events(spark, sf_dir).where("not (kind = 'shot' and pid = 5 and cast(game_id as long) % 3 = 0)")
+    return S.stint_audit(events, S.stints(events, S.period_starters(events)))
+
+
+@query(
+    "g34_validation_summary",
+    with_team("""SELECT season, count(*) AS team_games, round(avg(CAST(abs(pts - (2 * fgm + fg3m + ftm)) < 1 AS DOUBLE)), 6) AS exact_points, round(avg(CAST(opp_pts IS NOT NULL AS DOUBLE)), 6) AS paired, round(avg(abs(pace - (fga + 0.44 * fta - oreb + tov))), 6) AS pace_gap,
+    CAST(sum(CAST(fgm > fga OR fg3m > fg3a OR ftm > fta AS INTEGER)) AS BIGINT) AS impossible FROM live GROUP BY season"""),
+)
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of checks per season: exact shares, pairing, the gap between both sides' possessions, impossible counts."""
+    own = F.col("fga") + 0.44 * F.col("fta") - F.col("oreb") + F.col("tov")
+    share = lambda c: F.avg(c.cast("double"))
+    return live(spark, sf_dir).groupBy("season").agg(
+        F.count("*").alias("team_games"),
+        r(share(F.abs(F.col("pts") - (2 * F.col("fgm") + F.col("fg3m") + F.col("ftm"))) < 1), "exact_points"),
+        r(share(F.col("opp_pts").isNotNull()), "paired"),
+        r(F.avg(F.abs(F.col("pace") - own)), "pace_gap"),
+        F.sum(((F.col("fgm") > F.col("fga")) | (F.col("fg3m") > F.col("fg3a")) | (F.col("ftm") > F.col("fta"))).cast("int")).alias("impossible"),
+    )
+
+
 FACTORS = ["efg_d", "oreb_d", "tov_d", "ftr_d"]
 
 
@@ -194,10 +231,11 @@ def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.resolved(mentions, roster).select("c_custkey", "person_id")
 
 
-@query("l8_group_folds")
+@query("l8_group_folds", with_team("SELECT fold, count(*) AS n, count(DISTINCT team_id) AS teams FROM (SELECT team_id, CAST(CAST('0x' || substr(md5(CAST(team_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM live) GROUP BY fold"))
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five folds by team, from a hash: the same everywhere and every time."""
-    return live(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("team_id"), F.lit(5)).cast("int")).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("team_id").alias("teams"))
+    """Five folds by team, from a digest: the same everywhere and every time."""
+    fold = F.conv(F.substring(F.md5(F.col("team_id").cast("string")), 1, 8), 16, 10).cast("long") % 5
+    return live(spark, sf_dir).withColumn("fold", fold.cast("int")).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("team_id").alias("teams"))
 
 
 @query(

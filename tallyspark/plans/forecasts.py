@@ -143,22 +143,20 @@ def injury_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(listed, ["team", "name"]).groupBy(F.col("s_suppkey").alias("person_id")).agg(F.max("o").alias("out"))
 
 
-@query("t1_sections", "SELECT doc_id, CAST(0 AS INTEGER) AS section, '(start)' AS heading, CAST(length(trim(text)) AS INTEGER) AS n FROM documents WHERE trim(text) <> '' AND NOT regexp_matches(text, '(^|\\n)#{1,3} ')")
+@query(
+    "t1_sections",
+    r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(^|\n)(#{1,3} )', E'\\1\x01\\2', 'g'), E'\x01') AS parts FROM documents),
+    q AS (SELECT doc_id, CASE WHEN parts[1] = '' AND len(parts) > 1 THEN parts[2:] ELSE parts END AS parts FROM p), s AS (SELECT doc_id, unnest(parts) AS part, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS section FROM q),
+    h AS (SELECT doc_id, section, trim(regexp_extract(part, '^#{1,3} +([^\n]*)', 1)) AS heading, trim(regexp_replace(part, '^#{1,3} +[^\n]*\n?', '')) AS body FROM s)
+    SELECT doc_id, section, CASE WHEN heading <> '' THEN heading ELSE '(start)' END AS heading, CAST(length(body) AS INTEGER) AS n FROM h WHERE body <> '' OR heading <> ''""",
+)
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     return X.sections(docs, "doc_id", "text").select("doc_id", "section", "heading", F.length("body").alias("n"))
 
 
-@query("t7_prompt", "SELECT q AS query, 'Question: who?' AS tail, count(*) AS passages FROM (SELECT q.vec_id AS q, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS n FROM embeddings q, embeddings v WHERE q.vec_id < 3) WHERE n <= 6 GROUP BY q")
+@query("t7_prompt", "SELECT q AS query, 'Question: who?' AS tail, count(*) AS passages FROM (SELECT q.vec_id AS q, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS n FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE n <= 6 GROUP BY q")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    found = X.nearest(vectors.where("vec_id < 3"), vectors, "vec_id", "embedding", 6).withColumn("body", F.concat(F.lit("text of "), F.col("vec_id").cast("string")))
-    p = X.prompt(found, "who?", "body")
-    return p.select("query", F.substring_index("prompt", "\n\n", -1).alias("tail"), (F.size(F.split("prompt", "\n\n")) - 1).cast("long").alias("passages"))
-
-
-@query("t7_prompt_hundredths", "SELECT q AS query, 'Question: who?' AS tail, count(*) AS passages FROM (SELECT q.vec_id AS q, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS n FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE n <= 6 GROUP BY q")
-def prompts_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = X.nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 6).withColumn("body", F.concat(F.lit("text of "), F.col("vec_id").cast("string")))
     p = X.prompt(found, "who?", "body")

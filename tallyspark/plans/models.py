@@ -246,14 +246,8 @@ def replace_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(new).select("team_id", "season", F.round(F.col("w") * 100).cast("long").alias("total"))
 
 
-@query("t6_cosine_top_k", "SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 3 QUALIFY rank <= 6")
+@query("t6_cosine_top_k", "SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 QUALIFY rank <= 6")
 def cosine_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return X.nearest(vectors.where("vec_id < 3"), vectors, "vec_id", "embedding", 6).withColumn("score", F.round("score", 4))
-
-
-@query("t6_cosine_top_k_hundredths", "SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 QUALIFY rank <= 6")
-def cosine_top_k_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches that grow with the table: every hundredth vector against all."""
     vectors = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return X.nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 6).withColumn("score", F.round("score", 4))
@@ -265,22 +259,11 @@ STOP_SQL = ", ".join(f"'{w}'" for w in X.STOP)
 @query(
     "t4_tf_idf",
     f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term NOT IN ({STOP_SQL}) GROUP BY ALL),
-    t AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY term ORDER BY total DESC, term LIMIT 256), x AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS v FROM c JOIN t USING (term)),
-    n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM x GROUP BY doc_id) SELECT doc_id, count(*) AS terms, round(max(v / norm), 5) AS top, round(sum(v / norm), 3) AS total FROM x JOIN n USING (doc_id) GROUP BY doc_id""",
-)
-def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return X.tf_idf(docs, "doc_id", "text", 256).groupBy("doc_id").agg(F.count("*").alias("terms"), r(F.max("weight"), "top", 5), r(F.sum("weight"), "total", 3))
-
-
-@query(
-    "t4_tf_idf_4096",
-    f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term NOT IN ({STOP_SQL}) GROUP BY ALL),
     t AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY term ORDER BY total DESC, term LIMIT 4096), x AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS v FROM c JOIN t USING (term)),
     n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM x GROUP BY doc_id), y AS (SELECT doc_id, count(*) AS terms, round(max(v / norm), 5) AS top, round(sum(v / norm), 3) AS total FROM x JOIN n USING (doc_id) GROUP BY doc_id)
     SELECT d.doc_id, coalesce(terms, 0) AS terms, top, total FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN y USING (doc_id)""",
 )
-def tf_idf_4096(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many terms as the operator has by default, and a row for documents without any of them: 0 terms, no weights."""
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     weighed = X.tf_idf(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("terms"), r(F.max("weight"), "top", 5), r(F.sum("weight"), "total", 3))

@@ -70,3 +70,22 @@ def test_partial_correlation_is_that_of_residuals(spark):
     assert got["n"] == 300 and got["partial"] == pytest.approx(np.corrcoef(*rest)[0, 1])
     one = D.partial_correlations(df.withColumn("c", F.lit(1.0)), "x", "y", ["c"], ["g"]).first()
     assert one["partial"] == pytest.approx(np.corrcoef(x, y)[0, 1])
+
+
+def test_a_system_is_solved_alike_on_the_driver_and_by_steps(spark):
+    from tallyspark.operators.forecast import market_ratings
+    from tallyspark.operators.sparse import solved
+
+    rng = np.random.default_rng(6)
+    half = rng.normal(size=(20, 12))
+    a, b = half.T @ half, rng.normal(size=12)
+    gram = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(12) for j in range(12)], "i long, j long, g double")
+    right = spark.createDataFrame([(i, float(b[i]), 0.5) for i in range(12)], "i long, b double, penalty double")
+    want = np.linalg.solve(a + 0.5 * np.eye(12), b)
+    for small in (100, 3):
+        got = {r["i"]: r["x"] for r in solved(gram, right, small).collect()}
+        assert np.allclose([got[i] for i in range(12)], want, atol=1e-6), small
+    strength = [3.0, 0.0, -3.0]
+    lines = spark.createDataFrame([(h, g, strength[h] - strength[g] + 2.0) for h in range(3) for g in range(3) if h != g] * 5, "home_id long, away_id long, line double")
+    rated = {r["team_id"]: r["rating"] for r in market_ratings(lines, 1e-6).collect()}
+    assert rated[0] - rated[2] == pytest.approx(6, abs=1e-3) and rated[1] == pytest.approx(0, abs=1e-3)
