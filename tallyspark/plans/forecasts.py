@@ -147,7 +147,7 @@ def injury_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     "t1_sections",
     r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(^|\n)(#{1,3} )', E'\\1\x01\\2', 'g'), E'\x01') AS parts FROM documents),
     q AS (SELECT doc_id, CASE WHEN parts[1] = '' AND len(parts) > 1 THEN parts[2:] ELSE parts END AS parts FROM p), s AS (SELECT doc_id, unnest(parts) AS part, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS section FROM q),
-    h AS (SELECT doc_id, section, trim(regexp_extract(part, '^#{1,3} +([^\n]*)', 1)) AS heading, trim(regexp_replace(part, '^#{1,3} +[^\n]*\n?', '')) AS body FROM s)
+    h AS (SELECT doc_id, section, trim(regexp_extract(part, '^#{1,3} +([^\n]*)', 1)) AS heading, regexp_replace(regexp_replace(part, '^#{1,3} +[^\n]*\n?', ''), '^\s+|\s+$', '', 'g') AS body FROM s)
     SELECT doc_id, section, CASE WHEN heading <> '' THEN heading ELSE '(start)' END AS heading, CAST(length(body) AS INTEGER) AS n FROM h WHERE body <> '' OR heading <> ''""",
 )
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:

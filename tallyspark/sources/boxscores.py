@@ -69,10 +69,15 @@ def read_processed(spark: SparkSession, root: str, first: str, last: str, season
     return rows if include_canceled else rows.where("not (pts = 0 and opp_pts = 0)")
 
 
-def write_processed(df: DataFrame, root: str) -> None:
-    """A Parquet tree by season and type; only the partitions at hand are replaced, and rows are in a fixed order."""
-    rows = df.repartition("season", "season_type").sortWithinPartitions("season", "season_type", "game_date", "game_id", "team_id")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season", "season_type").parquet(root)
+def write_processed(df: DataFrame, root: str, dealt: int = 1, rows: int = 0) -> None:
+    """A Parquet tree by season and type; only the partitions at hand are replaced, and rows are in a fixed order.
+
+    A season is one file as it is; with `dealt`, it is dealt by game over that many tasks, and no file has more than
+    `rows` rows if that is given.
+    """
+    part = F.pmod(F.xxhash64("game_id"), F.lit(dealt)).cast("int")
+    made = df.withColumn("_part", part).repartition("season", "season_type", "_part").drop("_part").sortWithinPartitions("season", "season_type", "game_date", "game_id", "team_id")
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows).partitionBy("season", "season_type").parquet(root)
 
 
 def players_from_box(spark: SparkSession, path: str) -> DataFrame:

@@ -293,10 +293,9 @@ def test_sections_query_splits_texts_with_headings(spark, tmp_path):
         for k, lines in enumerate(parts):
             headed = any(lines[0].startswith("#" * n + " ") for n in (1, 2, 3))
             heading = lines[0].lstrip("#").strip() if headed else "(start)"
-            # trim takes blanks alone, not the ends of lines
-            body = "\n".join(lines[1:] if headed else lines) + ("\n" if k < len(parts) - 1 and (not headed or len(lines) > 1) else "")
-            if headed or body.strip(" "):
-                want.add((i, k, heading, len(body.strip(" "))))
+            body = "\n".join(lines[1:] if headed else lines).strip()
+            if headed or body:
+                want.add((i, k, heading, len(body)))
     assert {tuple(r) for r in plans.QUERIES["t1_sections"](spark, str(tmp_path)).collect()} == want
 
 
