@@ -81,8 +81,8 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int, scale:
     blocks, lanes = math.ceil(n / CANDIDATES), math.ceil(m / QUERIES)
     hashed = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts))
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    # by place, not by id: rows that repeat an id are spread as well, and any dealing out of the rows will do in any round
-    place = F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")
+    # by id and place: rows that repeat an id are spread as well, and short parts fill all blocks alike
+    place = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
     left = rows.withColumn("block", place).withColumn("lane", every(lanes)).groupBy("lane", "block")
     state = asked.select("id", F.lit(-bound).cast("long").alias("low"), F.lit(0).cast("long").alias("above"))
 
