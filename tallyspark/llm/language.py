@@ -122,14 +122,14 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[byte
     """
     labelled = docs.where("lang is not null and text is not null")
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # copies of a text share one draw, so a language's share is that of its different texts
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not counts:
         return [], []
-    share: Column = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * per_language / n)))).otherwise(share)
+    shares = [(lang, min(1 << 30, int((1 << 30) * per_language / n))) for lang, n in counts.items()]
+    labelled = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long")), "lang")  # a row per label
     start = F.pmod(F.xxhash64("text", F.lit(5)), F.greatest(F.length("text") - EXCERPT // 2, F.lit(1))) + 1
-    rows = labelled.where(draw < share).select("lang", F.substring("text", start.cast("int"), F.lit(EXCERPT // 2)).cast("binary").alias("text"))
+    rows = labelled.where(draw < F.col("share")).select("lang", F.substring("text", start.cast("int"), F.lit(EXCERPT // 2)).cast("binary").alias("text"))
     # equal draws are copies of one text: one of them serves, and none can exceed the bound
     rows = rows.distinct().orderBy("lang", F.xxhash64("text"), "text").limit(2 * per_language * len(counts)).collect()
     return [bytes(r["text"]) for r in rows], [r["lang"] for r in rows]
