@@ -18,6 +18,10 @@ from .common import shared_dir, stored
 
 CRLF = "\r\n"
 
+#: URLs that stand in a header as they are, and the signs that an encoded one keeps.
+PLAIN = r"^[\x21-\x7E]*$"
+RESERVED = {":": "%3A", "/": "%2F", "?": "%3F", "#": "%23", "=": "%3D", "&": "%26", "@": "%40", ",": "%2C", ";": "%3B"}
+
 
 @dataclass
 class Archive:
@@ -41,7 +45,15 @@ def unsqueezed(frame: pd.Series) -> pd.Series:
 
 
 def record_header(kind: Column, page_id: Column, url: Column, sha1: Column, length: Column, target: Column) -> Column:
-    """The bytes of a record before its payload. A revisit carries no payload and names the record that does."""
+    """The bytes of a record before its payload. A revisit carries no payload and names the record that does.
+
+    A URL of printable ASCII stands as it is; any other is percent-encoded, and a header line says so. Without a URL
+    there is no such line.
+    """
+    plain = url.rlike(PLAIN)
+    encoded = F.url_encode(url)
+    for sign, code in RESERVED.items():
+        encoded = F.replace(encoded, F.lit(code), F.lit(sign))
     revisit = kind == "revisit"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), length.cast("string"), F.lit(CRLF * 2))
     block = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(length)
@@ -49,7 +61,8 @@ def record_header(kind: Column, page_id: Column, url: Column, sha1: Column, leng
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), kind),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">")),
-        F.concat(F.lit("WARC-Target-URI: "), F.url_encode(F.coalesce(url, F.lit("")))),
+        F.concat(F.lit("WARC-Target-URI: "), F.when(plain, url).otherwise(F.replace(encoded, F.lit("+"), F.lit("%20")))),
+        F.when(~plain, F.lit("WARC-Target-URI-Encoding: percent")),
         F.lit("WARC-Date: 2024-01-01T00:00:00Z"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), sha1),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), target.cast("string"), F.lit(">"))),
@@ -111,12 +124,13 @@ def read_archive(archive: Archive) -> DataFrame:
     head = F.concat(parts[0], F.lit(CRLF))
     body = F.substring(parts[2], F.lit(1), F.length(parts[2]) - 4).cast("binary")
     split = records(archive).select("page_id", head.alias("head"), body.alias("body"))
+    target = field(F.col("head"), "WARC-Target-URI")
     rows = split.select(
         "page_id",
         field(F.col("head"), "WARC-Type").alias("record_type"),
         F.regexp_extract(F.coalesce(field(F.col("head"), "WARC-Payload-Digest"), F.lit("")), "sha1:(.*)", 1).alias("said"),
         F.regexp_extract(F.coalesce(field(F.col("head"), "WARC-Refers-To"), F.lit("")), r"<urn:page:(-?\d+)>", 1).alias("target"),
-        F.url_decode(field(F.col("head"), "WARC-Target-URI")).alias("url"),
+        F.when(F.col("head").contains(f"{CRLF}WARC-Target-URI: "), F.when(F.col("head").contains(f"{CRLF}WARC-Target-URI-Encoding: percent{CRLF}"), F.url_decode(target)).otherwise(F.coalesce(target, F.lit("")))).alias("url"),
         F.sha1("body").alias("found"),
         F.octet_length("body").cast("long").alias("payload_bytes"),
     )
