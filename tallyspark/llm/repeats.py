@@ -157,7 +157,7 @@ def anchor_keys(buckets: int, text: str, key: str):
                 start = np.flatnonzero(np.diff(hashed, prepend=~hashed[:1]))
                 twice = np.minimum.reduceat(owner, start) < np.maximum.reduceat(owner, start) if len(start) else np.zeros(0, bool)
                 hashed = np.repeat(hashed[start], 1 + twice)
-                bucket = ((hashed & np.uint64(0xFFFF)) % np.uint64(buckets)).astype(np.int64)
+                bucket = ((hashed & np.uint64((1 << 32) - 1)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 keys, bucket = key_of(hashed[order]), bucket[order]
                 out = [(b, pack6(keys[part])) for b, part in dealt(bucket)]
@@ -254,7 +254,7 @@ def stretch_rows(buckets: int, text: str, key: str):
             table = opened(batch["body"][0].as_py())
             flat, bounds = flat_text(table, text)
             s = Stretches(flat, bounds, doc_ids(table, key), marked_keys(answers), buckets)
-            squeeze = zstandard.ZstdCompressor(level=1)
+            squeeze = zstandard.ZstdCompressor(level=3)
             for b, part in dealt(s.bucket):
                 raw = b"".join((np.array([part.stop - part.start], np.int64).tobytes(), s.key[part].tobytes(), s.print[part].tobytes(), s.least[part].tobytes(), s.size[part].astype(np.uint8).tobytes(), gathered(flat, s.begin[part], s.size[part]).tobytes()))
                 rows.append((b, batch["batch"][0].as_py(), squeeze.compress(raw)))
@@ -357,7 +357,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", te
     docs = docs.drop(*[c for c in extra if c not in (key, text)])
     keep = [c for c in docs.columns if texts or c != text]
     batches = stored(batched(docs if texts else docs.select(*keep, text), text, batch), "batches")
-    buckets = min(1 << 16, max(16, batches.count() // 4))
+    buckets = max(16, batches.count() // 4)
     keys = batches.mapInArrow(anchor_keys(buckets, text, key), "bucket int, batch long, keys binary")
     answer = "batch long, bucket int, body binary"
     shared = stored(keys.groupBy("bucket").applyInArrow(shared_keys(hot), answer), "shared")
