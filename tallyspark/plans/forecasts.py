@@ -40,12 +40,20 @@ def prior_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.prior_strength(live(spark, sf_dir), ["season", "team_id"], "margin").select(r("k", places=4))
 
 
-@query("m8_frozen_forecasts")
+@query(
+    "m8_frozen_forecasts",
+    with_team("""\
+, n AS (SELECT season, team_id, opp_team_id, is_home, CAST(margin > 0 AS DOUBLE) AS y, row_number() OVER w AS n, avg(margin) OVER w AS rating FROM live WINDOW w AS (PARTITION BY season, team_id ORDER BY game_date, game_id)),
+    f AS (SELECT season, team_id, x, arg_max(rating, n) AS rating FROM n, (SELECT unnest([1, 3, 5]) AS x) WHERE n <= x GROUP BY ALL),
+    e AS (SELECT n.*, x.x, (coalesce(f.rating, 0) - coalesce(g.rating, 0) + CASE WHEN is_home THEN 2.5 ELSE -2.5 END) / 12 AS z FROM n CROSS JOIN (SELECT unnest([1, 3, 5]) AS x) x LEFT JOIN f ON f.season = n.season AND f.team_id = n.team_id AND f.x = x.x LEFT JOIN f g ON g.season = n.season AND g.team_id = n.opp_team_id AND g.x = x.x),
+    t AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * (u * (0.319381530 + u * (-0.356563782 + u * (1.781477937 + u * (-1.821255978 + u * 1.330274429))))) AS tail FROM (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS u FROM e))
+    SELECT season, team_id, CAST(x AS INTEGER) AS x, sum(CASE WHEN n <= x THEN y ELSE 0 END) AS banked, round(sum(CASE WHEN n <= x THEN y ELSE least(greatest(CASE WHEN z >= 0 THEN 1 - tail ELSE tail END, 1e-6), 1 - 1e-6) END), 5) AS expected FROM t GROUP BY season, team_id, x"""),
+)
 def frozen_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     games = live(spark, sf_dir).select("season", "game_id", "game_date", "team_id", "opp_team_id", "is_home", "margin")
     w = W.partitionBy("season", "team_id").orderBy("game_date", "game_id")
     ratings = games.select("season", "team_id", F.row_number().over(w).alias("game_number"), F.avg("margin").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("rating"))
-    return C.frozen_forecasts(games, ratings, [1, 3, 5], 2.5, 12.0)
+    return C.frozen_forecasts(games, ratings, [1, 3, 5], 2.5, 12.0).withColumn("expected", F.round("expected", 5))
 
 
 @query("m10_market_ratings")

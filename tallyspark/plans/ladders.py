@@ -286,3 +286,29 @@ def normality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jarque and Bera's statistic of the margins, by season: from skewness and kurtosis, so one aggregate does."""
     rows = live(spark, sf_dir).where("is_home").groupBy("season").agg(F.count("*").alias("n"), F.skewness("margin").alias("s"), F.kurtosis("margin").alias("k"))
     return rows.select("season", "n", r(F.col("n") / 6 * (F.pow("s", F.lit(2)) + F.pow("k", F.lit(2)) / 4), "jarque_bera", 3))
+
+
+@query("m17_shot_quality")
+def shot_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance of a make by a constant, by zone, by a logistic regression and by boosted trees, from the shots before a
+    day and judged on those after: log-loss, Brier score, and the calibration error over 20 bins of the chance."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from tallyspark.plans.scalars import shots
+
+    names = ["d", "d2", "is_three", "is_rim"]
+    rows = shots(spark, sf_dir).select("event_id", F.col("ts").cast("date").alias("day"), "zone", F.col("made").cast("double").alias("made"), F.col("d").cast("double").alias("d"), (F.col("d") * F.col("d")).cast("double").alias("d2"), F.col("three").cast("double").alias("is_three"), (F.col("zone") == "rim").cast("double").alias("is_rim"))
+    train, test = rows.where("day < date'2024-01-20'"), rows.where("day >= date'2024-01-20'")
+    zones = train.groupBy("zone").agg(F.avg("made").alias("p_zone"))
+    test = test.crossJoin(F.broadcast(train.agg(F.avg("made").alias("p_constant")))).join(F.broadcast(zones), "zone")  # one row; a row per zone
+    for name, model in (("logistic", LogisticRegression(featuresCol="x", labelCol="made", regParam=1e-3)), ("trees", GBTClassifier(featuresCol="x", labelCol="made", maxIter=8, maxDepth=3, seed=5))):
+        fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), model]).fit(train)
+        test = fitted.transform(test).withColumn(f"p_{name}", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
+    arms = ("constant", "zone", "logistic", "trees")
+    long = test.select("made", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.least(F.greatest(F.col(f"p_{m}"), F.lit(1e-6)), F.lit(1 - 1e-6)).alias("p")) for m in arms])).alias("m")).select("made", "m.*")
+    bins = long.groupBy("model", F.floor(F.col("p") * 20).alias("bin")).agg(F.count("*").alias("k"), F.abs(F.avg("p") - F.avg("made")).alias("gap"), F.sum(-(F.col("made") * F.log("p") + (1 - F.col("made")) * F.log(1 - F.col("p")))).alias("loss"), F.sum(F.pow(F.col("p") - F.col("made"), 2)).alias("brier"))
+    share = lambda c: F.sum(c) / F.sum("k")
+    return bins.groupBy("model").agg(F.sum("k").alias("n"), share("loss").alias("log_loss"), share("brier").alias("brier"), share(F.col("gap") * F.col("k")).alias("calibration"))
