@@ -208,7 +208,8 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     stars = checked.where(100 * both >= percent * (F.size("set") + F.size("theirs") - both))
     stars = stored(stars.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
 
-    # what shares buckets and is still apart: whole families where they fit in a block, and otherwise bucket by bucket
+    # what shares buckets and is still apart: in pairs of blocks of a family, or bucket by bucket, whichever sends a text
+    # less often: as many times as the family has blocks, or as there are bands
     label = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
     cluster = components(tries.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     placed = cluster.join(label.hint("merge"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("label", "doc_id").alias("label"))
@@ -222,10 +223,10 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     families = placed.withColumnRenamed("cluster", "group")
     open_ = stored(apart(families), "families")
-    large = open_.where("blocks > 1").select(F.col("group").alias("cluster"))
+    large = open_.where(F.col("blocks") > BANDS).select(F.col("group").alias("cluster"))
     in_bucket = placed.join(large.hint("merge"), "cluster", "left_semi").select("doc_id", "label", "size")
     in_bucket = stored(in_bucket.join(keys.select("doc_id", F.col("key").alias("group")).distinct().hint("merge"), "doc_id"), "buckets")
-    small = families.join(open_.where("blocks = 1").hint("merge"), "group").select(F.lit(False).alias("bucket"), "group", "doc_id", "label", "blocks")
+    small = families.join(open_.where(F.col("blocks") <= BANDS).hint("merge"), "group").select(F.lit(False).alias("bucket"), "group", "doc_id", "label", "blocks")
     dealt = small.unionByName(in_bucket.join(apart(in_bucket).hint("merge"), "group").select(F.lit(True).alias("bucket"), "group", "doc_id", "label", "blocks"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -122,7 +122,7 @@ def test_a_loose_family_is_joined_through_its_middle(spark, monkeypatch):
     words = [f"w{i}" for i in range(400)]
     steps = [" ".join(words[:k] + [f"x{j}" for j in range(k, 0, -1)] + words[2 * k :]) for k in range(0, 40)]
     rows = list(enumerate(steps))
-    for block in (512, 8):  # the family as a whole, and bucket by bucket
+    for block in (512, 8, 1):  # the family as a whole, in pairs of blocks, and bucket by bucket
         monkeypatch.setattr(near, "BLOCK_DOCS", block)
         got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
         assert got == brute_components(rows, 3, 85)
