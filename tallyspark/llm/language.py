@@ -120,7 +120,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[byte
     Only counts are gathered to find each label's share; then the excerpts come to the driver. That is a bounded sample:
     a few hundred rows per language of EXCERPT bytes at most.
     """
-    labelled = docs.where("lang is not null and text is not null")
+    labelled = docs.where("lang is not null and text is not null").select("lang", "text")
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
     # copies of a text share one draw, so a language's share is that of its different texts
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
