@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near, packing, passages, pieces, repeats, sharding, telephony, topk, warc
+from . import language, near, packing, passages, pieces, repeats, sharding, telephony, topk, vectorpacking, warc
 from .common import read
 
 
@@ -86,6 +86,10 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(docs)
 
 
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorpacking.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), vectorpacking.Limits(tokens=1024, segments=64))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_topk": op2_topk,
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jump_shards": op8_jump_shards,
     "op9_language": op9_language,
     "op10_run_index": op10_run_index,
+    "op13_vector_packing": op13_vector_packing,
 }
 
 ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op6_warc": OP6_SQL}
