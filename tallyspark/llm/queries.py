@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near, packing, passages, pieces, repeats, sharding, telephony, topk, vectorpacking, warc
+from . import collocations, language, near, packing, passages, pieces, repeats, sharding, telephony, topk, vectorpacking, warc
 from .common import read
 
 
@@ -86,6 +86,44 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(docs)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
+
+
+OP12_SQL = r"""
+WITH cut AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), pieces AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM cut
+), occurrences AS (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) AS sizes(k))
+), counts AS (
+    SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM occurrences GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang
+), frequent AS (
+    SELECT * FROM counts WHERE f >= 100
+), parts AS (
+    SELECT lang, k, phrase, w, f, unnest(range(1, k)) AS c FROM frequent WHERE k > 1
+), scored AS (
+    SELECT p.lang, p.k, p.phrase, p.f AS a, l.f AS l, r.f AS r, n, c, CAST((CAST(1000 AS HUGEINT) * p.f * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+    FROM parts p JOIN totals USING (lang)
+    JOIN frequent l ON l.lang = p.lang AND l.phrase = array_to_string(p.w[1 : c], ' ')
+    JOIN frequent r ON r.lang = p.lang AND r.phrase = array_to_string(p.w[c + 1 : p.k], ' ')
+    QUALIFY row_number() OVER (PARTITION BY p.lang, p.phrase ORDER BY score, c) = 1
+), inner_phrases AS (
+    SELECT lang, f, array_to_string(w[i : i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, f, w, m, unnest(range(1, k - m + 2)) AS i FROM frequent, range(2, 5) AS sizes(m) WHERE m < k)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored s WHERE NOT EXISTS (SELECT 1 FROM inner_phrases x WHERE x.lang = s.lang AND x.phrase = s.phrase AND x.f >= s.a)
+QUALIFY rank <= 2000
+"""
+
+
 def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorpacking.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), vectorpacking.Limits(tokens=1024, segments=64))
 
@@ -101,7 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jump_shards": op8_jump_shards,
     "op9_language": op9_language,
     "op10_run_index": op10_run_index,
+    "op12_collocations": op12_collocations,
     "op13_vector_packing": op13_vector_packing,
 }
 
-ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op6_warc": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op6_warc": OP6_SQL, "op12_collocations": OP12_SQL}

@@ -34,11 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of all texts, and where each text's words start (one more entry at the end)."""
-    flat = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    edge = np.flatnonzero(np.diff(_BLANK[flat].view(np.int8), prepend=1))
-    begin, end = edge[::2], edge[1::2]
+def hashed(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each of the words flat[begin:end], A to Z lower-cased."""
     sums = np.zeros(len(flat) + 1, np.uint64)
     if len(flat) <= _STEP:
         up, down = _UP[: len(flat)], _DOWN
@@ -52,7 +49,15 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(flat) > _STEP:
         back = powers(pow(pow(_BASE, _STEP, 1 << 64), -1, 1 << 64), -(-len(flat) // _STEP))
         value = value * back[begin // _STEP]
-    value = mix(value * down[begin % _STEP] + (end - begin).astype(np.uint64))
+    return mix(value * down[begin % _STEP] + (end - begin).astype(np.uint64))
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts, and where each text's words start (one more entry at the end)."""
+    flat = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    edge = np.flatnonzero(np.diff(_BLANK[flat].view(np.int8), prepend=1))
+    begin, end = edge[::2], edge[1::2]
+    value = hashed(flat, begin, end)
     bounds = np.cumsum([0, *(len(x) + 1 for x in texts)])
     return value, np.searchsorted(begin, bounds)
 
