@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, language, near, packing, passages, pieces, repeats, sharding, telephony, topk, vectorpacking, warc
+from . import collocations, language, near, packing, passages, pieces, repeats, sharding, telephony, topk, tries, vectorpacking, warc
 from .common import read
 
 
@@ -86,6 +86,39 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(docs)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(tries.with_shared_heads(tries.conversation_turns(read(spark, sf_dir, "conversations")), group=5, most=9))
+
+
+OP11_SQL = """
+WITH own AS (
+    SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t,
+           xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+               lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(b.t, [])[1 : o.h], o.t[o.h + 1 : len(o.t)]) AS t
+    FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - (o.conv_id % 5 + 5) % 5
+), prefixes AS (
+    SELECT conv_id, t, d, t[1 : d] AS p FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT p, d, p[1 : d - 1] AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(t) = d), '')) AS ends_sha256
+    FROM prefixes GROUP BY p, d
+), children AS (
+    SELECT up AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY up
+), subtrees AS (
+    SELECT p[1 : e] AS p, sum(leaf) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+    FROM (SELECT n.p, n_convs, CASE WHEN c.p IS NULL THEN 1 ELSE 0 END AS leaf, CASE WHEN d = 0 THEN 0 ELSE strlen(n.p[d].text) END AS bytes, unnest(range(0, d + 1)) AS e
+          FROM nodes n LEFT JOIN children c ON c.p = n.p)
+    GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, CASE WHEN n.d > 0 THEN u.conv_id END AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.p = n.up AND u.d = n.d - 1 LEFT JOIN children c ON c.p = n.p JOIN subtrees s ON s.p = n.p
+"""
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
 
@@ -139,8 +172,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jump_shards": op8_jump_shards,
     "op9_language": op9_language,
     "op10_run_index": op10_run_index,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_collocations": op12_collocations,
     "op13_vector_packing": op13_vector_packing,
 }
 
-ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op6_warc": OP6_SQL, "op12_collocations": OP12_SQL}
+ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op6_warc": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op12_collocations": OP12_SQL}
