@@ -66,10 +66,67 @@ def starters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.period_starters(e).select("game_id", "side", "pid")
 
 
+def line_stints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' lines as stints: an order is a game, 40 players by part and supplier number, points by quantity."""
+    line = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("q"))
+    five = lambda base: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (base + i * 7) % 40)
+    return line.select(
+        F.col("l_orderkey").alias("game_id"), F.col("l_shipdate").cast("date").alias("day"), five(F.col("l_partkey")).alias("home_lineup"), five(F.col("l_suppkey") + 3).alias("away_lineup"),
+        F.col("q").alias("home_pts"), (50 - F.col("q")).alias("away_pts"), F.lit(25).alias("home_poss"), F.lit(25).alias("away_poss"),
+    )
+
+
 @query("m14_ridge_ratings")
 def ridge_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders' lines as stints: 40 players by part number, points by quantity."""
-    line = B.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_linenumber")
-    five = lambda base: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (base + i * 7) % 40)
-    rows = line.select(five(F.col("l_partkey")).alias("home_lineup"), five(F.col("l_suppkey") + 3).alias("away_lineup"), F.col("l_quantity").alias("home_pts"), (50 - F.col("l_quantity")).alias("away_pts"), F.lit(25).alias("home_poss"), F.lit(25).alias("away_poss"))
-    return R.ridge_ratings(R.design(rows), 200.0)
+    return R.ridge_ratings(R.design(line_stints(spark, sf_dir)), 200.0)
+
+
+#: Ridges that are tried, the first cut-off, days between cut-offs, the window and the half-life of as-of ratings.
+RIDGES, FIRST_CUT, STEP, WINDOW, HALF_LIFE = [100.0, 500.0, 2000.0, 8000.0], "1992-07-01", 91, 364, 180.0
+
+
+@query("m14_ridge_by_folds")
+def ridge_by_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each ridge foresees games that it wasn't fitted on, over five folds of games."""
+    return R.ridge_by_folds(line_stints(spark, sf_dir), "game_id", RIDGES)
+
+
+def quarter_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.asof_cells(line_stints(spark, sf_dir), "day", FIRST_CUT, HALF_LIFE, WINDOW, STEP)
+
+
+@query("m14_asof_ratings")
+def asof_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings as of every quarter, drawn towards each player's own level before it.
+
+    A player's level is the mean quantity of a quarter; what a point of it is worth is the slope of unaided ratings on
+    levels over the first eight cut-offs, and ratings with the prior begin after them.
+    """
+    cells = R.kept(quarter_cells(spark, sf_dir))
+    line = B.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 40).alias("person_id"), F.date_trunc("quarter", "l_shipdate").cast("date").alias("game_date"), F.col("l_quantity").cast("double").alias("q"))
+    levels = line.groupBy("person_id", "game_date").agg(F.avg("q").alias("level"), F.count("*").cast("double").alias("minutes"))
+    cuts = cells.select("asof").distinct()
+    bare = F.date_add(F.lit(FIRST_CUT).cast("date"), 8 * STEP)
+    early = R.asof_ratings(cells.where(F.col("asof") < bare), 2000.0)
+    centred = R.level_prior(levels, cuts, 1.0, step=STEP)
+    scale = R.prior_scale(early, centred, least=1.0) or 0.0
+    prior = centred.select("asof", "person_id", (F.col("offence") * scale).alias("offence"), (F.col("defence") * scale).alias("defence"))
+    return R.asof_ratings(cells.where(F.col("asof") >= bare), 2000.0, prior)
+
+
+@query(
+    "m14_asof_sums",
+    f"""WITH s AS (SELECT CAST(l_shipdate AS DATE) AS d, l_partkey AS h, l_suppkey + 3 AS a, CAST(l_quantity AS DOUBLE) AS q, 25.0 AS poss FROM lineitem),
+    sides AS (SELECT d, h AS base, 100 * q AS y FROM s UNION ALL SELECT d, a, 100 * (50 - q) FROM s),
+    people AS (SELECT d, (base + 7 * unnest(range(0, 5))) % 40 AS person_id, y FROM sides),
+    cuts AS (SELECT DATE '{FIRST_CUT}' + CAST({STEP} * c AS INTEGER) AS cut FROM range(0, 40) AS t(c)),
+    seen AS (SELECT cut, person_id, power(0.5, (cut - d) / {HALF_LIFE}) AS w, y FROM people JOIN cuts ON d < cut AND d >= cut - {WINDOW}),
+    top AS (SELECT max(d) AS d FROM s)
+    SELECT cut AS "asof", CAST(person_id AS BIGINT) AS person_id, round(sum(25 * w), 4) AS off_poss, round(sum(w * y) / sum(25 * w), 4) AS per_100, CAST(count(*) AS BIGINT) AS rows_seen
+    FROM seen, top WHERE cut <= DATE '{FIRST_CUT}' + CAST({STEP} * (floor((top.d - DATE '{FIRST_CUT}') / {STEP}.0) + 1) AS INTEGER) GROUP BY cut, person_id""",
+)
+def asof_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each player's rating rests on: weighted possessions, points per 100 of them while on the floor, and rows."""
+    own = quarter_cells(spark, sf_dir).where("substring(i, 1, 1) = 'o' and (j = i or j = 'y')")
+    rows = own.groupBy("asof", F.expr("cast(substring(i, 2) as long)").alias("person_id")).agg(F.max(F.when(F.col("j") == "y", F.col("g"))).alias("y"), F.max(F.when(F.col("j") != "y", F.col("g"))).alias("w"), F.max("n").alias("rows_seen"))
+    return rows.select("asof", "person_id", F.round("w", 4).alias("off_poss"), F.round(F.col("y") / F.col("w"), 4).alias("per_100"), "rows_seen")

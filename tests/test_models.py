@@ -299,7 +299,7 @@ def test_sections_query_splits_texts_with_headings(spark, tmp_path):
     assert {tuple(r) for r in plans.QUERIES["t1_sections"](spark, str(tmp_path)).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["t6_cosine_top_k_hundredths", "t7_prompt_hundredths"])
+@pytest.mark.parametrize("name", ["t6_cosine_top_k", "t7_prompt"])
 def test_searches_grow_with_the_table(spark, sf_dir, name):
     asked = {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 100 = 0").collect()}
     assert {r["query"] for r in plans.QUERIES[name](spark, sf_dir).collect()} == asked and len(asked) > 3
@@ -318,5 +318,5 @@ def test_nearest_in_blocks(spark):
 def test_tf_idf_query_has_all_terms_and_documents(spark, tmp_path):
     rows = [(1, " ".join(f"t{k}" for k in range(1000))), (2, " ".join(f"u{k} u{k}" for k in range(300))), (3, "the of"), (4, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r["doc_id"]: (r["terms"], r["top"] is None) for r in plans.QUERIES["t4_tf_idf_4096"](spark, str(tmp_path)).collect()}
+    found = {r["doc_id"]: (r["terms"], r["top"] is None) for r in plans.QUERIES["t4_tf_idf"](spark, str(tmp_path)).collect()}
     assert found == {1: (1000, False), 2: (300, False), 3: (0, True), 4: (0, True)}
