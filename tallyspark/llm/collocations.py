@@ -73,6 +73,11 @@ def batches_of(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[tup
         yield lang, texts
 
 
+def key_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The key of a phrase, from those of all its words but the last and all but the first."""
+    return mix(first * _CHAIN + last)
+
+
 class Words:
     """The words of texts of one language, as hashes, and which of them go on in the same piece."""
 
@@ -85,14 +90,16 @@ class Words:
         self.joined = marks[self.begin[1:]] == marks[self.end[:-1] - 1]  # word i and i + 1 are in one piece
 
     def phrases(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the hash of the k words from it on, and whether they are in one piece."""
-        n = max(0, len(self.hash) - k + 1)
-        value, inside = self.hash[:n].copy(), np.ones(n, bool)
-        for j in range(1, k):
-            value = mix(value * _CHAIN + self.hash[j : j + n])
-            inside &= self.joined[j - 1 : j - 1 + n]
+        """For each word the key of the k words from it on, and whether they are in one piece."""
+        value, inside = self.hash, np.ones(len(self.hash), bool)
+        for _ in range(1, k):
+            value, inside = self.longer(value, inside)
         return value, inside
 
+    def longer(self, value: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of phrases of one word more."""
+        return key_of(value[:-1], value[1:]), inside[:-1] & inside[1:] & self.joined[: max(0, len(inside) - 1)]
+
     def spelled(self, first: np.ndarray, k: int) -> list[str]:
         """The k words from each of `first` on, lower-cased and joined by spaces."""
         low = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)[self.flat].tobytes()
@@ -121,39 +128,43 @@ def bits_of(keys: DataFrame, most: int = MOST_BITS) -> Bits:
     return Bits(size, words)
 
 
-def counted(docs: DataFrame, k: int, below: Bits | None, together: int = TOGETHER) -> DataFrame:
-    """lang, key, first, last, a: how often each phrase of k words occurs whose two subphrases of k - 1 words are in `below`.
+def counted(docs: DataFrame, k: int, below: Bits | None, least: int, together: int = TOGETHER) -> DataFrame:
+    """lang, key, first, last, a: the phrases of k words that occur `least` times, of those whose two subphrases are in `below`.
 
-    For k = 1 every word, and a row with a null key for all words of a language. `first` and `last` are the subphrases'
-    keys. A slice of text sends each of its phrases once, with its count.
+    first and last are the keys of the subphrases; for k = 1 the word's own and 0, and a row with null keys for all words
+    of a language. A slice of text sends the subphrases of each of its phrases once, with a count; the key follows from
+    them, so only frequent phrases get theirs.
     """
     shared = docs.sparkSession.sparkContext.broadcast(below) if below else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "key", "first", "last", "a"]
+        names = ["lang", "first", "last", "a"]
         for lang, texts in batches_of(batches, together):
             words = Words(lang, texts)
-            first = last = None
+            sub, inside = words.phrases(max(1, k - 1))
             if k == 1:
-                value = words.hash
+                key, first, last = sub, sub, np.zeros(len(sub), np.uint64)
             else:
-                sub, inside = words.phrases(k - 1)
                 known = shared.value.has(sub) & inside
-                at = np.flatnonzero(known[:-1] & known[1:] & words.joined[: max(0, len(known) - 1)]) if k == 2 else np.flatnonzero(known[:-1] & known[1:])
-                value = mix(sub[at] * _CHAIN + words.hash[at + k - 1])
+                at = np.flatnonzero(known[:-1] & known[1:] & words.joined[: max(0, len(known) - 1)])
                 first, last = sub[at], sub[at + 1]
-            key, where, n = np.unique(value, return_index=True, return_counts=True)
-            whole = k == 1 and len(value) > 0
-            signed = lambda x: pa.array(x.view(np.int64) if x is not None else np.zeros(len(key), np.int64))
-            columns = [signed(key), signed(first[where] if k > 1 else None), signed(last[where] if k > 1 else None), pa.array(n.astype(np.int64))]
-            columns = [pa.array([lang] * len(key), pa.string()), *columns]
+                key = key_of(first, last)
+            key, where, n = np.unique(key, return_index=True, return_counts=True)
             if len(key):
-                yield pa.RecordBatch.from_arrays(columns, names)
-            if whole:
-                yield pa.RecordBatch.from_pydict({"lang": [lang], "key": pa.array([None], pa.int64()), "first": pa.array([0]), "last": pa.array([0]), "a": pa.array([len(value)])})
+                signed = [pa.array(x[where].view(np.int64)) for x in (first, last)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), *signed, pa.array(n.astype(np.int64))], names)
+                if k == 1:
+                    yield pa.RecordBatch.from_pydict({"lang": [lang], "first": pa.array([None], pa.int64()), "last": pa.array([None], pa.int64()), "a": pa.array([len(sub)])})
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, last = (batch.column(c).fill_null(0).to_numpy().view(np.uint64) for c in ("first", "last"))
+            key = first if k == 1 else key_of(first, last)
+            yield batch.append_column("key", pa.array(key.view(np.int64), mask=batch.column("first").is_null().to_numpy(zero_copy_only=False)))
 
-    rows = docs.mapInArrow(run, "lang string, key long, first long, last long, a long")
-    return rows.groupBy("lang", "key", "first", "last").agg(F.sum("a").alias("a"))
+    rows = docs.mapInArrow(run, "lang string, first long, last long, a long").groupBy("lang", "first", "last").agg(F.sum("a").alias("a"))
+    rows = rows.where((F.col("a") >= least) | F.col("first").isNull())
+    return rows.mapInArrow(named, "lang string, first long, last long, a long, key long").select("lang", "key", "first", "last", "a")
 
 
 def dealt(many: DataFrame, one: DataFrame, *by: str) -> DataFrame:
@@ -176,12 +187,12 @@ def phrase_levels(docs: DataFrame, longest: int = 5, least: int = 100, most_bits
     heads[j] is the count of a phrase's first j + 1 words, tails[j] that of its last j + 1; the last of both is its own.
     """
     own = F.array("a")
-    words = stored(counted(docs, 1, None, together).where(F.col("key").isNull() | (F.col("a") >= least)), "level1")
+    words = stored(counted(docs, 1, None, least, together), "level1")
     totals = words.where("key is null").select("lang", F.col("a").alias("n"))
     levels = [words.where("key is not null").select("*", own.alias("heads"), own.alias("tails"))]
     for k in range(2, longest + 1):
         below = levels[-1]
-        level = stored(counted(docs, k, bits_of(below.select("key"), most_bits), together).where(F.col("a") >= least), f"count{k}")
+        level = stored(counted(docs, k, bits_of(below.select("key"), most_bits), least, together), f"count{k}")
         level = dealt(level, below.select("lang", F.col("key").alias("first"), F.col("heads").alias("head")), "lang", "first")
         level = dealt(level, below.select("lang", F.col("key").alias("last"), F.col("tails").alias("tail")), "lang", "last")
         levels.append(stored(level.select("lang", "key", "first", "last", "a", F.concat("head", own).alias("heads"), F.concat("tail", own).alias("tails")), f"level{k}"))
@@ -219,8 +230,7 @@ def spelled(docs: DataFrame, wanted: DataFrame, longest: int, together: int = TO
             words = Words(lang, texts)
             value, inside = words.hash, np.ones(len(words.hash), bool)
             for k in range(2, longest + 1):
-                n = max(0, len(words.hash) - k + 1)
-                value, inside = mix(value[:n] * _CHAIN + words.hash[k - 1 : k - 1 + n]), inside[:n] & words.joined[k - 2 : k - 2 + n]
+                value, inside = words.longer(value, inside)
                 at = np.flatnonzero(shared.value.has(value) & inside)
                 key, where = np.unique(value[at], return_index=True)
                 seen = told.setdefault(k, set())
