@@ -8,8 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions import exprs as E
+from tallyspark.operators import boosting as G
 from tallyspark.operators import ladder as D
 from tallyspark.operators import linear as L
+from tallyspark.operators import normality as N
 from tallyspark.operators import pairing as P
 from tallyspark.operators import statespace as K
 from tallyspark.operators import trailing as T
@@ -255,21 +257,22 @@ def filter_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m19_boosting")
 def boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient-boosted trees on 14 features of earlier seasons, judged on later ones.
+    """Boosted trees for the margin and for the chance of a win, on 14 features of earlier seasons, judged on later ones.
 
-    A missing value becomes one below all others, so a split can send the missing either way by itself.
+    Early games have no trailing features; the trees learn where such rows go. A tenth of the earlier games tells when to
+    stop. log_loss is that of the chances, market_mae that of the line where there is one.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
     names = ["seed_diff", *DIFFS, *[f"roll_{c}" for c in FACTORS], *CONTEXT, "form_home", "form_away"]
-    rows = game_table(spark, sf_dir)
-    low = F.lit(-1e6)
-    held = rows.select("season", "game_id", "margin", *[F.coalesce(F.col(c).cast("double"), low).alias(c) for c in names])
-    stages = [VectorAssembler(inputCols=names, outputCol="x"), GBTRegressor(featuresCol="x", labelCol="margin", maxIter=10, maxDepth=3, seed=7)]
-    model = Pipeline(stages=stages).fit(held.where("season < '1996_97'"))
-    return L.metrics(model.transform(held.where("season >= '1996_97'")), "prediction", "margin", by=["season"])
+    rows = game_table(spark, sf_dir).select("season", "game_id", "margin", "line", (F.col("margin") > 0).cast("double").alias("won"), *names, (F.crc32("game_id") % 10 == 0).alias("held"))
+    early, late = rows.where("season < '1996_97'"), rows.where("season >= '1996_97'")
+    options = {"trees": 12, "depth": 3, "rate": 0.2, "least": 20, "held": "held", "patience": 4}
+    late = G.fit(early, names, "margin", **options).predict(late, "margin_said")
+    late = G.fit(early, names, "won", logistic=True, **options).predict(late, "chance")
+    p = F.least(F.greatest("chance", F.lit(1e-6)), F.lit(1 - 1e-6))
+    return late.groupBy("season").agg(
+        F.count("*").alias("n"), F.avg(F.abs(F.col("margin") - F.col("margin_said"))).alias("mae"), F.sqrt(F.avg(F.pow(F.col("margin") - F.col("margin_said"), F.lit(2)))).alias("rmse"),
+        F.avg(-(F.col("won") * F.log(p) + (1 - F.col("won")) * F.log(1 - p))).alias("log_loss"), F.avg(F.abs(F.col("margin") - F.col("line"))).alias("market_mae"),
+    )
 
 
 @query("g20_partial_correlations")
@@ -288,6 +291,31 @@ def normality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("season", "n", r(F.col("n") / 6 * (F.pow("s", F.lit(2)) + F.pow("k", F.lit(2)) / 4), "jarque_bera", 3))
 
 
+@query(
+    "g21_anderson_darling",
+    with_team(""", x AS (SELECT season, CAST(margin AS DOUBLE) AS v, count(*) AS m FROM live WHERE is_home GROUP BY ALL),
+    g AS (SELECT season, sum(m) AS n, sum(m * v) / sum(m) AS mean FROM x GROUP BY season),
+    s AS (SELECT season, sqrt(sum(m * (v - mean) * (v - mean)) / (min(n) - 1)) AS sd FROM x JOIN g USING (season) GROUP BY season HAVING sum(m * (v - mean) * (v - mean)) > 0),
+    z AS (SELECT season, m, n, mean, sd, (v - mean) / sd AS z, sum(m) OVER (PARTITION BY season ORDER BY v) - m AS a FROM x JOIN g USING (season) JOIN s USING (season)),
+    t AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: CASE WHEN z = 0 THEN 0.0 ELSE exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())) END)) AS half FROM z),
+    p AS (SELECT *, 0.5 + sign(z) * half AS below, 0.5 - sign(z) * half AS above FROM t)
+    SELECT season, CAST(min(n) AS BIGINT) AS n, round(min(mean), 6) AS mean, round(min(sd), 6) AS sd, round(-min(n) - sum(m * (2 * a + m) * ln(below) + m * (2 * n - 2 * a - m) * ln(above)) / min(n), 4) AS anderson,
+           round(0.787 / (1 + 4.0 / min(n) - 25.0 / (min(n) * min(n))), 3) AS anderson_5
+    FROM p GROUP BY season HAVING min(n) >= 8"""),
+)
+def anderson_darling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anderson and Darling's statistic of the margins by season, with its 5 % point."""
+    rows = N.normality(live(spark, sf_dir).where("is_home"), ["season"], "margin").where("anderson is not null")
+    return rows.select("season", "n", r("mean", places=6), r("sd", places=6), r("anderson", places=4), "anderson_5")
+
+
+@query("g21_shapiro_wilk")
+def shapiro_wilk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapiro and Wilk's statistic of each team's winning share, by season, and its p-value."""
+    shares = live(spark, sf_dir).groupBy("season", "team_id").agg(F.avg((F.col("margin") > 0).cast("double")).alias("share"))
+    return N.normality(shares, ["season"], "share").select("season", "n", "shapiro_w", "shapiro_p")
+
+
 @query("m17_shot_quality")
 def shot_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chance of a make by a constant, by zone, by a logistic regression and by boosted trees, from the shots before a

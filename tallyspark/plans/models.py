@@ -12,6 +12,7 @@ from tallyspark.operators import pairing as P
 from tallyspark.operators import statespace as S
 from tallyspark.operators import text as X
 from tallyspark.operators import trailing as T
+from tallyspark.operators.likelihood import NAMES, OuModel
 from tallyspark.plans.base import query, with_player, with_team
 from tallyspark.plans.factors import fact, live, r
 from tallyspark.sources import boxscores as B
@@ -222,6 +223,26 @@ def ou_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("week", "half_life", "sigma2", "c", (F.col("nll") / F.col("n")).alias("mean_nll"), "n")
 
 
+def ou_model(spark: SparkSession, sf_dir: str) -> OuModel:
+    log = B.player_log(spark, sf_dir).withColumn("week", F.date_trunc("week", "game_date").cast("date").cast("string"))
+    return OuModel(log.withColumns({"score": F.col("score").cast("double"), "minutes": F.col("minutes").cast("double")}), "person_id", "game_date", "score", "minutes", "week")
+
+
+@query("m13_ou_fit")
+def ou_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter's most likely parameters, by a search, each with its 95 % interval from the profile likelihood."""
+    model = ou_model(spark, sf_dir)
+    best = model.fit()
+    rows = [(name, *x, best.value) for name, x in zip(NAMES, model.intervals(best), strict=True)]
+    return spark.createDataFrame(rows, "parameter string, estimate double, low double, high double, nll double")
+
+
+@query("m13_ou_fit_walk_forward")
+def ou_fit_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every week, parameters fitted on the weeks before it, each fit from where the last one ended."""
+    return ou_model(spark, sf_dir).walk_forward()
+
+
 @query("l6_set_operations", with_player("SELECT person_id FROM log WHERE status = 'played' INTERSECT SELECT person_id FROM log WHERE status = 'inactive' EXCEPT SELECT person_id FROM log WHERE status = 'dnp_coach'"))
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = B.player_log(spark, sf_dir)
