@@ -80,39 +80,6 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy("model", "bucket").agg(F.count("*").alias("n"), F.avg(error).alias("mae"), F.avg(theirs).alias("market_mae"), F.avg((error < theirs).cast("double")).alias("closer"))
 
 
-def side_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a league's team misses on a day of the month: absences, honours among them, and value above replacement."""
-    log = B.player_log(spark, sf_dir)
-    mean = log.groupBy("person_id").agg(F.avg("score").alias("v"))
-    out = log.where("status = 'inactive'").join(mean, "person_id", "left").withColumn("day", F.dayofmonth("game_date"))
-    v = F.coalesce("v", F.lit(2000.0)) / 1000
-    return out.groupBy("team_id", "day").agg(F.sum(v).alias("absent"), F.sum((v > 2.2).cast("double")).alias("honours"), F.sum(F.greatest(v - 1.5, F.lit(0.0))).alias("above"))
-
-
-SWEEP = ["absent", "honours", "above"]
-
-
-@query("m20_m22_feature_sweep")
-def feature_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four factors with each kind of absence: error, log-loss, and how much of the gap to the market each closes,
-    over all games and over the tenth of games with the largest difference in absences."""
-    side = side_values(spark, sf_dir)
-    rows = game_table(spark, sf_dir).withColumn("day", F.dayofmonth("game_date"))
-    for s in ("home", "away"):
-        own = side.select(F.col("team_id").alias("_team"), F.col("day").alias("_day"), *[F.col(c).alias(f"{s}_{c}") for c in SWEEP])
-        rows = rows.join(own.hint("merge"), (F.col(f"{s}_id") % 30 == F.col("_team")) & (F.col("day") == F.col("_day")), "left").drop("_team", "_day")
-    rows = rows.withColumns({f"x_{c}": F.coalesce(f"home_{c}", F.lit(0.0)) - F.coalesce(f"away_{c}", F.lit(0.0)) for c in SWEEP})
-    sets = {"base": DIFFS, **{c: [*DIFFS, f"x_{c}"] for c in SWEEP}, "all": [*DIFFS, *[f"x_{c}" for c in SWEEP]]}
-    said = D.ladder(rows, "season", sets, "margin", **LEAST).where("line is not null").withColumn("pred_market", F.col("line"))
-    edge = said.agg(F.percentile_approx(F.abs("x_absent"), 0.9).alias("edge"))
-    said = said.join(F.broadcast(edge)).withColumn("top", F.abs("x_absent") >= F.col("edge"))  # one row
-    parts = F.explode(F.when(F.col("top"), F.array(F.lit("all"), F.lit("top tenth"))).otherwise(F.array(F.lit("all")))).alias("games")
-    long = D.long_form(said.select("*", parts), [*sets, "market"], ["games", "margin"])
-    out = D.judged(long, "margin", ["games", "model"])
-    of = lambda m: F.max(F.when(F.col("model") == m, F.col("mae"))).over(W.partitionBy("games"))
-    return out.withColumn("gap_closed", 100 * E.ratio(of("base") - F.col("mae"), of("base") - of("market"))).select("games", "model", "n", "mae", "log_loss", "gap_closed")
-
-
 @query("m23_matchup")
 def matchup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether products of both teams' styles help beyond the four factors in seasons not seen: errors in and out of sample."""
