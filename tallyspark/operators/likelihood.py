@@ -15,8 +15,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators import linear as L
 from tallyspark.operators.sparse import kept
-from tallyspark.operators.statespace import ou_likelihood
+from tallyspark.operators.statespace import ou_filter, ou_likelihood
 
 NAMES = ("lam", "sigma2", "c")
 #: Distance of the points for derivatives, lengths of steps that are tried along a direction, and half of the chi-squared
@@ -171,3 +172,39 @@ class OuModel:
             return rows.select(period, "lam", "sigma2", "c", F.lit(0.0).alias("nll"), F.lit(0).cast("long").alias("n"))
         scored = ou_likelihood(self.rows, *self.columns, [x[1:] for x in fits], self.mu)
         return scored.join(F.broadcast(rows), ["setting", period]).select(period, "lam", "sigma2", "c", (F.col("nll") / F.col("n")).alias("nll"), "n")
+
+
+def component_filters(df: DataFrame, entity: str, date: str, season: str, minutes: str, settings: dict[str, tuple[float, float, float, float]]) -> DataFrame:
+    """A total filtered by its components: entity, date, season, total, pred, var, joint_var, and pred_<part> of each.
+
+    df: one row for an entity and date, with a column for each part. settings: each part's own (lam, sigma2, c, mu). var
+    is the sum of the parts' variances of what is seen; joint_var adds what the parts' surprises have in common, by the
+    correlations of the standardised surprises of all earlier seasons (none in the first). A part without a value is
+    foreseen all the same; rows that lack one teach nothing of correlations.
+    """
+    parts, out = list(settings), None
+    for part, (lam, sigma2, c, mu) in settings.items():
+        one = ou_filter(df.select(entity, date, part, minutes), entity, date, part, minutes, lam, sigma2, c, mu)
+        noise = F.try_divide(F.lit(float(c)), F.col(minutes))
+        one = one.select(entity, date, F.col(part), F.col("pred").alias(f"pred_{part}"), (F.col("pred_var") + noise).alias(f"var_{part}"))
+        out = one if out is None else out.join(one.hint("merge"), [entity, date])
+    out = kept(out.join(df.select(entity, F.col(date).cast("date").alias(date), season).hint("merge"), [entity, date]))
+    z = {p: F.try_divide(F.col(p) - F.col(f"pred_{p}"), F.sqrt(f"var_{p}")) for p in parts}
+    blocks = sorted(L.gram(out.select(season, *(v.alias(f"z_{p}") for p, v in z.items()), F.lit(0.0).alias("_one")), [f"z_{p}" for p in parts], "_one", by=[season]).collect(), key=lambda r: r[season])
+    size = len(parts) + 1
+    total, rows = np.zeros((size, size)), []
+    for block in blocks:
+        shared = np.zeros((len(parts), len(parts)))
+        if total[0, 0] > 1:
+            mean = total[0, 1:] / total[0, 0]
+            cov = total[1:, 1:] / total[0, 0] - np.outer(mean, mean)
+            sd = np.sqrt(np.clip(np.diag(cov), 1e-12, None))
+            shared = cov / np.outer(sd, sd)
+        rows.append((block[season], [float(shared[i, j]) for i, j in combinations(range(len(parts)), 2)]))
+        total += np.array([[block[f"g_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(size)] for i in range(size)])
+    known = F.broadcast(df.sparkSession.createDataFrame(rows, f"{season} {df.schema[season].dataType.simpleString()}, _rho array<double>"))  # a row per season
+    var = {p: F.col(f"var_{p}") for p in parts}
+    together = sum((2 * F.coalesce(F.col("_rho")[k], F.lit(0.0)) * F.sqrt(var[i] * var[j]) for k, (i, j) in enumerate(combinations(parts, 2))), F.lit(0.0))
+    add = lambda cols: sum(cols, F.lit(0.0))
+    joined = out.join(known, season, "left")
+    return joined.select(entity, date, season, add(F.col(p) for p in parts).alias("total"), add(F.col(f"pred_{p}") for p in parts).alias("pred"), add(var.values()).alias("var"), (add(var.values()) + together).alias("joint_var"), *(f"pred_{p}" for p in parts))

@@ -128,14 +128,18 @@ def period_starters(events: DataFrame) -> DataFrame:
     """Who was on the floor when a period began: game_id, period, side, pid.
 
     `events` has kind, side, pid (of a substitution: who leaves) and sub_in. A player started if they left before they
-    came in, or never came in and did something. Aggregates by player, no walk.
+    came in, or never came in and did something. Whoever may have come in by a substitution without a name (one of its
+    `candidates`) counts as having come in then, unless they had done something before. Aggregates by player, no walk.
     """
     key = ["game_id", "period", "side"]
     out = events.select(*key, F.col("pid"), "feed_pos", F.when(F.col("kind") == "sub", "out").otherwise("did").alias("what"))
     came = events.where("kind = 'sub' and sub_in is not null").select(*key, F.col("sub_in").alias("pid"), "feed_pos", F.lit("in").alias("what"))
+    if "candidates" in events.columns:
+        unnamed = events.where("kind = 'sub' and sub_in is null and candidates is not null")
+        came = came.unionByName(unnamed.select(*key, F.explode("candidates").alias("pid"), "feed_pos", F.lit("maybe").alias("what")))
     first = lambda what: F.min(F.when(F.col("what") == what, F.col("feed_pos")))
-    seen = out.unionByName(came).where("pid <> 0 and side is not null").groupBy(*key, "pid").agg(first("in").alias("i"), first("out").alias("o"), first("did").alias("d"))
-    return seen.where("o < i or (i is null and (o is not null or d is not null))").select(*key, "pid")
+    seen = out.unionByName(came).where("pid <> 0 and side is not null").groupBy(*key, "pid").agg(first("in").alias("i"), first("out").alias("o"), first("did").alias("d"), first("maybe").alias("m"))
+    return seen.where("case when i is null then least(o, d) < coalesce(m, least(o, d) + 1) else o < least(i, m) end").select(*key, "pid")
 
 
 STINT = "game_id string, period int, stint_idx int, start_at double, end_at double, seconds double, home_pts long, away_pts long, home_fga long, away_fga long, home_lineup array<long>, away_lineup array<long>"
@@ -144,7 +148,9 @@ STINT = "game_id string, period int, stint_idx int, start_at double, end_at doub
 def stints(events: DataFrame, starters: DataFrame, size: int = 5) -> DataFrame:
     """Stretches of a period with unchanged line-ups and what each side did in them.
 
-    Substitutions at one time are made together. A period whose line-ups can't be kept at `size` gives no rows:
+    Substitutions at one time are made together, in the feed's order. A substitute without a name (sub_in null) is the one
+    of the event's `candidates`, if there is such a column, who isn't on the floor just then; where that leaves none or
+    several, the period can't be told. A period whose line-ups can't be kept at `size` gives no rows:
     repaired_starters fills gaps by minutes, and stint_audit names the periods that remain. Events
     have side, pts and the columns of period_starters; a period's events fit in one task by far.
     """
@@ -162,8 +168,10 @@ def stints(events: DataFrame, starters: DataFrame, size: int = 5) -> DataFrame:
         out = []
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             for e in rows[(rows.kind == "sub") & (rows["at"] == a)].itertuples():
+                named = e.sub_in == e.sub_in and e.sub_in is not None
+                free = [int(e.sub_in)] if named else [int(p) for p in (e.candidates if e.candidates is not None else ()) if p not in floor[e.side]]
                 floor[e.side].discard(e.pid)
-                floor[e.side].add(int(e.sub_in) if e.sub_in == e.sub_in and e.sub_in is not None else -1)
+                floor[e.side].add(free[0] if len(free) == 1 else -1)
             if any(len(x) != size or -1 in x for x in floor.values()):
                 return pd.DataFrame([], columns=names)
             # what happens as the clock shows a change belongs to the line-ups before it
@@ -173,7 +181,7 @@ def stints(events: DataFrame, starters: DataFrame, size: int = 5) -> DataFrame:
         return pd.DataFrame(out, columns=names)
 
     key = ["game_id", "period"]
-    rows = events.select(*key, "feed_pos", "at", "kind", "side", "pid", F.col("sub_in").cast("double"), "pts")
+    rows = events.select(*key, "feed_pos", "at", "kind", "side", "pid", F.col("sub_in").cast("double"), "pts", (F.col("candidates") if "candidates" in events.columns else F.lit(None).cast("array<long>")).alias("candidates"))
     # aliases make new columns: both sides may come from the same events
     first = starters.select(*[F.col(c).alias(c) for c in (*key, "side", "pid")])
     return rows.groupBy(*key).cogroup(first.groupBy(*key)).applyInPandas(walk, STINT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,12 +10,15 @@ from pyspark.sql import functions as F
 from tallyspark.functions import exprs as E
 from tallyspark.operators import asof as A
 from tallyspark.operators import availability as V
+from tallyspark.operators import likelihood as M
 from tallyspark.operators import linear as L
 from tallyspark.operators import names as N
 from tallyspark.operators import pairing as P
 from tallyspark.operators import sequence as S
 from tallyspark.operators import statespace as K
 from tallyspark.operators import trailing as T
+from tallyspark.operators.likelihood import OuModel
+from tallyspark.operators.sparse import kept
 from tallyspark.plans.base import query, with_player, with_team
 from tallyspark.plans.factors import live, r
 from tallyspark.plans.models import league_games
@@ -135,6 +139,15 @@ def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lineup_channels(S.stints(events, S.period_starters(events))).select("game_id", "side", "pid", F.col("seconds"))
 
 
+@query("q3_ambiguous_stints", "SELECT g AS game_id, side, CAST(pid AS BIGINT) AS pid, CAST(CASE WHEN pid <= 2 THEN 200 * pid WHEN pid <= 5 THEN 720 ELSE 720 - 200 * (pid - 5) END AS DOUBLE) AS seconds FROM (SELECT DISTINCT lpad(CAST(user_id AS VARCHAR), 10, '0') AS g FROM events), (SELECT unnest(['home', 'away']) AS side), (SELECT unnest(range(1, 8)) AS pid)")
+def ambiguous_stints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same floor where every substitute shares a family name with someone on the floor: told by who is off it."""
+    events = floor_events(spark, sf_dir)
+    sub = F.col("kind") == "sub"
+    unnamed = events.withColumn("candidates", F.when(sub, F.array(F.col("sub_in"), F.when(F.col("sub_in") == 6, F.lit(4)).otherwise(F.lit(6)).cast("long")))).withColumn("sub_in", F.when(~sub, F.col("sub_in")))
+    return S.lineup_channels(S.stints(unnamed, S.period_starters(unnamed))).select("game_id", "side", "pid", "seconds")
+
+
 SECONDS = "CAST(CASE WHEN pid <= 2 THEN 200 * pid WHEN pid <= 5 THEN 720 ELSE 720 - 200 * (pid - 5) END AS DOUBLE)"
 
 
@@ -199,28 +212,32 @@ def factor_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-COMPONENT_SHARES = {"a": "score * 0.5", "b": "score * 0.3 - minutes * 5", "c": "minutes * 12 - score * 0.1"}
+#: A player's score by component, from box counts. Fixed values.
+PLAYER_PARTS = {"scoring": "pts + 0.4 * fgm - 0.7 * fga - 0.4 * (fta - ftm)", "rebounding": "0.7 * oreb + 0.3 * dreb", "playmaking": "0.7 * ast", "defence": "stl + 0.7 * blk", "discipline": "-0.4 * pf - tov"}
+
+
+def component_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Player-days with the five components per 36 minutes; box counts of the roster's players by a fixed rule."""
+    from tallyspark.plans.corrections import roster_log
+
+    u = F.col("person_id") % 11 + F.col("game_id").cast("long") % 13
+    counts = {"pts": F.col("score"), "fgm": F.floor(F.col("score") * 0.4), "fga": F.floor(F.col("score") * 0.4) + u % 6, "ftm": u % 4, "fta": u % 4 + u % 2, "oreb": u % 3, "dreb": u % 5, "ast": u % 7, "stl": u % 2, "blk": (u % 4 == 0).cast("int"), "pf": u % 5, "tov": (u + 1) % 3}
+    rows = roster_log(spark, sf_dir).where("status = 'played'").withColumns(counts)
+    days = rows.groupBy("person_id", "game_date", "season").agg(F.sum("minutes").cast("double").alias("minutes"), *[F.sum(c).cast("double").alias(c) for c in counts])
+    return days.select("person_id", "game_date", "season", "minutes", *[(36 * F.expr(v) / F.col("minutes")).alias(k) for k, v in PLAYER_PARTS.items()])
 
 
 @query("q10_component_filters")
 def component_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filters of a player's components, added up: the total's prediction, and its variance without and with covariance.
-
-    The correlations are those of the components' standardised surprises in the first season, a handful of sums.
-    """
-    log = B.player_log(spark, sf_dir).where("score is not null").groupBy("person_id", "game_date", "season").agg(F.sum("score").cast("double").alias("score"), F.sum("minutes").cast("double").alias("minutes"))
-    long = log.select("person_id", "season", "game_date", "minutes", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.expr(v).alias("y")) for k, v in COMPONENT_SHARES.items()])).alias("p")).select("*", "p.*")
-    keyed = long.select(F.concat_ws("/", "person_id", "part").alias("key"), "game_date", "y", "minutes")
-    out = K.ou_filter(keyed, "key", "game_date", "y", "minutes", 0.02, 1e5, 4e6, 600.0)
-    parts = F.split("key", "/")
-    rows = out.select(parts[0].cast("long").alias("person_id"), parts[1].alias("part"), "game_date", "y", "pred", (F.col("pred_var") + 4e6 / F.col("minutes")).alias("var"))
-    wide = rows.groupBy("person_id", "game_date").agg(*[F.max(F.when(F.col("part") == k, F.col(c))).alias(f"{c}_{k}") for k in COMPONENT_SHARES for c in ("y", "pred", "var")])
-    surprise = {k: (F.col(f"y_{k}") - F.col(f"pred_{k}")) / F.sqrt(f"var_{k}") for k in COMPONENT_SHARES}
-    pairs = [("a", "b"), ("a", "c"), ("b", "c")]
-    early = wide.where("game_date < date'2024-01-16'").agg(*[F.corr(surprise[i], surprise[j]).alias(i + j) for i, j in pairs]).first()
-    total = lambda c: sum((F.col(f"{c}_{k}") for k in COMPONENT_SHARES), F.lit(0.0))
-    shared = sum((2 * float(early[i + j] or 0.0) * F.sqrt(F.col(f"var_{i}") * F.col(f"var_{j}")) for i, j in pairs), F.lit(0.0))
-    return wide.select("person_id", "game_date", total("pred").alias("pred"), total("var").alias("var"), (total("var") + shared).alias("joint_var"))
+    """Filters of a player's five components, each with parameters fitted on the first two seasons, added up: the total's
+    prediction, and its variance without and with what the components' surprises had in common in earlier seasons."""
+    log = kept(component_log(spark, sf_dir))
+    first = [r[0] for r in log.select("season").distinct().orderBy("season").limit(2).collect()]
+    settings = {}
+    for part in PLAYER_PARTS:
+        model = OuModel(log.where(F.col("season").isin(first)), "person_id", "game_date", part, "minutes", "season")
+        settings[part] = (*map(float, np.exp(model.fit([model.start]).at)), model.mu)
+    return M.component_filters(log, "person_id", "game_date", "season", "minutes", settings).select("person_id", "game_date", "total", "pred", "var", "joint_var")
 
 
 @query("j18_name_resolution", "SELECT c_custkey, CAST(c_custkey AS BIGINT) AS person_id FROM customer")

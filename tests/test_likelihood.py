@@ -5,7 +5,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from tallyspark.operators.likelihood import OuModel, Problem, minimised
+from tallyspark.operators.likelihood import OuModel, Problem, component_filters, minimised
+from tallyspark.operators.statespace import ou_filter
 from tallyspark.plans.models import OU_GRID
 
 PLANTED = 0.03, 40.0, 150.0
@@ -63,3 +64,28 @@ def test_the_search_on_a_known_surface():
     low, high = np.full(3, -9.0), np.full(3, 9.0)
     free, fixed = minimised([Problem(np.zeros(3)), Problem(np.array([3.0, 0.0, 0.5]), (1, 2))], scores, low, high, tolerance=1e-9)
     assert free.at == pytest.approx([1, -2, 0.5], abs=0.06) and fixed.at == pytest.approx([3, -2.3, 0.5], abs=0.02)
+
+
+def test_components_are_added_up_with_what_they_share(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for p in range(40):
+        for g in range(30):
+            common = rng.normal()
+            rows.append((p, dt.date(2015 + g // 10, 11, 1) + dt.timedelta(days=g % 10 * 3), f"{2015 + g // 10}_{16 + g // 10}", float(10 + p % 9), float(common + rng.normal()), float(2 + common + rng.normal()), float(rng.normal()) if p or g != 3 else None))
+    df = spark.createDataFrame(rows, "person_id long, game_date date, season string, minutes double, a double, b double, c double").repartition(3)
+    settings = {"a": (0.02, 1.0, 20.0, 0.0), "b": (0.05, 0.5, 30.0, 2.0), "c": (0.01, 0.2, 15.0, 0.0)}
+    got = {(r["person_id"], r["game_date"]): r for r in component_filters(df, "person_id", "game_date", "season", "minutes", settings).collect()}
+    part = {k: {(r["person_id"], r["game_date"]): (r[k], r["pred"], r["pred_var"] + s[2] / r["minutes"]) for r in ou_filter(df, "person_id", "game_date", k, "minutes", *s).collect()} for k, s in settings.items()}
+    assert len(got) == 1200
+    season = {(r[0], r[1]): r[2] for r in rows}
+    for key, r in got.items():
+        early = [k for k in got if season[k] < season[key] and part["c"][k][0] is not None]
+        var = [part[k][key][2] for k in "abc"]
+        joint = sum(var)
+        if early and key[0] < 3:
+            z = np.array([[(part[k][e][0] - part[k][e][1]) / np.sqrt(part[k][e][2]) for e in early] for k in "abc"])
+            rho = np.corrcoef(z)
+            joint += sum(2 * rho[i, j] * np.sqrt(var[i] * var[j]) for i in range(3) for j in range(i + 1, 3))
+        if not early or key[0] < 3:
+            assert (r["pred"], r["var"], r["joint_var"]) == tuple(map(pytest.approx, (sum(part[k][key][1] for k in "abc"), sum(var), joint)))
