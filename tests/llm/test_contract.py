@@ -149,6 +149,38 @@ def test_recall_of_near_passages(spark):
     assert found <= {(2 * k + 1, 2 * k) for k in range(120)} and sum(p in found for p in planted) >= 0.95 * len(planted) > 80
 
 
+def changed(rng, words, how):
+    """A passage with one large edit: words put in, left out, or a stretch of them moved to the end."""
+    at, n = len(words) // 2, max(1, len(words) // 11)
+    if how == "inserted":
+        return words[:at] + prose(rng, n) + words[at:]
+    if how == "deleted":
+        return words[:at] + words[at + n :]
+    return words[:at] + words[at + n :] + words[at : at + n]
+
+
+@pytest.mark.parametrize("batch", [1, None])
+def test_recall_of_passages_with_large_edits(spark, batch):
+    """Insertions, deletions and moved text, in the earlier or the later document, whichever documents are worked on together."""
+    rng = np.random.default_rng(31)
+    rows, planted = [], set()
+    for k in range(96):
+        passage = prose(rng, (70, 84, 130, 400)[k % 4])
+        other = changed(rng, passage, ("inserted", "deleted", "moved")[k // 4 % 3])
+        pair = [passage, other] if k // 12 % 2 else [other, passage]
+        rows += [(2 * k + s, " ".join(prose(rng, 60) + x + prose(rng, 60))) for s, x in enumerate(pair)]
+        if alike(*pair) >= 0.8:
+            planted.add((2 * k + 1, 2 * k))
+    tail = prose(rng, 404)  # 70 words put in before the last 40, which no window reaches
+    rows += [(1000, " ".join(tail)), (1001, " ".join(tail[:364] + prose(rng, 70) + tail[364:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = passages.near_passages(docs, **({"batch": batch} if batch else {})).collect()
+    found = {(r["doc_id"], r["other_id"]) for r in got}
+    assert found <= {(2 * k + 1, 2 * k) for k in range(96)} | {(1001, 1000)}
+    assert len(planted) > 60 and sum(p in found for p in planted) >= 0.95 * len(planted)
+    assert max(r["other_words"] for r in got if r["doc_id"] == 1001) >= 360
+
+
 def test_variants_of_one_passage_are_joined(spark):
     """Many documents hold a passage, each with an edit of its own; the smallest id has one that is too far from all."""
     rng = np.random.default_rng(22)
