@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,8 +101,9 @@ def paired_test(rows: DataFrame, a: str, b: str, by: list[str] | None = None) ->
 
 def bootstrap_mean(rows: DataFrame, value: str, key: str, times: int = 200) -> DataFrame:
     """Mean, and its 2.5 % and 97.5 % points over Poisson resamples: weights drawn from a hash, so one aggregate suffices."""
-    u = lambda i: (F.pmod(F.xxhash64(key, F.lit(i)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    poisson = lambda x: F.when(x < 0.367879441, 0).when(x < 0.735758882, 1).when(x < 0.919698603, 2).when(x < 0.981011843, 3).otherwise(4)
+    # the inverse of the distribution of mean 1, to the last term that 30 bits can tell from 1
+    terms = [math.exp(-1) / math.factorial(k) for k in range(14)]
+    poisson = lambda x: sum(((x >= sum(terms[: k + 1])).cast("int") for k in range(13)), F.lit(0))
     draws = rows.select(value, key, F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("i")).withColumn("w", poisson((F.pmod(F.xxhash64(key, "i"), F.lit(1 << 30)) + 0.5) / (1 << 30)))
     means = draws.groupBy("i").agg(E.ratio(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
     points = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))

@@ -240,12 +240,30 @@ def component_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.component_filters(log, "person_id", "game_date", "season", "minutes", settings).select("person_id", "game_date", "total", "pred", "var", "joint_var")
 
 
-@query("j18_name_resolution", "SELECT c_custkey, CAST(c_custkey AS BIGINT) AS person_id FROM customer")
+@query(
+    "j18_name_resolution",
+    """WITH c AS (SELECT c_custkey, c_custkey // 12 AS g, c_custkey % 2 AS side, (c_custkey % 12) // 2 AS k FROM customer),
+    people AS (SELECT *, CASE k WHEN 0 THEN 'luka' WHEN 1 THEN 'ivan' WHEN 2 THEN 'luis' WHEN 3 THEN 'nikola' WHEN 4 THEN 'shaquille' ELSE 'trae' END AS f,
+        CASE WHEN k <= 1 THEN 'saric' WHEN k = 2 THEN 'doncic' WHEN k = 3 THEN 'jokic' WHEN k = 4 THEN 'oneal' ELSE 'young' END AS n FROM c),
+    roster AS (SELECT *, left(f, 1) || ' ' || n AS s FROM people),
+    asked AS (SELECT *, CASE c_custkey % 5 WHEN 0 THEN n WHEN 1 THEN s WHEN 2 THEN left(f, 3) || ' ' || n WHEN 3 THEN 'nobody' ELSE f END AS key FROM roster),
+    tried AS (SELECT a.c_custkey, r.c_custkey AS p, CASE WHEN a.key = r.s THEN 0 WHEN a.key = r.n THEN 1 WHEN ends_with(a.key, ' ' || r.n) AND starts_with(r.f, split_part(a.key, ' ', 1)) THEN 2 WHEN a.key = r.f OR contains(a.key, r.n) THEN 3 END AS way
+        FROM asked a JOIN roster r USING (g, side)),
+    best AS (SELECT c_custkey, p, way, min(way) OVER (PARTITION BY c_custkey) AS first FROM tried WHERE way IS NOT NULL)
+    SELECT a.c_custkey, CAST(count(b.p) AS INTEGER) AS candidates, CAST(CASE WHEN count(b.p) = 1 THEN min(b.p) END AS BIGINT) AS person_id FROM asked a LEFT JOIN best b ON b.c_custkey = a.c_custkey AND b.way = b.first GROUP BY a.c_custkey""",
+)
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = B.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 100).alias("game_id"), F.lit("home").alias("side"), F.concat(F.lit("Dončić"), F.col("c_custkey").cast("string")).alias("family_name"))
-    roster = c.select("game_id", "side", F.col("c_custkey").alias("person_id"), F.lit("Luka").alias("first_name"), "family_name", F.concat(F.lit("L. "), "family_name").alias("name_i"))
-    mentions = c.withColumn("name", F.when(F.col("c_custkey") % 2 == 0, F.col("family_name")).otherwise(F.concat(F.lit("L. DONCIC"), F.col("c_custkey").cast("string"))))
-    return N.resolved(mentions, roster).select("c_custkey", "person_id")
+    """Games of twelve: two of each side share a family name; names come whole, short, cut, by one part alone, or unknown."""
+    k = F.floor((F.col("c_custkey") % 12) / 2).cast("int")
+    first = F.element_at(F.array(*map(F.lit, ("Luka", "Ivan", "Luis", "Nikola", "Shaquille", "Trae"))), k + 1)
+    family = F.element_at(F.array(*map(F.lit, ("Šarić", "Sarić", "Dončić", "Jokić Jr.", "O'Neal", "Young"))), k + 1)
+    c = B.table(spark, sf_dir, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 12).cast("long").alias("game_id"), F.when(F.col("c_custkey") % 2 == 0, "home").otherwise("away").alias("side"), first.alias("first_name"), family.alias("family_name"))
+    c = c.withColumn("name_i", F.concat(F.substring("first_name", 1, 1), F.lit(". "), "family_name"))
+    kind = F.col("c_custkey") % 5
+    name = F.when(kind == 0, F.upper("family_name")).when(kind == 1, F.col("name_i")).when(kind == 2, F.concat(F.substring("first_name", 1, 3), F.lit(" "), "family_name")).when(kind == 3, "Nobody").otherwise(F.col("first_name"))
+    roster = c.select("game_id", "side", F.col("c_custkey").alias("person_id"), "first_name", "family_name", "name_i")
+    out = N.resolved(c.select("c_custkey", "game_id", "side", name.alias("name")), roster)
+    return out.select("c_custkey", F.size("candidates").alias("candidates"), "person_id")
 
 
 @query("l8_group_folds", with_team("SELECT fold, count(*) AS n, count(DISTINCT team_id) AS teams FROM (SELECT team_id, CAST(CAST('0x' || substr(md5(CAST(team_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM live) GROUP BY fold"))

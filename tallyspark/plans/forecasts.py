@@ -136,11 +136,15 @@ def age_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def coach_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = F.struct("o_orderdate", "o_orderkey")
-    c = B.table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("team"), F.year("o_orderdate").alias("y"))
-    c = c.agg(F.min_by("o_custkey", when).alias("first"), F.max_by("o_custkey", when).alias("last"), F.collect_set("o_custkey").alias("who"))
-    past = W.partitionBy("team").orderBy("y").rangeBetween(-1, -1)
-    known, last = F.first("who").over(past), F.first("last").over(past)
-    return c.select("team", "y", F.coalesce((known.isNotNull() & ~F.array_contains(known, F.col("first"))).cast("int"), F.lit(0)).alias("is_new"), F.coalesce((last != F.col("first")).cast("int"), F.lit(0)).alias("off_season"))
+    o = B.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("team"), F.year("o_orderdate").alias("y"), "o_custkey", when.alias("at"))
+    c = o.groupBy("team", "y").agg(F.min_by("o_custkey", "at").alias("first"), F.max_by("o_custkey", "at").alias("last"))
+    # whether this year's first was there last year: a semi join on the person, no set of everyone
+    before = c.select("team", "y", "last", F.col("first").alias("o_custkey"))
+    there = before.join(o.select("team", (F.col("y") + 1).alias("y"), "o_custkey"), ["team", "y", "o_custkey"], "left_semi").select("team", "y", F.lit(1).alias("there"))
+    last = c.select("team", (F.col("y") + 1).alias("y"), F.col("last").alias("last_before"))
+    rows = c.join(last, ["team", "y"], "left").join(there, ["team", "y"], "left")
+    known = F.col("last_before").isNotNull()
+    return rows.select("team", "y", (known & F.col("there").isNull()).cast("int").alias("is_new"), F.coalesce((F.col("last_before") != F.col("first")).cast("int"), F.lit(0)).alias("off_season"))
 
 
 @query("j19_injury_names", "SELECT s_suppkey AS person_id, CAST(max(c_acctbal > 0) AS INTEGER) AS out FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey % 100 = c_custkey % 100 GROUP BY s_suppkey")
@@ -148,7 +152,8 @@ def injury_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hand-kept list joined on name key and team."""
     own = B.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("team"), E.name_key(F.concat(F.lit("Dé "), (F.col("s_suppkey") % 100).cast("string"))).alias("name"))
     listed = B.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("team"), E.name_key(F.concat(F.lit("DE "), (F.col("c_custkey") % 100).cast("string"), F.lit(" Jr."))).alias("name"), (F.col("c_acctbal") > 0).cast("int").alias("o"))
-    return own.join(listed, ["team", "name"]).groupBy(F.col("s_suppkey").alias("person_id")).agg(F.max("o").alias("out"))
+    listed = listed.groupBy("team", "name").agg(F.max("o").alias("out"))  # a row per name before the join
+    return own.join(listed, ["team", "name"]).select(F.col("s_suppkey").alias("person_id"), "out")
 
 
 @query(
