@@ -30,21 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it again: a cut of lineage that outlives executors."""
+def stored(df: DataFrame, name: str, compression: str = "snappy", level: int | None = None) -> DataFrame:
+    """Write `df` as Parquet into the shared folder and read it again: a cut of lineage that outlives executors.
+
+    level: of Zstandard, where that is the compression.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    options = {"compression": compression} | ({"parquet.compression.codec.zstd.level": level} if level else {})
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def beside(many: DataFrame, one: DataFrame, key: str, part: str = "part") -> DataFrame:
+def beside(many: DataFrame, one: DataFrame, key: str, part: str = "part", how: str = "inner") -> DataFrame:
     """`many` with the columns of `one`, which has one row or a few for each `key`.
 
     A row of `one` goes once to each pair of its key and a part of `many` (rows that were read together), so the rows of
-    a very frequent key stay dealt over the parts, whatever their number. Rows of `many` without a partner go.
+    a very frequent key stay dealt over the parts, whatever their number. Rows of `many` without a partner go, or have
+    nulls with how="left".
     """
-    pairs = many.select(key, part).distinct().join(one.hint("merge"), key)
+    pairs = many.select(key, part).distinct().join(one.hint("merge"), key, how)
     return many.join(pairs.hint("merge"), [key, part])
 
 
