@@ -197,10 +197,8 @@ def half_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
         formed = T.weighted_form(formed, keys, order, "m", 0.5 ** (1 / h), 20, 2).withColumnRenamed("form", f"form_{h}")
     g = P.game_level(formed, ["margin", *[f"form_{h}" for h in HALF_LIVES]], include_neutral=False)
     table = g.select("season", "game_id", F.col("home_margin").cast("double").alias("margin"), *[(F.col(f"home_form_{h}") - F.col(f"away_form_{h}")).alias(f"x{h}") for h in HALF_LIVES]).dropna()
-    said = None
-    for h in HALF_LIVES:
-        one = L.walk_forward(table, "season", [f"x{h}"], "margin", 2).groupBy("season").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("prediction") - F.col("margin"))).alias("mae")).withColumn("half_life", F.lit(h))
-        said = one if said is None else said.unionByName(one)
+    said = D.each_alone(table, "season", [f"x{h}" for h in HALF_LIVES], "margin", 2).select("season", F.substring("model", 2, 9).cast("int").alias("half_life"), F.abs(F.col("prediction") - F.col("margin")).alias("e"))
+    said = said.groupBy("season", "half_life").agg(F.count("*").alias("n"), F.avg("e").alias("mae"))
     before = F.lag("mae").over(W.partitionBy("half_life").orderBy("season"))
     best = F.row_number().over(W.partitionBy("season").orderBy("inner", "half_life"))
     return said.withColumn("inner", before).where("inner is not null").withColumn("_b", best).where("_b = 1").select("season", "half_life", "n", "inner", "mae")

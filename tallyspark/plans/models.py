@@ -291,7 +291,16 @@ def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").distinct().join(weighed, "doc_id", "left").withColumn("terms", F.coalesce("terms", F.lit(0).cast("long")))
 
 
-@query("t2_t3_chunks")
+@query(
+    "t2_t3_chunks",
+    r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(^|\n)(#{1,3} )', E'\\1\x01\\2', 'g'), E'\x01') AS parts FROM documents),
+    q AS (SELECT doc_id, CASE WHEN parts[1] = '' AND len(parts) > 1 THEN parts[2:] ELSE parts END AS parts FROM p), s AS (SELECT doc_id, unnest(parts) AS part, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS section FROM q),
+    h AS (SELECT doc_id, section, trim(regexp_extract(part, '^#{1,3} +([^\n]*)', 1)) AS heading, regexp_replace(regexp_replace(part, '^#{1,3} +[^\n]*\n?', ''), '^\s+|\s+$', '', 'g') AS body FROM s),
+    f AS (SELECT doc_id, section, CASE WHEN heading <> '' THEN heading ELSE '(start)' END AS heading, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM h),
+    w AS (SELECT doc_id, section, heading, list_reduce(list_transform(ps, lambda x: {'done': CAST([] AS VARCHAR[]), 'now': x}), lambda a, b: CASE WHEN length(a.now) + 1 + length(b.now) > 1100 THEN {'done': list_append(a.done, a.now), 'now': right(a.now, 200) || chr(10) || b.now} ELSE {'done': a.done, 'now': a.now || chr(10) || b.now} END) AS s FROM f WHERE len(ps) > 0),
+    c AS (SELECT doc_id, section, heading, list_append(s.done, s.now) AS bodies FROM w)
+    SELECT doc_id, section, heading, CAST(generate_subscripts(bodies, 1) - 1 AS INTEGER) AS chunk, unnest(bodies) AS body FROM c""",
+)
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chunks(B.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", separator="\n")
 

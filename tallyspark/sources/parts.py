@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import time
 import zipfile
 from collections.abc import Callable, Iterator
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.sources.control import write_json
+
 
 def documents(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """Whole text files below a folder: path, name, text."""
@@ -68,12 +71,45 @@ def write_as(df: DataFrame, path: str, kind: str = "csv", order: list[str] | Non
 def write_arrays(df: DataFrame, path: str, arrays: list[str], most: int = 1_000_000) -> None:
     """A table's numeric and fixed-length array columns as one .npz file, for training elsewhere.
 
-    The file is one machine's to read, so the table may have `most` rows; a larger one raises and belongs in Parquet.
+    A path that ends in .npy takes the one array there is. The file is one machine's to read, so the table may have `most`
+    rows; a larger one raises and belongs in Parquet.
     """
     rows = df.select(*arrays).limit(most + 1).toPandas()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows: write Parquet instead")
-    np.savez_compressed(path, **{c: np.array(rows[c].tolist()) for c in arrays})
+    made = {c: np.array(rows[c].tolist()) for c in arrays}
+    if path.endswith(".npy"):
+        (only,) = made.values()
+        np.save(path, only)
+    else:
+        np.savez_compressed(path, **made)
+
+
+def write_parameters(path: str, **values) -> None:
+    """A fitted model's parameters as one JSON file, written whole or not at all: numbers, texts, lists, dictionaries and arrays."""
+
+    def plain(x):
+        if isinstance(x, np.ndarray):
+            return {"array": x.tolist(), "dtype": x.dtype.str, "shape": list(x.shape)}
+        if isinstance(x, np.generic):
+            return x.item()
+        if isinstance(x, dict):
+            return {str(k): plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, (list, tuple)) else x
+
+    write_json(path, plain(values))
+
+
+def read_parameters(path: str) -> dict:
+    """What write_parameters wrote; tuples come back as lists, keys of dictionaries as texts."""
+
+    def whole(x):
+        if isinstance(x, dict):
+            return np.array(x["array"], x["dtype"]).reshape(x["shape"]) if set(x) == {"array", "dtype", "shape"} else {k: whole(v) for k, v in x.items()}
+        return [whole(v) for v in x] if isinstance(x, list) else x
+
+    with open(path, encoding="utf-8") as f:
+        return whole(json.load(f))
 
 
 def optional(spark: SparkSession, path: str, schema: str, reader: str = "csv") -> DataFrame:

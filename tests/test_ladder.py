@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import ladder as D
+from tallyspark.operators import linear as L
 
 NAMES = ["a", "b", "form_home", "form_away", "form_home_var", "form_away_var", "base_home", "base_away", "margin"]
 
@@ -89,3 +90,13 @@ def test_a_system_is_solved_alike_on_the_driver_and_by_steps(spark):
     lines = spark.createDataFrame([(h, g, strength[h] - strength[g] + 2.0) for h in range(3) for g in range(3) if h != g] * 5, "home_id long, away_id long, line double")
     rated = {r["team_id"]: r["rating"] for r in market_ratings(lines, 1e-6).collect()}
     assert rated[0] - rated[2] == pytest.approx(6, abs=1e-3) and rated[1] == pytest.approx(0, abs=1e-3)
+
+
+def test_each_feature_alone_equals_walk_forward(spark):
+    rng = np.random.default_rng(21)
+    rows = [(f"{2000 + y}", k, *map(float, rng.normal(size=3))) for y in range(5) for k in range(30)]
+    df = spark.createDataFrame(rows, "season string, k int, a double, b double, y double")
+    got = {(r["model"], r["season"], r["k"]): r["prediction"] for r in D.each_alone(df, "season", ["a", "b"], "y", 2).collect()}
+    for f in ("a", "b"):
+        want = {(f, r["season"], r["k"]): r["prediction"] for r in L.walk_forward(df, "season", [f], "y", 2).collect()}
+        assert {k: v for k, v in got.items() if k[0] == f} == pytest.approx(want)

@@ -100,3 +100,13 @@ def test_a_season_can_be_dealt_over_files(spark, tmp_path):
     B.write_processed(df, str(tmp_path / "p"), dealt=4, rows=15)
     files = list((tmp_path / "p").rglob("*.parquet"))
     assert len(files) >= 6 and spark.read.parquet(str(tmp_path / "p")).count() == 80
+
+
+def test_parameters_and_single_arrays_come_back(spark, tmp_path):
+    values = {"weights": np.arange(6, dtype="<f4").reshape(2, 3), "base": np.float64(0.5), "names": ("a", "b"), "tree": {"cut": [1, 2], "empty": np.zeros((0, 2))}, "none": None}
+    P.write_parameters(str(tmp_path / "m.json"), **values)
+    got = P.read_parameters(str(tmp_path / "m.json"))
+    assert np.array_equal(got["weights"], values["weights"]) and got["weights"].dtype == np.float32
+    assert (got["base"], got["names"], got["tree"]["cut"], got["tree"]["empty"].shape, got["none"]) == (0.5, ["a", "b"], [1, 2], (0, 2), None)
+    P.write_arrays(spark.createDataFrame([(1.0,), (2.0,)], "x double"), str(tmp_path / "x.npy"), ["x"])
+    assert sorted(np.load(tmp_path / "x.npy").tolist()) == [1.0, 2.0]
