@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import shared_dir, stored
+from .common import beside, shared_dir, stored
 
 CRLF = "\r\n"
 
@@ -80,17 +80,19 @@ def write_archive(pages: DataFrame, revisit_from: int = 1000) -> Archive:
     revisit it; smaller ones are all responses. Rows that repeat the largest page_id with the same payload are all
     responses; a null page_id is the smallest. Columns besides the three are ignored, and an empty table gives empty
     archive tables. Only the digest and the largest page_id of each payload are gathered by payload, in partial
-    aggregates, so a payload that a third of the pages share makes no hot task.
+    aggregates; a payload's facts then go to each part of the pages that has it (pages that were read together), and
+    pages stay dealt over the parts, so a payload that a third of the pages share makes no hot task.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), payload.alias("payload"))
     rows = rows.select("*", F.unhex(F.sha2("payload", 256)).alias("digest"))
-    facts = stored(rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("length"), F.sha1("payload").alias("sha1")), "warc-facts")
+    facts = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("length"), F.sha1("payload").alias("sha1"), F.spark_partition_id().alias("part"))
+    facts = stored(facts, "warc-facts")
     best = facts.groupBy("digest").agg(F.max("page_id").alias("best"))
-    facts = facts.join(best, "digest")
+    facts = beside(facts, best, "digest")
     kind = F.when((F.col("length") >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("best")), "revisit").otherwise("response")
     head = record_header(kind, F.col("page_id"), F.col("url"), F.col("sha1"), F.col("length"), F.col("best"))
-    headers = stored(facts.select("page_id", kind.alias("kind"), head.alias("header"), "digest"), "warc-headers")
+    headers = stored(facts.select("page_id", kind.alias("kind"), head.alias("header"), "digest", "part"), "warc-headers")
     payloads = stored(rows.select("digest", squeezed("payload").alias("frame")).dropDuplicates(["digest"]), "warc-payloads")
     return Archive(headers, payloads)
 
@@ -108,7 +110,7 @@ def records(archive: Archive) -> DataFrame:
     """
     end = F.lit((CRLF * 2).encode())
     heads = archive.headers
-    full = heads.where("kind = 'response'").join(archive.payloads, "digest").select("page_id", "kind", "header", "digest", unsqueezed("frame").alias("payload"))
+    full = beside(heads.where("kind = 'response'"), archive.payloads, "digest").select("page_id", "kind", "header", "digest", unsqueezed("frame").alias("payload"))
     sound = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not match its digest")).cast("binary"))
     full = full.select("page_id", "kind", F.concat("header", sound, end).alias("record"))
     return full.unionByName(heads.where("kind = 'revisit'").select("page_id", "kind", F.concat("header", end).alias("record")))
@@ -133,13 +135,15 @@ def read_archive(archive: Archive) -> DataFrame:
         F.when(F.col("head").contains(f"{CRLF}WARC-Target-URI: "), F.when(F.col("head").contains(f"{CRLF}WARC-Target-URI-Encoding: percent{CRLF}"), F.url_decode(target)).otherwise(F.coalesce(target, F.lit("")))).alias("url"),
         F.sha1("body").alias("found"),
         F.octet_length("body").cast("long").alias("payload_bytes"),
+        F.spark_partition_id().alias("part"),
     )
     rows = stored(rows, "warc-read")
     sound = F.when(F.col("said") == F.col("found"), F.col("found")).otherwise(F.raise_error(F.lit("a record's digest does not match its payload")).cast("string"))
     responses = rows.where("record_type = 'response'").select("page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "url")
-    named = responses.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("said")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    named = responses.groupBy(F.struct(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest")).alias("named")).agg(F.max("payload_bytes").alias("payload_bytes"))
     revisits = rows.where("record_type = 'revisit'").drop("payload_bytes", "found").withColumn("refers_to", F.col("target").cast("long"))
-    resolved = revisits.join(named, ["refers_to", "said"], "left")
+    revisits = revisits.withColumn("named", F.struct(F.col("refers_to").alias("id"), F.col("said").alias("digest")))
+    resolved = beside(revisits, named, "named", how="left")
     return responses.unionByName(resolved.select("page_id", "payload_bytes", F.col("said").alias("payload_digest"), "record_type", "refers_to", "url"))
 
 
