@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .telephony import in_slices
+
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: The largest training sample: documents per language, and bytes of a document's excerpt. The excerpt starts anywhere.
 PER_LANGUAGE, EXCERPT = 400, 1024
@@ -35,12 +37,10 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All windows of the texts, the last of each padded with 256, and the text that each belongs to."""
     counts = np.array([max(1, -(-len(x) // WINDOW)) for x in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), counts)
-    sizes = np.array([len(x) for x in texts], np.int64)
-    starts = np.cumsum(counts) - counts
+    starts = (np.cumsum(counts) - counts) * WINDOW
     cells = np.full(int(counts.sum()) * WINDOW, 256, np.int16)
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum(sizes)
-    cells[np.arange(len(flat)) + np.repeat(starts * WINDOW - (ends - sizes), sizes)] = flat
+    for x, at in zip(texts, starts.tolist(), strict=True):
+        cells[at : at + len(x)] = np.frombuffer(x, np.uint8)
     return cells.reshape(-1, WINDOW), owner
 
 
@@ -143,7 +143,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet:
 def identify(docs: DataFrame, net: ByteNet) -> DataFrame:
     """`docs` with lang_pred and score (the mean probability of that language over the whole text's windows).
 
-    A null text and a text without letters are `und` with score 0. Other columns pass through, whatever their names,
+    A null text and a text without letters are `und` with score 0; of languages with equal scores the first by name
+    counts. Texts are worked on by bytes, so memory follows neither rows nor batches; a very long text is a slice by
+    itself, at two bytes a byte. Repeated rows have equal results. Other columns pass through, whatever their names,
     but for earlier lang_pred and score columns, which are replaced. Empty in, empty out.
     """
     keep = [x for x in docs.columns if x not in ("lang_pred", "score")]
@@ -153,8 +155,7 @@ def identify(docs: DataFrame, net: ByteNet) -> DataFrame:
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = known.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in in_slices([batch], at_text):
                 texts = part.column(at_text).to_pylist()
                 able = [i for i, x in enumerate(texts) if x and net.languages and LETTER.search(x)]
                 lang, score = ["und"] * len(texts), [0.0] * len(texts)

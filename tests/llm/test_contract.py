@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tallyspark.llm import passages, queries
+from tallyspark.llm import language, passages, queries
 from tallyspark.llm.queries import tokenizer_path
 
 COLUMNS = {
@@ -99,6 +99,32 @@ def test_held_out_languages(spark, sf_dir, found):
     assert sum(a == b for a, b in own) >= 0.9 * len(own) > 0
 
 
+def test_media_hold_the_texts(found):
+    texts, run = found
+    for r in run("op4_media")[1]:
+        raw = texts[r["doc_id"]].encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["media_bytes"] > len(payload) and r["feature"]
+
+
+def test_predictions_equal_plain_loops():
+    """Every window, place and filter by loops, on texts that end inside a window and one that fills several."""
+    net = language.train([b"the cat and the dog", b"le chat et le chien", b"der hund und die katze"] * 8, ["en", "fr", "de"] * 8)
+    texts = [b"a", b"the end of the matter " * 30, bytes(range(1, 256)), b"x" * language.WINDOW]
+    got = language.predict(net, texts, lanes=3)
+    for text, row in zip(texts, got, strict=True):
+        total, count = np.zeros(len(net.languages)), 0
+        for at in range(0, max(1, len(text)), language.WINDOW):
+            cells = [*text[at : at + language.WINDOW]]
+            cells += [256] * (language.WINDOW - len(cells))
+            pooled = [max(0.0, *(float(sum(table[k][cells[p + k]][f] for k in range(len(table)))) for p in range(language.WINDOW - len(table) + 1))) for table in net.tables for f in range(table[0].shape[1])]
+            score = np.array([*pooled, 1.0]) @ net.dense
+            total += np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+            count += 1
+        assert row == pytest.approx(total / count, abs=1e-4)
+
+
 def test_components_and_repeats(spark, sf_dir, found):
     from test_text_operators import brute_components, brute_repeats
 
