@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Rows of a block of candidates and of queries, and bits of the score that a round settles.
-CANDIDATES, QUERIES, BITS = 2048, 1024, 8
+CANDIDATES, QUERIES, BITS = 2048, 2048, 8
 
 
 def whole_vectors(df: DataFrame, key: str, vector: str, scale: int = 64) -> DataFrame:
@@ -33,11 +33,25 @@ def whole_vectors(df: DataFrame, key: str, vector: str, scale: int = 64) -> Data
     return rows.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
 
 
-def matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    """A list column as a matrix; shorter vectors are filled up with zeros."""
-    lists = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    sizes = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy()
+def packed(vectors: DataFrame, cell: str) -> DataFrame:
+    """(id, v binary): the components as numpy's `cell`, which holds each of them exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, sizes = batch.column(1).flatten().to_numpy(zero_copy_only=False), np.array([len(x) for x in batch.column(1)], np.int64)
+            data = flat.astype(cell).tobytes()
+            ends = np.cumsum(sizes) * np.dtype(cell).itemsize
+            cells = pa.array([data[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), cells], ["id", "v"])
+
+    return vectors.mapInArrow(run, "id long, v binary")
+
+
+def matrix(column: pa.ChunkedArray, cell: str, kind: type) -> np.ndarray:
+    """Packed vectors as a matrix; shorter ones are filled up with zeros."""
+    values = column.to_pylist()
+    sizes = np.array([len(x) for x in values]) // np.dtype(cell).itemsize
+    flat = np.frombuffer(b"".join(values), cell)
     wide = int(sizes.max(initial=1))
     if (sizes == wide).all():
         return flat.reshape(-1, wide).astype(kind)
@@ -46,9 +60,9 @@ def matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return out
 
 
-def scores(left: pa.Table, right: pa.Table, kind: type) -> np.ndarray:
+def scores(left: pa.Table, right: pa.Table, cell: str, kind: type) -> np.ndarray:
     """(queries, candidates) inner products as integers; a query's own id gets the lowest integer."""
-    q, c = matrix(right["v"], kind), matrix(left["v"], kind)
+    q, c = matrix(right["v"], cell, kind), matrix(left["v"], cell, kind)
     wide = min(q.shape[1], c.shape[1])
     out = (q[:, :wide] @ c[:, :wide].T).astype(np.int64)
     out[right["id"].to_numpy()[:, None] == left["id"].to_numpy()[None, :]] = np.iinfo(np.int64).min
@@ -64,10 +78,13 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int, scale:
     candidates, and an empty table, give no rows. Scores must stay within 63 bits, else it raises.
     """
     spark = df.sparkSession
-    rows = stored(whole_vectors(df, key, vector, scale), "vectors")
-    asked = stored(whole_vectors(df.where(is_query), key, vector, scale).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    whole = whole_vectors(df, key, vector, scale)
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, norm = rows.agg(F.count("*"), F.max(size)).first()
+    n, norm, largest = whole.agg(F.count("*"), F.max(size), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    # what is shuffled in every round is packed as narrow as the components are
+    cell = "<i2" if (largest or 0) < 1 << 15 else "<i4" if largest < 1 << 31 else "<f8"
+    rows = stored(packed(whole, cell), "vectors")
+    asked = stored(packed(whole_vectors(df.where(is_query), key, vector, scale).groupBy("id").agg(F.min("v").alias("v")), cell), "queries")
     m = asked.count()
     out_schema = "query_id long, rank int, id long, score long"
     if not n or not m:
@@ -96,7 +113,7 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int, scale:
         def histogram(c: pa.Table, q: pa.Table) -> pa.Table:
             if not c.num_rows or not q.num_rows:
                 return pa.table({"id": pa.array([], pa.int64()), "bin": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
-            s = scores(c, q, kind)
+            s = scores(c, q, cell, kind)
             bins = (s - q["low"].to_numpy()[:, None]) // width  # noqa: B023  the job runs before the next round
             row, _ = np.nonzero(inside := (bins >= 0) & (bins < 1 << BITS) & (s >= -bound))
             counts = np.bincount((row << BITS) + bins[inside], minlength=len(s) << BITS).reshape(len(s), -1)
@@ -116,7 +133,7 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int, scale:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         order = np.argsort(c["id"].to_numpy(), kind="stable")
         c = c.take(order)
-        s = scores(c, q, kind)
+        s = scores(c, q, cell, kind)
         low, need = q["low"].to_numpy()[:, None], k - q["above"].to_numpy()[:, None]
         level = s == low
         row, col = np.nonzero((s > low) | (level & (np.cumsum(level, axis=1) <= need)))
