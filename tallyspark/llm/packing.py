@@ -159,7 +159,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, hold: bool =
     """The ids of every text and an end id 0, in pieces of at most `capacity`: doc_id, piece, start, length, ids.
 
     ids: little-endian unsigned 32-bit integers. Only documents longer than `capacity` are cut; their first piece takes
-    the remainder. A null or empty text is the end id alone. Repeated rows give repeated pieces. With `hold`, a worker keeps
+    the remainder. A null or empty text is the end id alone; a very long one is tokenised whole, and its ids are held once. Repeated rows give repeated pieces. With `hold`, a worker keeps
     the words that it knows for its next task; without, it has the memory back for other stages.
     """
 

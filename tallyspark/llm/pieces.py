@@ -180,7 +180,8 @@ def encode_decode(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
     `path`: a merge-type SentencePiece model that every executor can open. No begin or end ids. A null text counts as
     empty; an empty text has no ids and decodes to an empty text. Repeated rows give repeated results, other columns of
-    `df` are ignored, and an empty table gives an empty one. A worker holds at most REMEMBERED stretches and pairs.
+    `df` are ignored, and an empty table gives an empty one. A very long text is encoded whole, in stretches between places
+    that no token crosses. A worker holds at most REMEMBERED stretches and pairs.
     """
     kind = df.schema[key].dataType
 

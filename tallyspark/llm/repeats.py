@@ -351,7 +351,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", te
     replaced); then n_bytes, n_removed, n_spans (maximal runs removed), kept_sha256. With `texts`, the text comes too,
     without the removed bytes (where a character was cut, its other bytes go as well). A null text is empty, and with
     `texts` stays null; a text of under SPAN bytes is kept; a null doc_id counts as larger than all others; rows that
-    share a doc_id don't count as earlier than one another. An empty table gives an empty one.
+    share a doc_id don't count as earlier than one another. A very long text is a batch of its own, held once with its
+    hashes. An empty table gives an empty one.
     """
     extra = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.drop(*[c for c in extra if c not in (key, text)])
