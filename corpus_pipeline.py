@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: language ID, near-dedup, repeated-string removal, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between
-stages the rows are written as Parquet and read again.
+stages the rows are written as Parquet and read again. Null, empty and very long texts, ties, repeated rows and empty
+tables are treated as the stages' operators state; extra columns of documents pass through to the last stage.
 """
 
 from __future__ import annotations
