@@ -35,7 +35,22 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("pts", F.when(F.col("made"), F.when(F.col("kind") == "shot", 2).otherwise(1)).otherwise(0)).withColumn("is_oreb", F.when(F.col("kind") == "reb", F.col("is_oreb")))
 
 
-@query("q5_possessions")
+@query(
+    "q5_possessions",
+    """WITH k AS (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events),
+    e AS (SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS game_id, event_id AS pos, CAST((day(ts) * 24 + hour(ts)) % 720 AS DOUBLE) AS t, CAST(k % 2 AS BIGINT) AS team, k % 10 AS pid,
+        CASE WHEN event_type IN ('view', 'click') THEN 'shot' WHEN event_type = 'purchase' THEN 'ft' WHEN event_type = 'signup' THEN 'reb' ELSE 'tov' END AS kind,
+        CASE event_type WHEN 'view' THEN true WHEN 'purchase' THEN k % 4 <> 0 ELSE false END AS made, CASE WHEN event_type = 'signup' THEN k % 3 = 0 END AS oreb FROM k),
+    a AS (SELECT *, coalesce(kind = 'shot' AND made AND lead(kind) OVER f = 'ft' AND lead(pid) OVER f = pid AND lead(t) OVER f = t, false) AS and1, CASE WHEN kind = 'reb' AND NOT oreb THEN NULL ELSE team END AS own FROM e WINDOW f AS (PARTITION BY game_id ORDER BY pos)),
+    b AS (SELECT *, CASE WHEN kind = 'shot' AND made AND NOT and1 THEN 'make' WHEN kind = 'ft' AND made THEN 'ft' WHEN kind = 'tov' THEN 'tov' WHEN kind = 'reb' AND NOT oreb THEN 'dreb' END AS fin,
+        coalesce(own, last_value(own IGNORE NULLS) OVER (PARTITION BY game_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS off FROM a),
+    c AS (SELECT *, lag(fin) OVER f IS NOT NULL AS ended, off <> lag(off) OVER f AS other FROM b WINDOW f AS (PARTITION BY game_id ORDER BY pos)),
+    d AS (SELECT *, sum(CAST(coalesce(ended OR other, true) AND NOT (ended AND kind = 'reb') AS INTEGER)) OVER (PARTITION BY game_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS i FROM c),
+    g AS (SELECT game_id, i, arg_min_null(off, pos) AS off_team, min(t) AS first_at, max(t) AS end_at, sum(CASE WHEN made THEN CASE kind WHEN 'shot' THEN 2 WHEN 'ft' THEN 1 ELSE 0 END ELSE 0 END) AS points,
+        1 + count(*) FILTER (WHERE kind = 'reb' AND oreb) AS n_chances, coalesce(arg_max_null(fin, pos), 'anomaly') AS end_type FROM d WHERE NOT (ended AND kind = 'reb') AND i >= 0 GROUP BY game_id, i)
+    SELECT game_id, CAST(i AS BIGINT) AS possession_idx, 1 AS period, off_team, end_at, CAST(points AS BIGINT) AS points, n_chances, end_type,
+        coalesce(lag(end_at) OVER w, first_at) AS start_at, coalesce(lag(end_type) OVER w, 'period_start') AS start_type FROM g WINDOW w AS (PARTITION BY game_id ORDER BY i)""",
+)
 def possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.possessions(feed(spark, sf_dir)).drop("events", "flags")
 
