@@ -138,10 +138,16 @@ class Beliefs:
         self.spread -= reach @ pull
 
 
+#: Teams that a group of games may have: the covariance of all pairs is held for each setting.
+MOST_TEAMS = 2000
+
+
 def in_order(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-    """A league's games in order, its teams, and each game's home and away team by number."""
+    """A league's games in order, its teams, and each game's home and away team by number. More than MOST_TEAMS raise."""
     rows = rows.sort_values(["game_date", "game_id"], kind="stable")
     teams, code = np.unique(np.concatenate([rows.home_id.to_numpy(), rows.away_id.to_numpy()]), return_inverse=True)
+    if len(teams) > MOST_TEAMS:
+        raise ValueError(f"a group of {len(teams)} teams: part the games by league")
     return rows, teams, code[: len(rows)], code[len(rows) :]
 
 

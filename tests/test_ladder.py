@@ -100,3 +100,14 @@ def test_each_feature_alone_equals_walk_forward(spark):
     for f in ("a", "b"):
         want = {(f, r["season"], r["k"]): r["prediction"] for r in L.walk_forward(df, "season", [f], "y", 2).collect()}
         assert {k: v for k, v in got.items() if k[0] == f} == pytest.approx(want)
+
+
+def test_a_group_of_too_many_teams_raises(monkeypatch):
+    import pandas as pd
+
+    from tallyspark.operators import statespace as S
+
+    monkeypatch.setattr(S, "MOST_TEAMS", 3)
+    games = pd.DataFrame({"game_date": [1, 2], "game_id": ["a", "b"], "home_id": [1, 3], "away_id": [2, 4]})
+    with pytest.raises(ValueError):
+        S.in_order(games)

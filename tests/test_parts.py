@@ -110,3 +110,13 @@ def test_parameters_and_single_arrays_come_back(spark, tmp_path):
     assert (got["base"], got["names"], got["tree"]["cut"], got["tree"]["empty"].shape, got["none"]) == (0.5, ["a", "b"], [1, 2], (0, 2), None)
     P.write_arrays(spark.createDataFrame([(1.0,), (2.0,)], "x double"), str(tmp_path / "x.npy"), ["x"])
     assert sorted(np.load(tmp_path / "x.npy").tolist()) == [1.0, 2.0]
+
+
+def test_scans_read_the_columns_that_are_asked_for_and_push_filters(spark, sf_dir, capsys):
+    from tallyspark import plans
+
+    plans.QUERIES["j1_p1_four_factors"](spark, sf_dir).where("team_id = 5").explain("formatted")
+    plan = capsys.readouterr().out
+    schemas = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
+    assert schemas and all("l_comment" not in x and "o_comment" not in x and "l_extendedprice" not in x for x in schemas)
+    assert any("l_suppkey" in x and "l_quantity" in x for x in schemas) and "PushedFilters: [IsNotNull" in plan
