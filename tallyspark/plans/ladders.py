@@ -15,6 +15,7 @@ from tallyspark.operators import normality as N
 from tallyspark.operators import pairing as P
 from tallyspark.operators import statespace as K
 from tallyspark.operators import trailing as T
+from tallyspark.operators.sparse import kept
 from tallyspark.plans.base import query, with_team
 from tallyspark.plans.factors import live, r, with_venue
 from tallyspark.plans.models import league_games
@@ -30,7 +31,10 @@ LEAST = {"least_train": 100, "least_test": 10}
 
 
 def game_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per game that counts: seeds, trailing factor differences, context, form of both sides, the market's line."""
+    """A row per game that counts: seeds, trailing factor differences, context, form of both sides, the market's line.
+
+    A ladder reads it several times, so it is cut off from the tables that it is made of.
+    """
     rows = T.causal_means(live(spark, sf_dir).where("not is_neutral"), ["season", "team_id"], ["game_date", "game_id"], [*FACTORS, *LEVELS, "margin"], 15, 2)
     way = T.travel(with_venue(spark, sf_dir), ["season", "team_id"], ["game_date", "game_id"]).select("game_id", "team_id", F.least(F.coalesce("rest_days", F.lit(7)), F.lit(7)).alias("rest"), F.col("is_b2b").alias("b2b"), "miles_7d")
     seeds = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("team_id"), (F.col("s_acctbal") / 1000).alias("seed"))
@@ -41,12 +45,12 @@ def game_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = lambda c: F.col(f"home_{c}") - F.col(f"away_{c}")
     margin, number = F.col("home_margin").cast("double"), F.col("game_id").cast("long")
     line = F.when(number % 10 != 3, F.round(0.5 * margin + number % 13 - 6))
-    return g.select(
+    return kept(g.select(
         "game_id", "season", "game_date", margin.alias("margin"), line.alias("line"), F.col("home_team_id").alias("home_id"), F.col("away_team_id").alias("away_id"), F.least("home_before", "away_before").alias("before"),
         gap("seed").alias("seed_diff"), gap("rest").cast("double").alias("rest_diff"), gap("b2b").cast("double").alias("b2b_diff"), (gap("miles_7d") / 1000).alias("miles_diff"),
         *[gap(f"{c}_exp").alias(f"d_{c}") for c in FACTORS], *[gap(f"{c}_roll").alias(f"roll_{c}") for c in FACTORS], *[F.col(f"{s}_{c}_exp").alias(f"{s}_{c}") for s in ("home", "away") for c in LEVELS],
         F.col("home_margin_roll").alias("form_home"), F.col("away_margin_roll").alias("form_away"), F.col("home_margin_var").alias("form_home_var"), F.col("away_margin_var").alias("form_away_var"), F.col("home_margin_exp").alias("base_home"), F.col("away_margin_exp").alias("base_away"),
-    )
+    ))
 
 
 @query("m3_ladder")
@@ -186,7 +190,18 @@ def design_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 HALF_LIVES = (2, 5, 10, 20)
 
 
-@query("m28_half_lives")
+@query(
+    "m28_half_lives",
+    with_team(""", held AS (SELECT *, coalesce(list(CAST(margin AS DOUBLE)) OVER (PARTITION BY season, team_id ORDER BY game_date, game_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), []) AS past FROM live WHERE NOT is_neutral),
+    formed AS (SELECT game_id, season, is_home, CAST(margin AS DOUBLE) AS margin, h, list_sum(list_transform(range(1, len(past) + 1), lambda i: past[len(past) + 1 - i] * power(0.5, (i - 1.0) / h))) / list_sum(list_transform(range(1, len(past) + 1), lambda i: power(0.5, (i - 1.0) / h))) AS form
+        FROM held, (VALUES (2), (5), (10), (20)) AS t(h) WHERE len(past) >= 2),
+    x AS (SELECT a.season, a.h, a.margin, a.form - b.form AS x FROM formed a JOIN formed b ON a.game_id = b.game_id AND a.h = b.h AND a.is_home AND NOT b.is_home),
+    numbered AS (SELECT season, row_number() OVER (ORDER BY season) AS k FROM (SELECT DISTINCT season FROM x)),
+    fits AS (SELECT n.season, p.h, regr_slope(p.margin, p.x) AS s, regr_intercept(p.margin, p.x) AS i FROM numbered n JOIN x p ON p.season < n.season WHERE k > 2 GROUP BY n.season, p.h HAVING count(*) >= 3),
+    judged AS (SELECT season, h, count(*) AS n, avg(abs(margin - i - s * x)) AS mae FROM x JOIN fits USING (season, h) GROUP BY season, h),
+    lagged AS (SELECT *, lag(mae) OVER (PARTITION BY h ORDER BY season) AS before FROM judged)
+    SELECT season, h AS half_life, n, round(before, 6) AS "inner", round(mae, 6) AS mae FROM lagged WHERE before IS NOT NULL QUALIFY row_number() OVER (PARTITION BY season ORDER BY before, h) = 1"""),
+)
 def half_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form that fades with a half-life of 2 to 20 games: for each season, the half-life that did best in the one before it,
     fitted on those before that, and its error in the season."""
@@ -201,7 +216,7 @@ def half_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = said.groupBy("season", "half_life").agg(F.count("*").alias("n"), F.avg("e").alias("mae"))
     before = F.lag("mae").over(W.partitionBy("half_life").orderBy("season"))
     best = F.row_number().over(W.partitionBy("season").orderBy("inner", "half_life"))
-    return said.withColumn("inner", before).where("inner is not null").withColumn("_b", best).where("_b = 1").select("season", "half_life", "n", "inner", "mae")
+    return said.withColumn("inner", before).where("inner is not null").withColumn("_b", best).where("_b = 1").select("season", "half_life", "n", r("inner"), r("mae"))
 
 
 @query("m29_filter_skill")
