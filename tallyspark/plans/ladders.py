@@ -166,13 +166,21 @@ def accounting_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "season string, factor string, weight double, se double, n long")
 
 
-@query("m16_pass_through")
+@query(
+    "m16_pass_through",
+    with_team(""", t AS (SELECT team_id, CAST(left(season, 4) AS INTEGER) AS y, avg(off_orb_pct) AS rate, CAST(count(*) AS DOUBLE) AS w FROM live GROUP BY team_id, season),
+    p AS (SELECT 'persistence' AS level, b.rate AS x, a.rate AS y, a.w FROM t a JOIN t b ON a.team_id = b.team_id AND b.y = a.y - 1 WHERE a.rate IS NOT NULL AND b.rate IS NOT NULL
+        UNION ALL SELECT 'game', oreb_d, CAST(margin AS DOUBLE), 1.0 FROM live WHERE is_home AND oreb_d IS NOT NULL),
+    s AS (SELECT level, count(*) AS n, sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy, sum(w * y * y) AS yy FROM p GROUP BY level),
+    b AS (SELECT *, (w * xy - x * y) / (w * xx - x * x) AS slope FROM s)
+    SELECT level, round(slope, 5) AS slope, round(sqrt(greatest(yy - (y - slope * x) / w * y - slope * xy, 0) / (n - 2) * w / (w * xx - x * x)), 5) AS se, n FROM b"""),
+)
 def pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far offensive rebounding persists: a team's season on its last (weighted by games), and a game's margin on it."""
     seasons = live(spark, sf_dir).groupBy("team_id", "season").agg(F.avg("off_orb_pct").alias("rate"), F.count("*").cast("double").alias("games")).withColumn("y", E.season_start("season"))
     last = seasons.select("team_id", (F.col("y") + 1).alias("y"), F.col("rate").alias("last"))
     fits = [("persistence", L.fit(seasons.join(last.hint("merge"), ["team_id", "y"]), ["last"], "rate", "games")), ("game", L.fit(live(spark, sf_dir).where("is_home"), ["oreb_d"], "margin"))]
-    return spark.createDataFrame([(name, float(f["beta"][1]), float(f["se"][1]), int(f["n"])) for name, f in fits], "level string, slope double, se double, n long")
+    return spark.createDataFrame([(name, round(float(f["beta"][1]), 5), round(float(f["se"][1]), 5), int(f["n"])) for name, f in fits], "level string, slope double, se double, n long")
 
 
 @query("m26_design_gaps")
@@ -255,10 +263,21 @@ def boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("g20_partial_correlations")
+def without(k: int, last: str, now: str) -> str:
+    """SQL that holds variable `k` of correlations `last` (season, i, j, r) fixed."""
+    return f"{now} AS (SELECT a.season, a.i, a.j, (a.r - p.r * q.r) / sqrt((1 - p.r * p.r) * (1 - q.r * q.r)) AS r FROM {last} a JOIN {last} p ON p.season = a.season AND p.i = a.i AND p.j = {k} JOIN {last} q ON q.season = a.season AND q.i = a.j AND q.j = {k} WHERE a.i < {k} AND a.j < {k})"
+
+
+@query(
+    "g20_partial_correlations",
+    with_team(f""", v AS (SELECT season, [CAST(margin AS DOUBLE), efg_d, tov_d, oreb_d, ftmfga_d] AS x FROM live WHERE efg_d IS NOT NULL AND tov_d IS NOT NULL AND oreb_d IS NOT NULL AND ftmfga_d IS NOT NULL),
+    c0 AS (SELECT season, i, j, corr(x[i], x[j]) AS r, count(*) AS n FROM v, range(1, 6) AS a(i), range(1, 6) AS b(j) GROUP BY season, i, j),
+    {without(5, "c0", "c1")}, {without(4, "c1", "c2")}, {without(3, "c2", "c3")}
+    SELECT c3.season, n, round(c3.r, 6) AS partial FROM c3 JOIN c0 ON c0.season = c3.season AND c0.i = 1 AND c0.j = 2 WHERE c3.i = 1 AND c3.j = 2"""),
+)
 def partial_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The margin and effective shooting with turnovers, rebounds and free throws held fixed, by season."""
-    return D.partial_correlations(live(spark, sf_dir), "margin", "efg_d", ["tov_d", "oreb_d", "ftmfga_d"], ["season"])
+    return D.partial_correlations(live(spark, sf_dir), "margin", "efg_d", ["tov_d", "oreb_d", "ftmfga_d"], ["season"]).select("season", "n", r("partial"))
 
 
 @query(
