@@ -193,6 +193,24 @@ def player_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ou_filter(B.player_log(spark, sf_dir), "person_id", "game_date", "score", "minutes", 0.02, 0.9e6, 3.5e7, 2000.0)
 
 
+@query(
+    "q9_player_days",
+    with_player(
+        """, d AS (SELECT person_id, game_date, coalesce(sum(minutes) FILTER (WHERE score IS NOT NULL AND minutes > 0), 0) / 3.5e7 AS w, coalesce(sum(score * minutes) FILTER (WHERE score IS NOT NULL AND minutes > 0), 0) / 3.5e7 AS y FROM log GROUP BY person_id, game_date),
+    o AS (SELECT *, row_number() OVER p AS n, exp(-0.02 * (game_date - lag(game_date) OVER p)) AS keep FROM d WINDOW p AS (PARTITION BY person_id ORDER BY game_date)),
+    f AS (SELECT person_id, game_date, n, 2000.0::DOUBLE AS pred, 0.9e6::DOUBLE AS pred_var, (2000.0 / 0.9e6 + y) / (1 / 0.9e6 + w) AS level, 1 / (1 / 0.9e6 + w) AS level_var FROM o WHERE n = 1
+        UNION ALL SELECT person_id, game_date, n, pred, pred_var, (pred / pred_var + y) / (1 / pred_var + w), 1 / (1 / pred_var + w)
+        FROM (SELECT o.person_id, o.game_date, o.n, o.w, o.y, 2000 + keep * (level - 2000) AS pred, keep * keep * level_var + 0.9e6 * (1 - keep * keep) AS pred_var FROM f JOIN o ON o.person_id = f.person_id AND o.n = f.n + 1))
+    SELECT person_id, game_date, round(pred, 4) AS pred, round(pred_var, 2) AS pred_var, round(level, 4) AS level, round(level_var, 2) AS level_var FROM f"""
+    ).replace("WITH", "WITH RECURSIVE", 1),
+)
+def player_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The player filter by day: what was foreseen before the day's first row, and the level after its last."""
+    rows = S.ou_filter(B.player_log(spark, sf_dir), "person_id", "game_date", "score", "minutes", 0.02, 0.9e6, 3.5e7, 2000.0)
+    days = rows.groupBy("person_id", "game_date").agg(F.max_by("pred", "pred_var").alias("pred"), F.max("pred_var").alias("pred_var"), F.min_by("level", "level_var").alias("level"), F.min("level_var").alias("level_var"))
+    return days.select("person_id", "game_date", r("pred", places=4), r("pred_var", places=2), r("level", places=4), r("level_var", places=2))
+
+
 #: Half-lives in days, stationary variances and noise constants of the player filter that are tried.
 OU_GRID = [(float(h), s, c) for h in (1, 3, 15, 60, 240) for s in (1e4, 1e5, 1e6, 1e7) for c in (3e7, 1e8, 3e8, 1e9)]
 
