@@ -226,11 +226,23 @@ def ou_settings(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(k, *s) for k, s in enumerate(OU_GRID)], "setting int, half_life double, sigma2 double, c double"))
 
 
-@query("m13_ou_profile")
+@query(
+    "m13_ou_profile",
+    with_player(
+        """, seen AS (SELECT person_id, game_date, CAST(score AS DOUBLE) AS y, CAST(minutes AS DOUBLE) AS m, game_id FROM log WHERE score IS NOT NULL AND minutes > 0), mean AS (SELECT sum(y * m) / sum(m) AS mu FROM seen),
+    o AS (SELECT *, row_number() OVER p AS n, game_date - lag(game_date) OVER p AS gap FROM seen WINDOW p AS (PARTITION BY person_id ORDER BY game_date, m, game_id)),
+    s AS (SELECT h, s2, c FROM (VALUES (1.0::DOUBLE), (3), (15), (60), (240)) AS a(h), (VALUES (1e4), (1e5), (1e6), (1e7)) AS b(s2), (VALUES (3e7), (1e8), (3e8), (1e9)) AS d(c)),
+    f AS (SELECT person_id, n, h, s2, c, mu, mu + s2 / (s2 + c / m) * (y - mu) AS level, s2 * (1 - s2 / (s2 + c / m)) AS v, 0.5 * (ln(2 * pi() * (s2 + c / m)) + (y - mu) * (y - mu) / (s2 + c / m)) AS term FROM o, s, mean WHERE n = 1
+        UNION ALL SELECT person_id, n, h, s2, c, mu, pred + pv / (pv + c / m) * (y - pred), pv * (1 - pv / (pv + c / m)), 0.5 * (ln(2 * pi() * (pv + c / m)) + (y - pred) * (y - pred) / (pv + c / m))
+        FROM (SELECT o.person_id, o.n, h, s2, c, mu, y, m, mu + exp(-ln(2) / h * gap) * (level - mu) AS pred, exp(-2 * ln(2) / h * gap) * v + s2 * (1 - exp(-2 * ln(2) / h * gap)) AS pv FROM f JOIN o ON o.person_id = f.person_id AND o.n = f.n + 1)),
+    total AS (SELECT h, s2, c, sum(term) AS nll, count(*) AS n FROM f GROUP BY h, s2, c)
+    SELECT h AS half_life, round(nll, 2) AS nll, s2 AS sigma2, c, n FROM total QUALIFY row_number() OVER (PARTITION BY h ORDER BY nll, s2, c) = 1"""
+    ).replace("WITH", "WITH RECURSIVE", 1),
+)
 def ou_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likelihood's profile over the half-life: for each, the best of the other two parameters."""
     total = ou_scores(spark, sf_dir).groupBy("setting").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n")).join(ou_settings(spark), "setting")
-    return total.groupBy("half_life").agg(F.min(F.struct("nll", "sigma2", "c", "n")).alias("b")).select("half_life", "b.*")
+    return total.groupBy("half_life").agg(F.min(F.struct("nll", "sigma2", "c", "n")).alias("b")).select("half_life", r("b.nll", "nll", 2), "b.sigma2", "b.c", "b.n")
 
 
 @query("m13_ou_walk_forward")
