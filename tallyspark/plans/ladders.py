@@ -16,7 +16,7 @@ from tallyspark.operators import pairing as P
 from tallyspark.operators import statespace as K
 from tallyspark.operators import trailing as T
 from tallyspark.operators.sparse import kept
-from tallyspark.plans.base import query, with_team
+from tallyspark.plans.base import ols_sql, query, with_team
 from tallyspark.plans.factors import live, r, with_venue
 from tallyspark.plans.models import league_games
 from tallyspark.sources import boxscores as B
@@ -138,7 +138,14 @@ def common_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 ERA = "CASE WHEN season < '1995_96' THEN 'early' ELSE 'late' END"
 
 
-@query("m31_standardised_by_era")
+@query(
+    "m31_standardised_by_era",
+    with_team(
+        f""", g AS (SELECT *, {ERA} AS era FROM live WHERE is_home),
+    src AS (SELECT era, [CAST(margin AS DOUBLE), 1.0, {', '.join(f'({c} - avg({c}) OVER w) / nullif(stddev_pop({c}) OVER w, 0)' for c in FACTORS)}] AS x FROM g WINDOW w AS (PARTITION BY era)),
+    whole AS (SELECT * FROM src WHERE len(list_filter(x, lambda v: v IS NULL)) = 0), {ols_sql("whole", "era", FACTORS)} SELECT era, factor, round(beta, 4) AS beta, round(se, 4) AS se, n FROM ols"""
+    ),
+)
 def standardised_by_era(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The margin on all four standardised factor differences, with standard errors, era by era."""
     rows = live(spark, sf_dir).where("is_home").withColumn("era", F.expr(ERA))
@@ -147,11 +154,18 @@ def standardised_by_era(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for block in L.gram(standard, FACTORS, "margin", by=["era"]).collect():
         fit = L.solve(block, len(FACTORS))
-        out += [(block["era"], name, float(b), float(s), fit["n"]) for name, b, s in zip(["intercept", *FACTORS], fit["beta"], fit["se"], strict=True)]
+        out += [(block["era"], name, round(float(b), 4), round(float(s), 4), fit["n"]) for name, b, s in zip(["intercept", *FACTORS], fit["beta"], fit["se"], strict=True)]
     return spark.createDataFrame(out, "era string, factor string, beta double, se double, n long")
 
 
-@query("m15_accounting_weights")
+@query(
+    "m15_accounting_weights",
+    with_team(
+        f""", g AS (SELECT season, [CAST(margin AS DOUBLE), 1.0, {', '.join(FACTORS)}] AS x FROM live WHERE is_home AND {' AND '.join(f'{c} IS NOT NULL' for c in FACTORS)}),
+    src AS (SELECT t.season, x FROM (SELECT DISTINCT season FROM g) t JOIN g p ON p.season < t.season), {ols_sql("src", "season", FACTORS)}
+    SELECT season, factor, round(beta, 3) AS weight, round(se, 3) AS se, n FROM ols WHERE n > 6"""
+    ),
+)
 def accounting_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points per unit of each factor difference, for every season from a regression on all seasons before it."""
     blocks = sorted(L.gram(live(spark, sf_dir).where("is_home"), FACTORS, "margin", by=["season"]).collect(), key=lambda b: b["season"])
@@ -160,7 +174,7 @@ def accounting_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     for block in blocks:
         if seen and seen["n"] > len(FACTORS) + 2:
             fit = L.solve(seen, len(FACTORS))
-            out += [(block["season"], name, float(b), float(s), int(seen["n"])) for name, b, s in zip(["intercept", *FACTORS], fit["beta"], fit["se"], strict=True)]
+            out += [(block["season"], name, round(float(b), 3), round(float(s), 3), int(seen["n"])) for name, b, s in zip(["intercept", *FACTORS], fit["beta"], fit["se"], strict=True)]
         values = {k: float(v or 0.0) for k, v in block.asDict().items() if k != "season"}
         seen = {k: seen.get(k, 0.0) + v for k, v in values.items()}
     return spark.createDataFrame(out, "season string, factor string, weight double, se double, n long")
