@@ -13,7 +13,7 @@ from tallyspark.operators import statespace as S
 from tallyspark.operators import text as X
 from tallyspark.operators import trailing as T
 from tallyspark.operators.likelihood import NAMES, OuModel
-from tallyspark.plans.base import query, with_player, with_team
+from tallyspark.plans.base import ols_sql, query, with_player, with_team
 from tallyspark.plans.factors import fact, live, r
 from tallyspark.sources import boxscores as B
 
@@ -133,17 +133,33 @@ def seed_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("season").agg(r(F.regr_slope("net", "wins"), "slope", 4), r(F.regr_intercept("net", "wins"), "intercept", 4), r(F.regr_r2("net", "wins"), "r2", 4))
 
 
-@query("m3_walk_forward")
-def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.causal_means(live(spark, sf_dir), ["season", "team_id"], ["game_date", "game_id"], ["efg_d", "tov_d", "oreb_d", "ftr_d"], least=1)
-    said = L.walk_forward(rows, "season", ["efg_d_exp", "tov_d_exp", "oreb_d_exp", "ftr_d_exp"], "margin", burn_in=3)
-    return L.metrics(said, "prediction", "margin", by=["season"])
-
-
 PHI = """phi AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS u FROM (SELECT *, p / 12.0 AS z FROM (SELECT season, CAST(margin AS DOUBLE) AS a, CAST(pts - 90 AS DOUBLE) AS p FROM live))),
 prob AS (SELECT *, least(greatest(CASE WHEN z >= 0 THEN 1 - tail ELSE tail END, 1e-6), 1 - 1e-6) AS w, CAST(a > 0 AS DOUBLE) AS y FROM (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * (u * (0.319381530 + u * (-0.356563782 + u * (1.781477937 + u * (-1.821255978 + u * 1.330274429))))) AS tail FROM phi))"""
 
 
+WALKED = ["efg_d", "tov_d", "oreb_d", "ftr_d"]
+
+
+@query(
+    "m3_walk_forward",
+    with_team(
+        f""", f AS (SELECT season, CAST(margin AS DOUBLE) AS margin, {', '.join(f'avg({c}) OVER w AS {c}' for c in WALKED)} FROM live WINDOW w AS (PARTITION BY season, team_id ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    whole AS (SELECT season, [margin, 1.0, {', '.join(WALKED)}] AS x FROM f WHERE {' AND '.join(f'{c} IS NOT NULL' for c in WALKED)}),
+    numbered AS (SELECT season, row_number() OVER (ORDER BY season) AS k FROM (SELECT DISTINCT season FROM whole)),
+    src AS (SELECT t.season, x FROM numbered t JOIN whole p ON p.season < t.season WHERE t.k > 3), {ols_sql("src", "season", WALKED)},
+    wide AS (SELECT season, {', '.join(f"max(beta) FILTER (WHERE factor = '{c}') AS b_{c}" for c in ['intercept', *WALKED])} FROM ols WHERE n >= 6 GROUP BY season),
+    said AS (SELECT season, margin AS a, b_intercept + {' + '.join(f'b_{c} * {c}' for c in WALKED)} AS p FROM f JOIN wide USING (season)),
+    {PHI.replace("SELECT season, CAST(margin AS DOUBLE) AS a, CAST(pts - 90 AS DOUBLE) AS p FROM live", "SELECT * FROM said WHERE p IS NOT NULL")}
+    SELECT season, count(*) AS n, round(avg(abs(p - a)), 5) AS mae, round(sqrt(avg((p - a) * (p - a))), 5) AS rmse, round(avg(CAST((p > 0) = (a > 0) AS INTEGER)), 5) AS accuracy, round(avg(-(y * ln(w) + (1 - y) * ln(1 - w))), 5) AS log_loss, round(avg((w - y) * (w - y)), 5) AS brier FROM prob GROUP BY season"""
+    ),
+)
+def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.causal_means(live(spark, sf_dir), ["season", "team_id"], ["game_date", "game_id"], WALKED, least=1)
+    said = L.walk_forward(rows, "season", [f"{c}_exp" for c in WALKED], "margin", burn_in=3)
+    return L.metrics(said, "prediction", "margin", by=["season"]).select("season", "n", *[r(c, places=5) for c in ("mae", "rmse", "accuracy", "log_loss", "brier")])
+
+
+
 @query(
     "g23_p22_metrics",
     with_team(f", {PHI} SELECT season, count(*) AS n, round(avg(abs(p - a)), 5) AS mae, round(sqrt(avg((p - a) * (p - a))), 5) AS rmse, round(avg(CAST((p > 0) = (a > 0) AS INTEGER)), 5) AS accuracy, round(avg(-(y * ln(w) + (1 - y) * ln(1 - w))), 5) AS log_loss, round(avg((w - y) * (w - y)), 5) AS brier FROM prob GROUP BY season"),
