@@ -82,18 +82,18 @@ def with_player(sql: str) -> str:
     return f"WITH {PLAYER} {sql}"
 
 
-def ols_sql(source: str, by: str, features: list[str]) -> str:
-    """SQL tables after which `ols` has `by`, factor, beta, se, n of least squares on `source` (`by`, x: target, 1, features).
+def ols_sql(source: str, by: str, features: list[str], tag: str = "") -> str:
+    """SQL tables after which `ols` (its name begins with `tag`) has `by`, factor, beta, se, n of least squares on `source` (`by`, x: target, 1, features).
 
     Sums of products in long form; sweeping all other columns out of them by self-joins leaves a coefficient and its
     precision, sweeping out all of them the squared errors.
     """
     last = len(features) + 2
-    tables = [f"z AS (SELECT {by}, i, j, sum(x[i] * x[j]) AS v, count(*) AS n FROM {source}, range(1, {last + 1}) AS a(i), range(1, {last + 1}) AS b(j) GROUP BY {by}, i, j)"]
+    tables = [f"{tag}z AS (SELECT {by}, i, j, sum(x[i] * x[j]) AS v, count(*) AS n FROM {source}, range(1, {last + 1}) AS a(i), range(1, {last + 1}) AS b(j) GROUP BY {by}, i, j)"]
 
     def swept(table: str, columns: list[int], name: str) -> str:
         for step, k in enumerate(columns):
-            now = f"{name}_{step}"
+            now = f"{tag}{name}_{step}"
             tables.append(
                 f"{now} AS (SELECT a.{by}, a.i, a.j, a.v - p.v * q.v / d.v AS v FROM {table} a JOIN {table} p ON p.{by} = a.{by} AND p.i = a.i AND p.j = {k} JOIN {table} q ON q.{by} = a.{by} AND q.i = a.j AND q.j = {k} "
                 f"JOIN {table} d ON d.{by} = a.{by} AND d.i = {k} AND d.j = {k} WHERE a.i <> {k} AND a.j <> {k})"
@@ -101,9 +101,9 @@ def ols_sql(source: str, by: str, features: list[str]) -> str:
             table = now
         return table
 
-    rest = swept("z", list(range(2, last + 1)), "rest")
+    rest = swept(f"{tag}z", list(range(2, last + 1)), "rest")
     parts = []
     for k, factor in enumerate(["intercept", *features], 2):
-        own = swept("z", [c for c in range(2, last + 1) if c != k], f"of_{k}")
-        parts.append(f"SELECT a.{by}, '{factor}' AS factor, a.v / b.v AS beta, sqrt(greatest(r.v, 0) / greatest(c.n - {last - 1}, 1) / b.v) AS se, c.n FROM {own} a JOIN {own} b ON b.{by} = a.{by} AND b.i = {k} AND b.j = {k} JOIN {rest} r ON r.{by} = a.{by} JOIN z c ON c.{by} = a.{by} AND c.i = 1 AND c.j = 1 WHERE a.i = 1 AND a.j = {k}")
-    return ", ".join([*tables, f"ols AS ({' UNION ALL '.join(parts)})"])
+        own = swept(f"{tag}z", [c for c in range(2, last + 1) if c != k], f"of_{k}")
+        parts.append(f"SELECT a.{by}, '{factor}' AS factor, a.v / b.v AS beta, sqrt(greatest(r.v, 0) / greatest(c.n - {last - 1}, 1) / b.v) AS se, c.n FROM {own} a JOIN {own} b ON b.{by} = a.{by} AND b.i = {k} AND b.j = {k} JOIN {rest} r ON r.{by} = a.{by} JOIN {tag}z c ON c.{by} = a.{by} AND c.i = 1 AND c.j = 1 WHERE a.i = 1 AND a.j = {k}")
+    return ", ".join([*tables, f"{tag}ols AS ({' UNION ALL '.join(parts)})"])
