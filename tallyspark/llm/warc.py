@@ -25,7 +25,8 @@ RESERVED = {":": "%3A", "/": "%2F", "?": "%3F", "#": "%23", "=": "%3D", "&": "%2
 
 @dataclass
 class Archive:
-    """headers: one row per record (header bytes, digest of its payload); payloads: one row per digest."""
+    """headers: one row per record (header bytes, digest of its payload, whether no other page has that, part); payloads: one
+    row per digest."""
 
     headers: DataFrame
     payloads: DataFrame
@@ -88,12 +89,13 @@ def write_archive(pages: DataFrame, revisit_from: int = 1000) -> Archive:
     rows = rows.select("*", F.unhex(F.sha2("payload", 256)).alias("digest"))
     facts = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("length"), F.sha1("payload").alias("sha1"), F.spark_partition_id().alias("part"))
     facts = stored(facts, "warc-facts")
-    best = facts.groupBy("digest").agg(F.max("page_id").alias("best"))
+    best = facts.groupBy("digest").agg(F.max("page_id").alias("best"), (F.count("*") == 1).alias("alone"))
     facts = beside(facts, best, "digest")
     kind = F.when((F.col("length") >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("best")), "revisit").otherwise("response")
     head = record_header(kind, F.col("page_id"), F.col("url"), F.col("sha1"), F.col("length"), F.col("best"))
-    headers = stored(facts.select("page_id", kind.alias("kind"), head.alias("header"), "digest", "part"), "warc-headers")
-    payloads = stored(rows.select("digest", squeezed("payload").alias("frame")).dropDuplicates(["digest"]), "warc-payloads")
+    headers = stored(facts.select("page_id", kind.alias("kind"), head.alias("header"), "digest", "alone", "part"), "warc-headers")
+    frames = rows.select("digest", squeezed("payload").alias("frame")).groupBy("digest").agg(F.first("frame").alias("frame"), (F.count("*") == 1).alias("alone"))
+    payloads = stored(frames, "warc-payloads")
     return Archive(headers, payloads)
 
 
@@ -110,7 +112,11 @@ def records(archive: Archive) -> DataFrame:
     """
     end = F.lit((CRLF * 2).encode())
     heads = archive.headers
-    full = beside(heads.where("kind = 'response'"), archive.payloads, "digest").select("page_id", "kind", "header", "digest", unsqueezed("frame").alias("payload"))
+    # payloads of one page meet it at once; only what several pages have goes to parts
+    full, columns = heads.where("kind = 'response'"), ["page_id", "kind", "header", "digest", "frame"]
+    single = full.where("alone").join(archive.payloads.where("alone").drop("alone"), "digest").select(columns)
+    full = single.unionByName(beside(full.where("not alone"), archive.payloads.where("not alone").drop("alone"), "digest").select(columns))
+    full = full.select("page_id", "kind", "header", "digest", unsqueezed("frame").alias("payload"))
     sound = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not match its digest")).cast("binary"))
     full = full.select("page_id", "kind", F.concat("header", sound, end).alias("record"))
     return full.unionByName(heads.where("kind = 'revisit'").select("page_id", "kind", F.concat("header", end).alias("record")))
