@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def released() -> None:
+    """In a task: give what this Python worker has freed back to the system, for the worker serves other stages as well."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library on Linux
+    if trim:
+        trim(0)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy", level: int | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again: a cut of lineage that outlives executors.
 
@@ -65,7 +75,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = links.select(F.col("hi").alias("x"), F.col("lo").alias("y")).unionByName(links.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo"))  # repeats go below
         floor = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(floor, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(floor.select("hi", F.col("m").alias("lo")))
         links = small.where("hi <> lo").distinct().checkpoint()

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
 from .telephony import in_slices
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
@@ -154,6 +155,7 @@ def identify(docs: DataFrame, net: ByteNet) -> DataFrame:
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = known.value
+        released()
         for batch in batches:
             for part in in_slices([batch], at_text):
                 texts = part.column(at_text).to_pylist()
@@ -164,6 +166,7 @@ def identify(docs: DataFrame, net: ByteNet) -> DataFrame:
                     for i, k, s in zip(able, p.argmax(axis=1), p.max(axis=1), strict=True):
                         lang[i], score[i] = net.languages[k], min(1.0, float(s))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score)], [*keep, "lang_pred", "score"])
+        released()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return docs.select(*keep).mapInArrow(judged, f"{schema}, lang_pred string, score double")

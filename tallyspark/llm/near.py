@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, components, stored
+from .common import beside, components, released, stored
 from .shingles import distinct, mix, shingles
 
 #: Bands, samples in a band, bits of a sketch. At a similarity of 0.85 the bands miss 1 link in 10 million, at 0.8 1 in 60,000.
@@ -92,6 +92,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        released()
         for batch in sliced(batches):
             ids = batch.column(0)
             texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
@@ -108,6 +109,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                             column[k] = x
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([part] * (b - a), pa.int32()), pa.array(n), pa.array(content, pa.binary()), pa.array(key, longs), pa.array(sketch, longs)], ["doc_id", "part", "n", "content", "bands", "sketch"])
+        released()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signed, "doc_id long, part int, n long, content binary, bands array<long>, sketch array<long>")
 
@@ -121,6 +123,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
             for a, b in parts(texts):
                 hashes, start = distinct(*shingles(texts[a:b], size))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(start.astype(np.int32), hashes.view(np.int64))], ["doc_id", "set"])
+        released()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, set array<long>")
 

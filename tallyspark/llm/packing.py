@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 from .sharding import with_slots
 from .shingles import mix
 
@@ -182,6 +182,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, hold: bool =
         finally:
             if not hold:
                 tok.known.clear()
+                released()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
