@@ -7,10 +7,9 @@ under most functions, and around it the same RUN tokens on one side at least, as
 in 45 tokens. So a window has two keys: its value with the tokens left of it, and with those right of it.
 
 Windows of a key are intervals of one class. Each is joined with the class's first holder, the document of smallest id:
-what a pair of documents has in common in this way is put together along the sequence and compared token by token. A
-text in which a window then stands in no passage is held against all members of the class, block by block inside tasks.
-So nothing is lost to the choice of a first holder, and a passage in very many documents costs each of them one
-comparison.
+what a pair of documents has in common in this way is put together along the sequence and compared token by token.
+Members of a class that these passages do not join are held against one another, block by block inside tasks. So nothing
+is lost to the choice of a first holder, and a passage in very many documents costs each of them one comparison.
 
 Text travels in compressed batches, and windows as packed arrays by bucket of their values. A batch sends each key once
 and is told the first holder; it finds the pairs of its own documents itself.
@@ -28,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 from .repeats import BATCH, batched, dealt, doc_ids, flat_text, opened
 from .shingles import mix, shingles
 
@@ -200,6 +199,8 @@ def window_keys(buckets: int, text: str, key: str, size: int, width: int):
                 w = Windows(body, text, key, size, width, buckets)
                 out = [(b, w.entries(part)) for b, part in dealt(w.bucket)]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([number] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "batch", "body"])
+            w = out = None
+            released()
 
     return made
 
@@ -310,7 +311,7 @@ def batch_pairs(buckets: int, text: str, key: str, size: int, width: int):
             more = there & (sides[s][5] > 0)
             k = known[more]
             print_ = (n.left if s == 0 else n.right)[k].astype(np.uint64)
-            put(kind=["class"] * len(k), doc=n.doc[k], batch=np.full(len(k), me), nth=n.nth[k], a=n.place[k], value=mix(n.value[k] + (print_ * np.uint64(2) + np.uint64(s) << np.uint64(20))).view(np.int64))
+            put(kind=["class"] * len(k), doc=n.doc[k], batch=np.full(len(k), me), nth=n.nth[k], a=n.place[k], other=sides[s][1][more], salt=(mine(s) & (n.place[known] == sides[s][3]))[more].astype(np.int32), value=mix(n.value[k] + (print_ * np.uint64(2) + np.uint64(s) << np.uint64(20))).view(np.int64))
 
         i = np.concatenate(ask)
         s = np.repeat([0, 1], [len(x) for x in ask])
@@ -344,6 +345,8 @@ def batch_pairs(buckets: int, text: str, key: str, size: int, width: int):
             k = k[order[start]]
             first = w.start[n.text[k]]
             put(kind=["held"] * len(k), doc=n.doc[k], batch=np.full(len(k), me), nth=n.nth[k], a=a, b=b, tokens=[w.tokens[p:q].tobytes() for p, q in zip(first + a, first + b, strict=True)], salt=most)
+        del w, n, columns, sides, told
+        released()
         return pa.table([pa.chunked_array(x, FOUND_SCHEMA.field(name).type) for name, x in rows.items()], schema=FOUND_SCHEMA)
 
     return made
@@ -365,6 +368,17 @@ def covered(hit: np.ndarray, lost: int) -> np.ndarray:
     return np.maximum.accumulate(sums[:0:-1])[::-1] >= np.minimum.accumulate(sums[:-1])
 
 
+def core(tokens: int, percent: int) -> int:
+    """Tokens from the first to the last common one of two passages of `tokens` at least: both may end in others."""
+    return -(-2 * percent * tokens // (100 + percent))
+
+
+def filled(first: int, last: int, tokens: int, size: int) -> tuple[int, int]:
+    """A stretch brought to `tokens` inside a text of `size`: as far as it goes to the right, then to the left."""
+    last = min(size, max(last, first + tokens))
+    return max(0, min(first, last - tokens)), last
+
+
 def alike(mine: np.ndarray, theirs: np.ndarray, tokens: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """(start, end, their start, their end, similarity) of passages of `tokens` tokens at least; ends are exclusive.
 
@@ -372,15 +386,60 @@ def alike(mine: np.ndarray, theirs: np.ndarray, tokens: int, percent: int) -> li
     shorter one's 2 p / (1 + p); the longest stretches of such shares along a diagonal are the candidates. Where one side
     gives none, the other is walked.
     """
+    found = in_step(mine, theirs, tokens, percent)
+    if found is not None:
+        return found
     found = walked(mine, theirs, tokens, percent)
     return found or [(x, y, a, b, j) for a, b, x, y, j in walked(theirs, mine, tokens, percent)]
 
 
+def in_step(mine: np.ndarray, theirs: np.ndarray, tokens: int, percent: int) -> list[tuple[int, int, int, int, float]] | None:
+    """The passages of `alike`, where no token repeats and common ones have one order on both sides; None elsewhere.
+
+    A stretch between two common tokens then has the share if its common tokens outweigh those of either side that are not.
+    """
+    common, run, place = np.intersect1d(mine, theirs, return_indices=True)
+    least, lost = core(tokens, percent), percent // max(1, 100 - percent)
+    if min(len(mine), len(theirs)) < tokens:
+        return []
+    if len(np.unique(mine)) < len(mine) or len(np.unique(theirs)) < len(theirs):
+        return None
+    if len(common) < least:
+        return []
+    order = np.argsort(run)
+    run, place = run[order], place[order]
+    if (np.diff(place) < 0).any():
+        return None
+    weight = (2 * lost + 1) * np.arange(len(run)) - lost * (run + place)
+    out: list[tuple[int, int, int, int, float]] = []
+    spans = [(0, len(run))]
+    while spans:
+        p, q = spans.pop()
+        if q - p < least:
+            continue
+        begin = np.searchsorted(-np.minimum.accumulate(weight[p:q]), -weight[p:q] - 1)
+        end = int((np.arange(q - p) - begin).argmax())
+        first, last = p + int(begin[end]), p + end
+        if last + 1 - first < least:
+            continue
+        a, b = filled(int(run[first]), int(run[last]) + 1, tokens, len(mine))
+        x, y = filled(int(place[first]), int(place[last]) + 1, tokens, len(theirs))
+        both = int(((run >= a) & (run < b) & (place >= x) & (place < y)).sum())
+        union = b - a + y - x - both
+        if 100 * both < percent * union:
+            return None
+        out.append((a, b, x, y, both / union))
+        spans += [(p, first), (last + 1, q)]
+    return out
+
+
 def walked(mine: np.ndarray, theirs: np.ndarray, tokens: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """The passages of `alike` that a walk along `mine` finds.
 
-    A walk is parted where no stretch has the share that a passage needs, whatever the length of the break.
+    A walk is parted where no stretch has the share that a passage needs, whatever the length of the break. What is
+    shorter than a passage from its first to its last common token is filled up with the tokens beside it.
     """
+    least = core(tokens, percent)
     out: list[tuple[int, int, int, int, float]] = []
     if min(len(mine), len(theirs)) < tokens:
         return out
@@ -389,7 +448,7 @@ def walked(mine: np.ndarray, theirs: np.ndarray, tokens: int, percent: int) -> l
     own = np.minimum(np.searchsorted(every, mine), len(every) - 1)
     hit = every[own] == mine
     first, last = longest(hit, shares[0])
-    if last - first < tokens:
+    if last - first < least:
         return out
     dense = covered(hit, shares[0])
     shared = np.flatnonzero(hit & dense)
@@ -401,15 +460,18 @@ def walked(mine: np.ndarray, theirs: np.ndarray, tokens: int, percent: int) -> l
         """The longest stretch of a run that is a passage: where it is in the run, and the passage."""
         flags = np.zeros(run[-1] + 1 - run[0], bool)
         flags[run - run[0]] = True
-        for lost in shares:
-            first, last = longest(flags, lost)
-            p, q = np.searchsorted(run, [run[0] + first, run[0] + last])
-            if p == q:
+        tried = [np.searchsorted(run, run[0] + np.array(longest(flags, lost))) for lost in shares]
+        both = (2 * shares[0] + 1) * np.arange(len(run)) - shares[0] * (run + place)  # misses of both sides together
+        begin = np.searchsorted(-np.minimum.accumulate(both), -both - 1)
+        end = int((np.arange(len(run)) - begin).argmax())
+        for p, q in [*tried, (int(begin[end]), end + 1)]:
+            if q - p < 2:
                 continue
             a, b = int(run[p]), int(run[q - 1]) + 1
             x, y = int(place[p:q].min()), int(place[p:q].max()) + 1
-            if min(b - a, y - x) < tokens:
+            if min(b - a, y - x) < least:
                 continue
+            (a, b), (x, y) = filled(a, b, tokens, len(mine)), filled(x, y, tokens, len(theirs))
             left, right = np.unique(mine[a:b]), np.unique(theirs[x:y])
             both = len(np.intersect1d(left, right, assume_unique=True))
             union = len(left) + len(right) - both
@@ -419,12 +481,12 @@ def walked(mine: np.ndarray, theirs: np.ndarray, tokens: int, percent: int) -> l
 
     while runs:
         run = runs.pop()
-        if not len(run) or run[-1] + 1 - run[0] < tokens:
+        if not len(run) or run[-1] + 1 - run[0] < least:
             continue
         flags = np.zeros(run[-1] + 1 - run[0], bool)
         flags[run - run[0]] = True
         first, last = longest(flags, shares[0])
-        if last - first < tokens:
+        if last - first < least:
             continue
         # of the places of a token, the nearest to the diagonal of those that stand once, or else of the first
         token = own[run]
@@ -493,52 +555,87 @@ def reaches(hit: np.ndarray, place: np.ndarray, width: int, lost: int) -> np.nda
     return (hit[:, : start.shape[1]] & (start <= place[:, None]) & (later >= sums[:, : start.shape[1]])).any(axis=1)
 
 
+def joined_roots(doc: np.ndarray, linked: np.ndarray, lab: np.ndarray) -> np.ndarray:
+    """A number for each member of a class, equal where passages found so far join them: a linked one has one with document lab."""
+    ids, own = np.unique(np.concatenate([doc[linked], lab[linked]]), return_inverse=True)
+    group = np.arange(len(ids))
+    mine, theirs = own[: len(own) // 2], own[len(own) // 2 :]
+    for x, y in {*zip(mine.tolist(), theirs.tolist(), strict=True)}:
+        if group[x] != group[y]:
+            group[group == group[x]] = group[y]
+    root = len(ids) + np.arange(len(doc))
+    root[linked] = group[mine]
+    return root
+
+
 def class_passages(width: int, percent: int):
-    """Members of classes (value, asks, doc, batch, nth, c, a, tokens) to a passage for each that asks, if a member has one.
+    """Members of classes (value, asks, linked, lab, own, i, j, doc, batch, nth, c, a, tokens) to passages that join them.
 
-    Only members are compared whose tokens around the place could be such passages by their shares (see alike).
+    Each that asks is held against every member that no passage joins with it yet. Only members are compared whose tokens
+    around the place could be such passages by their shares (see alike). Of two blocks, members of different ones meet.
     """
     some, most = percent // max(1, 100 - percent), 2 * percent // max(1, 100 - percent)
+    within = core(width, percent)
+    least = -(-some * within // (some + 1))  # hits of a stretch at least
 
     def made(table: pa.Table) -> pa.Table:
         out: list[tuple] = []
         table = table.combine_chunks()
-        value, asks, doc, batch, nth, c, a = (table[n].to_numpy() for n in ("value", "asks", "doc", "batch", "nth", "c", "a"))
+        value, asks, linked, lab, own, doc, batch, nth, c, a = (table[n].to_numpy() for n in ("value", "asks", "linked", "lab", "own", "doc", "batch", "nth", "c", "a"))
+        across = table.num_rows > 0 and table["i"][0].as_py() != table["j"][0].as_py()
         tokens = [np.frombuffer(x, np.uint32) for x in table["tokens"].to_pylist()]
         order = np.lexsort((c, nth, batch, doc, value))
+
+        def passage(i: int, j: int) -> list[tuple]:
+            return [(doc[i], batch[i], nth[i], a[i] + s, a[i] + e, doc[j], batch[j], nth[j], a[j] + t, a[j] + u, round(sim, 6)) for s, e, t, u, sim in alike(tokens[i], tokens[j], width, percent) if a[i] + s <= c[i] < a[i] + e or a[j] + t <= c[j] < a[j] + u]
+
         for rows in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
             mine = np.flatnonzero(asks[rows])
             if not len(mine) or (doc[rows] == doc[rows[0]]).all():
                 continue
+            root = joined_roots(doc[rows], linked[rows], lab[rows])
+            if (root == root[0]).all():
+                continue
             n = np.array([len(tokens[i]) for i in rows])
             row = np.repeat(np.arange(len(rows)), n)
             _, column, times = np.unique(np.concatenate([tokens[i] for i in rows]), return_inverse=True, return_counts=True)
             column = np.where(times[column] > 1, np.cumsum(times > 1)[column], 0)  # 0: stands nowhere else
-            held = np.zeros((len(rows), int((times > 1).sum()) + 1), bool)
-            held[row, column] = True
-            held[:, 0] = False
+            held = np.zeros((int((times > 1).sum()) + 1, len(rows)), bool)
+            held[column, row] = True
+            held[0] = False
             at = np.zeros((len(rows), max(int(n.max()), width)), np.int64)
             at[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = column
             place = c[rows] - a[rows]
+            other_asks = asks[rows]
             for k in mine.tolist():
                 i = rows[k]
-                other = np.flatnonzero(doc[rows] != doc[i])
-                forth = held[other[:, None], at[k][None, :]]
-                fits = reaches(forth, np.full(len(other), place[k]), width, some)
+                apart = (root != root[k]) & (doc[rows] != doc[i])
+                apart[:k] &= ~other_asks[:k]  # those have asked
+                if across:
+                    apart &= own[rows] != own[i]
+                hits = held[at[k]]
+                other = np.flatnonzero(apart & (hits.sum(axis=0, dtype=np.uint16) >= least))
+                if not len(other):
+                    continue
+                forth = hits[:, other].T
+                fits = reaches(forth, np.full(len(other), place[k]), within, some)
                 if not fits.any():
                     continue
                 other, forth = other[fits], forth[fits]
-                back = held[k][at[other]]
-                fits = reaches(back, place[other], width, some)
+                back = held[at[other], k]
+                fits = reaches(back, place[other], within, some)
                 if not fits.any():
                     continue
                 other, forth, back = other[fits], forth[fits], back[fits]
-                fits = reaches(forth, np.full(len(other), place[k]), width, most) | reaches(back, place[other], width, most)
-                for j in rows[other[fits]].tolist():
-                    found = [p for p in alike(tokens[i], tokens[j], width, percent) if a[i] + p[0] <= c[i] < a[i] + p[1]]
-                    if found:
-                        out += [(doc[i], batch[i], nth[i], a[i] + s, a[i] + e, doc[j], batch[j], nth[j], a[j] + t, a[j] + u, round(sim, 6)) for s, e, t, u, sim in found]
-                        break
+                fits = reaches(forth, np.full(len(other), place[k]), within, most) | reaches(back, place[other], within, most)
+                for j in other[fits].tolist():
+                    if root[j] != root[k]:
+                        found = passage(i, rows[j])
+                        if found:
+                            out += found
+                            root[root == root[j]] = root[k]
+        if table.num_rows > BLOCK:
+            released()
         return passage_table(out)
 
     return made
@@ -560,6 +657,8 @@ def tokens_around(text: str, key: str, size: int, width: int):
             low, high = np.maximum(first, first + c - 2 * width), np.minimum(last, first + c + 2 * width + 1)
             columns = [doc, nth, c, low - first]
             tokens = [t.tokens[a:b].tobytes() for a, b in zip(low, high, strict=True)]
+            del t
+            released()
         kinds = {"doc": pa.int64(), "nth": pa.int32(), "c": pa.int64(), "a": pa.int64()}
         out = {name: pa.array(x, kind) for (name, kind), x in zip(kinds.items(), columns, strict=True)} | {"tokens": pa.array(tokens, pa.binary())}
         out["batch"] = pa.array([me] * len(tokens), pa.int64())
@@ -572,8 +671,9 @@ def near_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     """Passages of `words` words or more that also stand, alike, in a document with a smaller id.
 
     doc_id, start_word, n_words, other_id, other_start, other_words, similarity (of the sets of `size`-word shingles, as
-    32-bit hashes; `percent` / 100 or more). The other document is the first holder of a window there, or, where that has
-    no such passage, another one that has; so alike documents stand in one class, without all pairs being listed. A text
+    32-bit hashes; `percent` / 100 or more). The other document is the first holder of a window there, or, where that is
+    not alike, each that no passage there joins with it yet; so alike documents stand in one class, without all pairs
+    being listed. A text
     that an earlier document has too, byte by byte (told by a digest), gives one row over all its words. Texts that are
     null or shorter than a passage, and rows without an id, take no part. Rows that repeat an id with different texts are
     parts of one document, not compared with one another; start_word counts within the row's text. Other columns are
@@ -595,17 +695,21 @@ def near_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     beside = pairs.hint("merge").join(held, meets).select("doc", "batch", "nth", "a", "tokens", "other", "other_batch", "other_nth", F.greatest("x", "h_a").alias("x"), "y", "h_a", "theirs", "salt")
     passages = stored(beside.mapInArrow(compared(width, percent), PASSAGE), "passages")
 
-    # windows in no passage, with all members of their classes
-    sides = [passages.select(*(F.col(k).alias(v) for k, v in zip(names, ("p_doc", "p_batch", "p_nth", "p_a", "p_b"), strict=True))) for names in (("doc", "batch", "nth", "a", "b"), ("other", "other_batch", "other_nth", "x", "y"))]
-    covered = sides[0].unionByName(sides[1]).distinct()
-    classes = found.where("kind = 'class'").select("value", "doc", "batch", "nth", F.col("a").alias("c"))
+    # a window's passages with other documents: its first holder counts, or else the smallest; where one holds, a stretch
+    # of every START tokens stands for all that start there, as they overlap
+    start = max(1, width // 2)
+    here = passages.select(F.col("doc").alias("p_doc"), F.col("batch").alias("p_batch"), F.col("nth").alias("p_nth"), F.col("a").alias("p_a"), F.col("b").alias("p_b"), F.col("other").alias("p_lab"))
+    there = passages.groupBy(F.col("other").alias("p_doc"), F.col("other_batch").alias("p_batch"), F.col("other_nth").alias("p_nth"), F.floor(F.col("x") / start).alias("at")).agg(F.min("x").alias("p_a"), F.max("y").alias("p_b")).drop("at").withColumn("p_lab", F.col("p_doc"))
+    classes = found.where("kind = 'class'").select("value", "doc", "batch", "nth", F.col("a").alias("c"), F.col("other").alias("first"), (F.col("salt") == 1).alias("is_first"))
     within = (F.col("doc") == F.col("p_doc")) & (F.col("batch") == F.col("p_batch")) & (F.col("nth") == F.col("p_nth")) & (F.col("c") >= F.col("p_a")) & (F.col("c") < F.col("p_b"))
-    asking = stored(classes.join(covered.hint("merge"), within, "left_anti"), "asking")
-    if not asking.isEmpty():
-        open_ = asking.groupBy("value").agg(F.count("*").alias("asked"))
-        sizes = classes.join(open_.hint("merge"), "value", "left_semi").groupBy("value").agg(F.count("*").alias("n"), F.min("doc").alias("one"), F.max("doc").alias("last")).where("one < last").select("value", "n")
-        marked = classes.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True))).groupBy("value", "doc", "batch", "nth", "c").agg(F.max("asks").alias("asks"))
-        members = stored(marked.join(sizes.hint("merge"), "value"), "members")
+    lab = F.when(F.max(F.col("is_first") | F.coalesce(F.col("p_lab") == F.col("first"), F.lit(False))), F.min("first")).otherwise(F.min("p_lab"))
+    labelled = stored(classes.join(here.unionByName(there).hint("merge"), within, "left").groupBy("doc", "batch", "nth", "c", "value").agg(lab.alias("lab")), "labelled")
+    # classes that passages do not join into one; the most frequent group of such a class is asked, and the others ask
+    parts = labelled.groupBy("value", "lab").agg(F.count("*").alias("n"), F.min("doc").alias("one"), F.max("doc").alias("last"))
+    whole_class = parts.groupBy("value").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.max("last").alias("last"), F.count("*").alias("parts"), F.max("lab").isNull().alias("none"), F.max(F.when(F.col("lab").isNotNull(), F.struct("n", "lab")))["lab"].alias("top"))
+    open_ = whole_class.where("one < last and (parts > 1 or none)").select("value", "n", "top")
+    members = stored(labelled.join(open_.hint("merge"), "value").select("value", "doc", "batch", "nth", "c", "n", (F.col("lab").isNull() | (F.col("lab") != F.col("top"))).alias("asks"), F.col("lab").isNotNull().alias("linked"), F.coalesce("lab", F.lit(0).cast("long")).alias("lab")), "members")
+    if not members.isEmpty():
         places = members.select("batch", "doc", "nth", "c").distinct()
         around = stored(batches.groupBy("batch").cogroup(places.groupBy("batch")).applyInArrow(tokens_around("text", "doc", size, width), "doc long, batch long, nth int, c long, a long, tokens binary"), "around")
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -614,7 +718,7 @@ def near_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", word
         dealt_ = dealt_.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
         # classes of one block go many to a task, those of more have tasks of their own
         dealt_ = dealt_.withColumn("group", F.when(blocks > 1, F.col("value")).otherwise(F.pmod("value", F.lit(16 * buckets)))).withColumn("large", blocks > 1)
-        dealt_ = dealt_.select("group", "i", "j", "large", "value", "asks", "doc", "batch", "nth", "c").join(around, ["doc", "batch", "nth", "c"])
+        dealt_ = dealt_.select("group", "i", "j", "large", "value", "asks", "linked", "lab", "own", "doc", "batch", "nth", "c").join(around, ["doc", "batch", "nth", "c"])
         rest = dealt_.groupBy("group", "i", "j", "large").applyInArrow(class_passages(width, percent), PASSAGE)
         passages = passages.unionByName(stored(rest, "rest"))
 

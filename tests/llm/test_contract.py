@@ -227,6 +227,57 @@ def test_variants_of_one_passage_are_joined(spark):
     assert Counter(top(i) for i in range(1, 60)).most_common(1)[0][1] >= 0.95 * 59
 
 
+def test_chains_of_variants_stay_joined(spark):
+    """Each of a chain differs from the one before by a word, and is alike with no other; the ids say nothing of the order."""
+    rng = np.random.default_rng(5)
+    rows, links = [], []
+    for c in range(40):
+        chain = [prose(rng, 50)]
+        for at in rng.permutation(np.arange(5, 45, 6))[:5]:
+            chain.append([*chain[-1][:at], f"e{rng.integers(1 << 40)}", *chain[-1][at + 1 :]])
+        ids = (100 * c + rng.permutation(6)).tolist()
+        rows += [(i, " ".join(prose(rng, 60) + x + prose(rng, 60))) for i, x in zip(ids, chain, strict=True)]
+        links += [(i, j) for i, j, x, y in zip(ids, ids[1:], chain, chain[1:]) if alike(x, y) >= 0.8]
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batch=4000).collect():
+        assert r["doc_id"] // 100 == r["other_id"] // 100
+        root[top(r["doc_id"])] = top(r["other_id"])
+    assert len(links) == 200 and all(top(i) == top(j) for i, j in links)
+
+
+def test_passages_against_every_stretch():
+    """Edits anywhere, those at the ends too: a pair is found if and only if some two stretches of 46 tokens or more are alike."""
+    rng = np.random.default_rng(1)
+    shingled = lambda w: np.array([hash(tuple(w[k : k + 5])) & 0xFFFFFFFF for k in range(len(w) - 4)], np.uint32)
+    pairs = 0
+    for _ in range(400):
+        length = int(rng.choice([50, 55, 60, 80, 120, 200]))
+        one = rng.integers(0, 1 << 40, length).tolist()
+        two = list(one)
+        for _ in range(int(rng.integers(1, 1 + max(2, length // 25)))):
+            at, many = int(rng.integers(len(two))), int(rng.integers(1, 1 + max(1, length // 15)))
+            two[at : at + (0, 1, many)[many % 3]] = rng.integers(0, 1 << 40, (many, 1, 0)[many % 3]).tolist()
+        x, y = (shingled([*rng.integers(0, 1 << 40, 60).tolist(), *w, *rng.integers(0, 1 << 40, 60).tolist()]) for w in (one, two))
+        _, run, place = np.intersect1d(x, y, return_indices=True)
+        run, place = np.sort(run), np.sort(place)
+        both = np.arange(len(run))[None, :] - np.arange(len(run))[:, None] + 1
+        wide, far = (np.maximum(46, v[None, :] - v[:, None] + 1) for v in (run, place))
+        real = bool((5 * both >= 4 * (wide + far - both)).any())
+        got = passages.alike(x, y, 46, 80)
+        assert bool(got) == real == bool(passages.alike(y, x, 46, 80))
+        for a, b, c, d, share in got:
+            left, right = set(x[a:b].tolist()), set(y[c:d].tolist())
+            assert min(b - a, d - c) >= 46 and share == len(left & right) / len(left | right) >= 0.8
+        pairs += real
+    assert pairs > 200
+
+
 def test_an_id_with_several_texts_and_copies(spark):
     rng = np.random.default_rng(23)
     passage, whole = prose(rng, 80), prose(rng, 300)
