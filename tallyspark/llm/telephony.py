@@ -99,6 +99,33 @@ def resampled(pcm: np.ndarray, rate: int, out: int) -> np.ndarray:
     return made
 
 
+def between(even: np.ndarray) -> np.ndarray:
+    """What linear interpolation puts after each sample: the mean with the next; the last is held."""
+    return (even.astype(np.int32) + np.append(even[1:], even[-1:]) >> 1).astype(np.int16)
+
+
+def folded(pcm: np.ndarray, rate: int) -> bytes:
+    """PCM as it is stored. Above RATE: the number of samples, every other one, then how far those between are from the
+    means of their neighbours, without zeros at the end."""
+    if rate <= RATE:
+        return pcm.astype("<i2").tobytes()
+    off = pcm[1::2] - between(pcm[::2])
+    used = int(np.flatnonzero(off).max(initial=-1)) + 1
+    return struct.pack("<I", len(pcm)) + pcm[::2].astype("<i2").tobytes() + off[:used].astype("<i2").tobytes()
+
+
+def unfolded(body: bytes, rate: int) -> np.ndarray:
+    """The PCM of stored bytes."""
+    if rate <= RATE:
+        return np.frombuffer(body, "<i2")
+    pcm = np.empty(struct.unpack_from("<I", body)[0], np.int16)
+    raw = np.frombuffer(body, "<i2", offset=4)
+    pcm[::2] = raw[: len(pcm) // 2]
+    pcm[1::2] = between(pcm[::2])
+    pcm[1::2][: len(raw) - len(pcm) // 2] += raw[len(pcm) // 2 :]
+    return pcm
+
+
 def wav(payload: bytes, codec: str, rate: int = RATE) -> bytes:
     """A WAV file around mono codes of `codec`."""
     align, bits = (FRAME, 4) if codec == "adpcm" else (1, 8)
@@ -173,8 +200,8 @@ def decoded(codec: str, codes: list[bytes]) -> list[np.ndarray]:
 def store_media(df: DataFrame, key: str, payload: str, codec: str = "mulaw", rate: int = 2 * RATE, name: str = "media") -> DataFrame:
     """Store each binary `payload` as a WAV file of `codec`, with its PCM at `rate`, in a Parquet table; give it back.
 
-    key, n_bytes (before padding), media, pcm (little-endian 16-bit samples). A null payload is stored as an
-    empty one; both become one frame of spaces. The table lies in the shared folder, under `name`.
+    key, n_bytes (before padding), media, pcm (little-endian 16-bit samples, see folded). A null payload is stored as
+    an empty one; both become one frame of spaces. The table lies in the shared folder, under `name`.
     """
     kind = df.schema[key].dataType
 
@@ -183,7 +210,7 @@ def store_media(df: DataFrame, key: str, payload: str, codec: str = "mulaw", rat
             raw = [x or b"" for x in batch.column(1).to_pylist()]
             codes = [padded(x) for x in raw]
             media = pa.array([wav(x, codec) for x in codes], pa.binary())
-            pcm = pa.array([resampled(x, RATE, rate).astype("<i2").tobytes() for x in decoded(codec, codes)], pa.binary())
+            pcm = pa.array([folded(resampled(x, RATE, rate), rate) for x in decoded(codec, codes)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), media, pcm], ["key", "n_bytes", "media", "pcm"])
 
     made = df.select(F.col(key).alias("key"), F.col(payload).alias("payload")).mapInArrow(put, f"key {kind.simpleString()}, n_bytes long, media binary, pcm binary")
@@ -208,10 +235,10 @@ def read_media(df: DataFrame, media: str = "media", pcm: str = "pcm", rate: int
             for (codec, codes), file, sound, own in zip(opened, files, sounds, speech, strict=True):
                 signals = {"mulaw": None, "alaw": None, "adpcm": own}
                 signals.update({c: expand(c, codes) for c in ("mulaw", "alaw")})
-                loud = np.frombuffer(sound, "<i2")
+                loud = unfolded(sound, rate)
                 if not np.array_equal(loud, resampled(signals[codec], RATE, rate)):
                     raise ValueError("stored samples do not belong to the stored codes")
-                text = f"{codec} {summary(loud)} {zlib.crc32(sound)}" + "".join(f" {c} {summary(s)}" for c, s in signals.items() if c != codec)
+                text = f"{codec} {summary(loud)} {zlib.crc32(loud.astype("<i2").tobytes())}" + "".join(f" {c} {summary(s)}" for c, s in signals.items() if c != codec)
                 rows.append((len(codes), hashlib.sha256(codes).hexdigest(), zlib.crc32(codes[-16:]), len(file), hashlib.sha256(file).hexdigest(), text))
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -223,7 +250,7 @@ def read_media(df: DataFrame, media: str = "media", pcm: str = "pcm", rate: int
     return df.select(*keep, media, pcm).mapInArrow(get, out)
 
 
-def text_media(docs: DataFrame, codec: str = "mulaw", rate: int = RATE) -> DataFrame:
+def text_media(docs: DataFrame, codec: str = "mulaw", rate: int = 2 * RATE) -> DataFrame:
     """Every text of `docs` as UTF-8 in a telephony file with PCM at `rate`, and what is read back from both.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. A null or empty

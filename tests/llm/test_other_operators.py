@@ -109,6 +109,17 @@ def test_features_are_those_of_the_stored_samples(spark, monkeypatch):
             assert r["feature"] == f"mulaw {summary(pcm)} {crc} alaw {summary([plain_alaw(c) for c in raw])} adpcm {summary(adpcm)}"
 
 
+def test_the_query_resamples_what_it_stores(spark):
+    """By default the stored samples are at twice the source's rate, and the features are those of that signal."""
+    docs = spark.createDataFrame([(1, "Ärger, ça va? 你好 " * 40), (2, None)], "doc_id long, text string")
+    got, same, twice = ({r["doc_id"]: r["feature"] for r in x.collect()} for x in (telephony.text_media(docs), telephony.text_media(docs, rate=8000), telephony.text_media(docs, rate=16000)))
+    assert got == twice and all(got[k] != same[k] for k in got)
+    pcm = np.random.default_rng(3).integers(-32768, 32768, 1000).astype(np.int16)
+    for x in (pcm, pcm[:2], telephony.resampled(pcm, 8000, 16000)):
+        assert telephony.unfolded(telephony.folded(x, 16000), 16000).tolist() == x.tolist()
+    assert len(telephony.folded(telephony.resampled(pcm, 8000, 16000), 16000)) == 2004
+
+
 @pytest.mark.parametrize("codec", ["mulaw", "alaw", "adpcm"])
 def test_media_round_trip(docs, no_docs, codec):
     want = Counter()
