@@ -54,16 +54,18 @@ def compact_windows(tokens: np.ndarray, start: np.ndarray, width: int, function:
     low = np.uint64((1 << bits) - 1)
     text = np.repeat(np.arange(len(start) - 1), np.diff(start))
     first, last = start[:-1][text], start[1:][text]
-    if len(hashed) < width:
+    longest_text = int(np.diff(start).max(initial=0))
+    if longest_text < width:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     tables = [(hashed & ~low) | place]  # tables[j][i]: the least of the 2**j from place i
-    while 1 << len(tables) <= len(hashed):
+    while 1 << len(tables) <= longest_text:
         step = 1 << len(tables) - 1
         tables.append(np.minimum(tables[-1][:-step], tables[-1][step:]))
     top = width.bit_length() - 1
     best = np.minimum(tables[top][: len(hashed) - width + 1], tables[top][width - (1 << top) :][: len(hashed) - width + 1])
     whole = last[: len(best)] >= np.arange(len(best)) + width
-    centre = np.unique((best[whole] & low).astype(np.int64))
+    centre = (best[whole] & low).astype(np.int64)  # never falls from a stretch to the next
+    centre = centre[np.diff(centre, prepend=-1) != 0]
     value = tables[0][centre]
     left, right = centre.copy(), centre + 1
     for j in range(len(tables) - 1, -1, -1):
