@@ -37,6 +37,8 @@ WORDS, SIZE, FUNCTIONS, RUN = 50, 5, 5, 10
 DRIFT = 64
 #: Windows of a class that are compared inside one task; batches of a class that share one copy of a first holder.
 BLOCK, SHARE = 512, 8
+#: Runs of one token in a stretch, up to which all of its parts are looked at before it is walked.
+RUNS = 256
 _TURNS = np.random.default_rng(303).integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: In an entry's place: two documents of the batch have the window, and there are several windows of it.
 TWO, SEVERAL = np.uint32(1 << 31), np.uint32(1 << 30)
@@ -391,21 +393,51 @@ def alike(mine: np.ndarray, theirs: np.ndarray, tokens: int, percent: int) -> li
     found = in_step(mine, theirs, tokens, percent)
     if found is not None:
         return found
+    if not (may_hold(mine, theirs, tokens, percent) and may_hold(theirs, mine, tokens, percent)):
+        return []
     found = walked(mine, theirs, tokens, percent)
     return found or [(x, y, a, b, j) for a, b, x, y, j in walked(theirs, mine, tokens, percent)]
 
 
+def may_hold(mine: np.ndarray, theirs: np.ndarray, tokens: int, percent: int) -> bool:
+    """Whether different tokens of some stretch of `mine` have the share in common with `theirs`, which any passage needs.
+
+    A run of one token counts once, however long it is. True as well where there are too many runs to tell in short time.
+    """
+    new = np.ones(len(mine), bool)
+    new[1:] = mine[1:] != mine[:-1]
+    begin = np.flatnonzero(new)
+    n = len(begin)
+    if n > RUNS:
+        return True
+    if min(len(mine), len(theirs)) < tokens:
+        return False
+    token, end, at = mine[begin], np.append(begin[1:], len(mine)), np.arange(n)
+    order = np.argsort(token, kind="stable")
+    again = np.flatnonzero(token[order[1:]] == token[order[:-1]])
+    before = np.full(n, -1)
+    before[order[again + 1]] = order[again]
+    every = np.sort(theirs)
+    hit = every[np.minimum(np.searchsorted(every, token), len(every) - 1)] == token
+    weight = np.where(hit, 1, -(percent // max(1, 100 - percent))).astype(np.int32)
+    first = at[:, None]
+    sums = np.cumsum(np.where((before < first) & (at >= first), weight, 0), axis=1, dtype=np.int32)
+    return bool(((sums >= 0) & (end - begin[:, None] >= tokens)).any())
+
+
 def in_step(mine: np.ndarray, theirs: np.ndarray, tokens: int, percent: int) -> list[tuple[int, int, int, int, float]] | None:
     """The passages of `alike`, where no token repeats and common ones have one order on both sides; None elsewhere.
 
     A stretch between two common tokens then has the share if its common tokens outweigh those of either side that are not.
     """
-    common, run, place = np.intersect1d(mine, theirs, return_indices=True)
     least, lost = core(tokens, percent), percent // max(1, 100 - percent)
     if min(len(mine), len(theirs)) < tokens:
         return []
-    if len(np.unique(mine)) < len(mine) or len(np.unique(theirs)) < len(theirs):
-        return None
+    for side in (mine, theirs):
+        every = np.sort(side)
+        if (every[1:] == every[:-1]).any():
+            return None
+    common, run, place = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
     if len(common) < least:
         return []
     order = np.argsort(run)
@@ -553,7 +585,7 @@ def reaches(hit: np.ndarray, place: np.ndarray, width: int, lost: int) -> np.nda
     ends = np.where(hit, sums[:, 1:], -(1 << 30))
     best = np.maximum.accumulate(ends[:, ::-1], axis=1)[:, ::-1]  # of all ends from a column on
     start = np.arange(hit.shape[1] - width + 1)[None, :]
-    later = np.take_along_axis(best, np.maximum(place[:, None], start + width - 1), axis=1)
+    later = best[np.arange(len(best))[:, None], np.maximum(place[:, None], start + width - 1)]
     return (hit[:, : start.shape[1]] & (start <= place[:, None]) & (later >= sums[:, : start.shape[1]])).any(axis=1)
 
 
