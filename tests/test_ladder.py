@@ -73,6 +73,22 @@ def test_partial_correlation_is_that_of_residuals(spark):
     assert one["partial"] == pytest.approx(np.corrcoef(x, y)[0, 1])
 
 
+def test_partial_correlation_of_as_few_rows_as_columns(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in range(12):
+        half = np.round(rng.normal(size=(4, 5)) * 10, 1)  # with their opposites, as the two sides of four games
+        x, y, *controls = half.T
+        rest = [v - np.c_[*controls] @ np.linalg.lstsq(np.c_[*controls], v, rcond=None)[0] for v in (x, y)]
+        want[f"g{k:02}"] = np.sign(rest[0] @ rest[1])
+        rows += [(f"g{k:02}", *map(float, r)) for r in [*half, *-half]]
+    df = spark.createDataFrame(rows, "g string, x double, y double, c double, d double, e double")
+    got = {r["g"]: r["partial"] for r in D.partial_correlations(df, "x", "y", ["c", "d", "e"], ["g"]).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    explained = D.partial_correlations(df.withColumn("x", F.col("c") + F.col("d")), "x", "y", ["c", "d"], ["g"])
+    assert {r["partial"] for r in explained.collect()} == {None}
+
+
 def test_a_system_is_solved_alike_on_the_driver_and_by_steps(spark):
     from tallyspark.operators.forecast import market_ratings
     from tallyspark.operators.sparse import solved
