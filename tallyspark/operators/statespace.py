@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 BUCKET_ROWS = 100_000
 
 
-def in_buckets(df: DataFrame, entity: str) -> DataFrame:
-    """`df` with `_bucket`: entities dealt by hash, into as many buckets as the rows need."""
-    buckets = max(8, df.count() // BUCKET_ROWS)
-    return df.withColumn("_bucket", F.pmod(F.xxhash64(entity), F.lit(buckets)))
+def bucket_count(df: DataFrame) -> int:
+    """As many buckets as the rows need."""
+    return max(8, df.count() // BUCKET_ROWS)
+
+
+def in_buckets(df: DataFrame, entity: str, buckets: int | None = None) -> DataFrame:
+    """`df` with `_bucket`: entities dealt by hash, into as many buckets as the rows need or as are asked for."""
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(entity), F.lit(buckets or bucket_count(df))))
 
 
 class Histories:
@@ -32,16 +36,21 @@ class Histories:
 
     def __init__(self, rows: pd.DataFrame, entity: str, date: str, value: str, minutes: str):
         self.rows = rows.sort_values([entity, date, minutes], kind="stable").reset_index(drop=True)
-        days = pd.to_datetime(self.rows[date]).to_numpy().astype("datetime64[D]").astype(np.int64)
+        self.days = days = pd.to_datetime(self.rows[date]).to_numpy().astype("datetime64[D]").astype(np.int64)
         code = pd.factorize(self.rows[entity])[0]
         new = np.flatnonzero(np.diff(code, prepend=-1))
         self.step = np.arange(len(code)) - np.repeat(new, np.diff(np.append(new, len(code))))
         self.gap = np.where(self.step > 0, np.diff(days, prepend=days[:1]), 0).astype(float)
-        self.value, self.minutes = self.rows[value].to_numpy(float), self.rows[minutes].to_numpy(float)
-        self.seen = ~np.isnan(self.value) & (self.minutes > 0)
+        self.minutes = self.rows[minutes].to_numpy(float)
+        self.show(value)
         by_step = np.argsort(self.step, kind="stable")
         self.steps = np.split(by_step, np.cumsum(np.bincount(self.step))[:-1]) if len(code) else []
 
+    def show(self, value: str) -> None:
+        """From now on the column `value` is what is seen."""
+        self.value = self.rows[value].to_numpy(float)
+        self.seen = ~np.isnan(self.value) & (self.minutes > 0)
+
     def filtered(self, lam: np.ndarray, sigma2: np.ndarray, c: np.ndarray, mu: float) -> np.ndarray:
         """(settings, rows, 4): level and variance before each row and after it, for each setting."""
         lam, sigma2, c = (np.asarray(x, float)[:, None] for x in (lam, sigma2, c))
@@ -85,24 +94,115 @@ def ou_likelihood(df: DataFrame, entity: str, date: str, value: str, minutes: st
     A row's term looks at earlier rows only, so the terms of the periods up to any fold add up to the likelihood that a
     fit on those would have. Settings are filtered side by side; what leaves a task is one row per setting and period.
     """
-    lam, sigma2, c = (np.array(x) for x in zip(*settings, strict=True))
+    return scored(dealt(df, entity, date, [value], minutes, period), [settings], [mu]).select("setting", F.col("period").alias(period), "nll", "n")
+
+
+def dealt(df: DataFrame, entity: str, date: str, values: list[str], minutes: str, period: str) -> DataFrame:
+    """The rows of `df` that show something of `values`, packed for `scored`: a row for each bucket and set of values that are seen together.
+
+    parts: the numbers of these values. periods: all of the bucket, those without a value too. sizes: how many entities
+    have a row in each step. gap (days since the row before), inverse (of the minutes), code (which of `periods`) and
+    shown (a line for each part): the rows step by step, where entities of more rows come first. A row that shows nothing
+    lets time pass only, which the next row's gap does as well, so it is left out. weighted and weight (sums of the values
+    by minutes, and of minutes), mean and square (sum of squares around it), one for each part. Buckets are spread evenly.
+    """
+    kind = df.schema[period].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h = Histories(rows.drop(columns="_bucket"), entity, date, value, minutes)
-        seen, parts = np.flatnonzero(h.seen), []
-        names, code = np.unique(h.rows[period].to_numpy()[seen], return_inverse=True)
-        for at in range(0, len(settings), 16):  # a few settings at a time hold memory down
-            own = slice(at, at + 16)
-            out = h.filtered(lam[own], sigma2[own], c[own], mu)[:, seen]
-            var = out[..., 1] + c[own, None] / h.minutes[seen]
-            term = 0.5 * (np.log(2 * math.pi * var) + (h.value[seen] - out[..., 0]) ** 2 / var)
-            for k, line in enumerate(term, at):
-                parts.append(pd.DataFrame({"setting": k, period: names, "nll": np.bincount(code, line, len(names)), "n": np.bincount(code, minlength=len(names))}))
-        return pd.concat(parts) if parts else pd.DataFrame({"setting": [], period: [], "nll": [], "n": []})
-
-    typed = df.selectExpr(entity, f"cast({date} as date) {date}", f"cast({value} as double) {value}", f"cast({minutes} as double) {minutes}", period)
-    sums = in_buckets(typed, entity).groupBy("_bucket").applyInPandas(run, f"setting int, {period} {df.schema[period].dataType.simpleString()}, nll double, n long")
-    return sums.groupBy("setting", period).agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"))
+        h = Histories(rows.drop(columns="_bucket"), entity, date, values[0], minutes)
+        code, names = pd.factorize(h.rows[period], use_na_sentinel=False)
+        names = [None if pd.isna(x) else x for x in names.tolist()]
+        own = pd.factorize(h.rows[entity])[0]
+        days = h.days
+        shown, masks = [], {}
+        for k, value in enumerate(values):
+            h.show(value)
+            shown.append(h.value)
+            masks.setdefault(h.seen.tobytes(), (h.seen, []))[1].append(k)
+        out = []
+        for seen, parts in masks.values():
+            at = np.flatnonzero(seen)
+            first = np.flatnonzero(np.diff(own[at], prepend=-2))
+            length = np.diff(np.append(first, len(at)))
+            step = np.arange(len(at)) - np.repeat(first, length)
+            gap = np.where(step > 0, np.diff(days[at], prepend=days[at][:1]), 0)
+            place = np.lexsort((np.repeat(np.argsort(np.argsort(-length, kind="stable")), length), step))
+            rows_at = at[place]
+            y, m = np.array([shown[k][rows_at] for k in parts]), h.minutes[rows_at]
+            mean = y.mean(1) if len(at) else np.zeros(len(parts))
+            out.append(
+                (parts, names, np.bincount(step).astype("i4").tobytes(), gap[place].astype("i4").tobytes(), (1 / m).tobytes(), code[rows_at].astype("i4").tobytes(), y.tobytes(), len(at), (y @ m).tolist(), float(m.sum()), mean.tolist(), ((y - mean[:, None]) ** 2).sum(1).tolist())
+            )
+        return pd.DataFrame(out, columns=["parts", "periods", "sizes", "gap", "inverse", "code", "shown", "n", "weighted", "weight", "mean", "square"])
+
+    typed = df.selectExpr(entity, f"cast({date} as date) {date}", f"cast({minutes} as double) {minutes}", period, *(f"cast({v} as double) {v}" for v in values))
+    buckets = bucket_count(typed)
+    schema = f"parts array<int>, periods array<{kind}>, sizes binary, gap binary, inverse binary, code binary, shown binary, n long, weighted array<double>, weight double, mean array<double>, square array<double>"
+    return in_buckets(typed, entity, buckets).groupBy("_bucket").applyInPandas(run, schema).repartition(buckets)
+
+
+#: Values that a step of `terms` works on at once, about: a few arrays of them fit in a CPU's cache.
+STEP_VALUES = 16_000
+
+
+def terms(sizes: np.ndarray, gap: np.ndarray, inverse: np.ndarray, shown: np.ndarray, lam: np.ndarray, sigma2: np.ndarray, c: np.ndarray, mu: float) -> np.ndarray:
+    """(settings, rows): each row's negative log-likelihood; the rows as `dealt` has them."""
+    gaps, at = np.unique(gap, return_inverse=True)
+    keeps = np.exp(-lam[:, None] * gaps)
+    off, noise, sigma2, out = shown - mu, c[:, None], sigma2[:, None], np.empty((len(lam), len(shown)))
+    most = int(sizes[0]) if len(sizes) else 0
+    level, var, keep, total, gain = np.zeros((len(lam), most)), np.empty((len(lam), most)), *(np.empty((len(lam), most)) for _ in range(3))
+    var[:] = sigma2
+    begin = 0
+    for step, m in enumerate(sizes.tolist()):
+        own = slice(begin, begin + m)
+        begin += m
+        d, v, k, t, g, o = level[:, :m], var[:, :m], keep[:, :m], total[:, :m], gain[:, :m], out[:, own]
+        if step:  # level and variance before the row: d is the level less mu
+            k[:] = keeps.take(at[own], axis=1)
+            d *= k
+            k *= k
+            v *= k
+            k *= sigma2
+            np.subtract(sigma2, k, out=k)
+            v += k
+        np.multiply(noise, inverse[own], out=k)
+        np.add(v, k, out=t)
+        np.divide(v, t, out=g)
+        np.subtract(off[own], d, out=o)
+        np.multiply(g, k, out=v)  # (1 - g) * v
+        g *= o
+        d += g
+        o *= o
+        o /= t
+        np.log(t, out=t)
+        o += t
+    out += math.log(2 * math.pi)
+    out *= 0.5
+    return out
+
+
+def scored(packed: DataFrame, settings: list[list[tuple[float, float, float]]], mu: list[float]) -> DataFrame:
+    """part, setting, period, nll (a sum), n: how well each part's `settings` foresee its values around its `mu`.
+
+    packed: of `dealt`. A task takes one bucket after the other, and a few settings at a time hold its memory down.
+    """
+    kind = packed.schema["periods"].dataType.elementType.simpleString()
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for b in (b for frame in frames for b in frame.itertuples()):
+            sizes, gap, inverse, code, shown = (np.frombuffer(x, t) for x, t in ((b.sizes, "i4"), (b.gap, "i4"), (b.inverse, "f8"), (b.code, "i4"), (b.shown, "f8")))
+            count = np.bincount(code, minlength=len(b.periods))
+            here = np.flatnonzero(count)
+            for part, values in zip(b.parts, shown.reshape(len(b.parts), -1), strict=True):
+                asked = np.array(settings[part], float).reshape(-1, 3)
+                many = max(1, min(16, STEP_VALUES // max(sizes.max(initial=1), 1)))
+                for k in range(0, len(asked), many):
+                    sums = [np.bincount(code, line, len(count))[here] for line in terms(sizes, gap, inverse, values, *asked[k : k + many].T, mu[part])]
+                    yield pd.DataFrame({"part": part, "setting": np.repeat(np.arange(k, k + len(sums)), len(here)), "period": np.tile(np.asarray(b.periods)[here], len(sums)), "nll": np.concatenate(sums), "n": np.tile(count[here], len(sums))})
+
+    sums = packed.mapInPandas(run, f"part int, setting int, period {kind}, nll double, n long")
+    return sums.groupBy("part", "setting", "period").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"))
 
 
 def chosen_before(scores: DataFrame, period: str, loss: Column | str = "nll", burn_in: int = 1) -> DataFrame:

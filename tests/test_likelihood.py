@@ -5,8 +5,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from tallyspark.operators.likelihood import OuModel, Problem, component_filters, minimised
-from tallyspark.operators.statespace import ou_filter
+from tallyspark.operators.likelihood import OuModel, Problem, component_filters, fitted, minimised
+from tallyspark.operators.statespace import Histories, dealt, ou_filter, ou_likelihood, scored
 from tallyspark.plans.models import OU_GRID
 
 PLANTED = 0.03, 40.0, 150.0
@@ -66,6 +66,62 @@ def test_the_search_on_a_known_surface():
     assert free.at == pytest.approx([1, -2, 0.5], abs=0.06) and fixed.at == pytest.approx([3, -2.3, 0.5], abs=0.02)
 
 
+def test_a_search_ends_at_a_bound_and_where_nothing_is_gained(spark):
+    passes = []
+
+    def scores(asked):
+        passes.append(len(asked))
+        return np.array([(x[0] - 20) ** 2 + (x[1] + 2) ** 2 + (x[2] - 0.5) ** 2 for x, _ in asked])
+
+    low, high = np.full(3, -9.0), np.full(3, 9.0)
+    (bound,) = minimised([Problem(np.zeros(3))], scores, low, high)
+    assert bound.done and len(passes) < 30 and bound.at == pytest.approx([9, -2, 0.5], abs=0.01) and bound.value == pytest.approx(121, abs=1e-3)
+    (there,) = minimised([Problem(np.array([8.0, -2.0, 0.5]))], lambda asked: np.array([((x - [8, -2, 0.5]) ** 2).sum() for x, _ in asked]), low, high)
+    assert there.done and there.value == 0
+    assert spark.createDataFrame([(there.value,)], "nll double").first()[0] == 0  # a plain number, which Spark takes
+
+
+def test_dealt_rows_give_the_filters_likelihood(spark):
+    """Several values with gaps of their own, dealt once; rows that show nothing; several rows of a day; a period without a value."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for p in range(60):
+        for g in range(1 + p % 23):
+            a, b = (float(rng.normal(3, 2)) if rng.random() < keep else None for keep in (0.7, 0.9))
+            day = dt.date(2024, 1, 1) + dt.timedelta(days=int(g * 1.4))
+            rows.append((p, day, None if day.day == 9 else a, b, [20.0, 7.5, 0.0, None][int(rng.integers(0, 4)) if g % 5 == 0 else 0], f"p{day.day // 9}"))
+    rows.append((7, dt.date(2024, 3, 1), None, None, 5.0, "void"))
+    df = spark.createDataFrame(rows, "person long, d date, a double, b double, m double, period string").repartition(3)
+    settings = [(0.05, 2.0, 30.0), (2.0, 0.5, 9.0), (1e-3, 9.0, 1.0)]
+    packed = dealt(df, "person", "d", ["a", "b"], "m", "period")
+    got = {(r["part"], r["setting"], r["period"]): (r["nll"], r["n"]) for r in scored(packed, [settings, settings[:1]], [3.0, 2.5]).collect()}
+    h = Histories(df.toPandas(), "person", "d", "a", "m")
+    for part, (value, mu) in enumerate((("a", 3.0), ("b", 2.5))):
+        h.show(value)
+        for k, (lam, sigma2, c) in enumerate(settings[: 3 - 2 * part]):
+            level, var = h.filtered([lam], [sigma2], [c], mu)[0, h.seen, :2].T
+            total = var + c / h.minutes[h.seen]
+            term = 0.5 * (np.log(2 * np.pi * total) + (h.value[h.seen] - level) ** 2 / total)
+            names = h.rows.period.to_numpy()[h.seen]
+            for name in set(names):
+                assert got.pop((part, k, name)) == (pytest.approx(term[names == name].sum()), (names == name).sum())
+    assert not got
+    assert {x for r in packed.select("periods").collect() for x in r[0]} == {"p0", "p1", "p2", "p3", "void"}
+    alone = {(r["setting"], r["period"]): r["nll"] for r in ou_likelihood(df, "person", "d", "b", "m", "period", settings, 2.5).collect()}
+    both = {(r["setting"], r["period"]): r["nll"] for r in scored(packed, [[], settings], [0.0, 2.5]).collect()}
+    assert alone == pytest.approx(both)
+
+
+def test_models_that_share_their_rows_are_fitted_like_single_ones(log):
+    wide = log.selectExpr("person_id", "game_date", "minutes", "period", "score", "case when person_id % 3 > 0 then 5 - 2 * score end as other")
+    models = OuModel.each(wide, "person_id", "game_date", ["score", "other"], "minutes", "period")
+    for value, shared, found in zip(("score", "other"), models, fitted(models), strict=True):
+        single = OuModel(wide, "person_id", "game_date", value, "minutes", "period")
+        best = single.fit([single.start])
+        assert (shared.mu, *shared.start) == pytest.approx((single.mu, *single.start))
+        assert found.value == pytest.approx(best.value) and found.at == pytest.approx(best.at, abs=1e-3)
+
+
 def test_components_are_added_up_with_what_they_share(spark):
     rng = np.random.default_rng(3)
     rows = []
