@@ -101,8 +101,9 @@ def dealt(df: DataFrame, entity: str, date: str, values: list[str], minutes: str
     """The rows of `df` that show something of `values`, packed for `scored`: a row for each bucket and set of values that are seen together.
 
     parts: the numbers of these values. periods: all of the bucket, those without a value too. sizes: how many entities
-    have a row in each step. gap (days since the row before), inverse (of the minutes), code (which of `periods`) and
-    shown (a line for each part): the rows step by step, where entities of more rows come first. A row that shows nothing
+    have a row in each step. gaps: the different numbers of days between rows. gap (which of them lies before the row),
+    inverse (of the minutes), code (which of `periods`) and shown (a line for each part): the rows step by step, where
+    entities of more rows come first. A row that shows nothing
     lets time pass only, which the next row's gap does as well, so it is left out. weighted and weight (sums of the values
     by minutes, and of minutes), mean and square (sum of squares around it), one for each part. Buckets are spread evenly.
     """
@@ -129,37 +130,38 @@ def dealt(df: DataFrame, entity: str, date: str, values: list[str], minutes: str
             place = np.lexsort((np.repeat(np.argsort(np.argsort(-length, kind="stable")), length), step))
             rows_at = at[place]
             y, m = np.array([shown[k][rows_at] for k in parts]), h.minutes[rows_at]
+            gaps, gap = np.unique(gap[place], return_inverse=True)
             mean = y.mean(1) if len(at) else np.zeros(len(parts))
             out.append(
-                (parts, names, np.bincount(step).astype("i4").tobytes(), gap[place].astype("i4").tobytes(), (1 / m).tobytes(), code[rows_at].astype("i4").tobytes(), y.tobytes(), len(at), (y @ m).tolist(), float(m.sum()), mean.tolist(), ((y - mean[:, None]) ** 2).sum(1).tolist())
+                (parts, names, np.bincount(step).astype("i4").tobytes(), gaps.astype("f8").tobytes(), gap.astype("i4").tobytes(), (1 / m).tobytes(), code[rows_at].astype("i4").tobytes(), y.tobytes(), len(at), (y @ m).tolist(), float(m.sum()), mean.tolist(), ((y - mean[:, None]) ** 2).sum(1).tolist())
             )
-        return pd.DataFrame(out, columns=["parts", "periods", "sizes", "gap", "inverse", "code", "shown", "n", "weighted", "weight", "mean", "square"])
+        return pd.DataFrame(out, columns=["parts", "periods", "sizes", "gaps", "gap", "inverse", "code", "shown", "n", "weighted", "weight", "mean", "square"])
 
     typed = df.selectExpr(entity, f"cast({date} as date) {date}", f"cast({minutes} as double) {minutes}", period, *(f"cast({v} as double) {v}" for v in values))
     buckets = bucket_count(typed)
-    schema = f"parts array<int>, periods array<{kind}>, sizes binary, gap binary, inverse binary, code binary, shown binary, n long, weighted array<double>, weight double, mean array<double>, square array<double>"
+    schema = f"parts array<int>, periods array<{kind}>, sizes binary, gaps binary, gap binary, inverse binary, code binary, shown binary, n long, weighted array<double>, weight double, mean array<double>, square array<double>"
     return in_buckets(typed, entity, buckets).groupBy("_bucket").applyInPandas(run, schema).repartition(buckets)
 
 
 #: Values that a step of `terms` works on at once, about: a few arrays of them fit in a CPU's cache.
-STEP_VALUES = 16_000
+STEP_VALUES = 32_000
 
 
-def terms(sizes: np.ndarray, gap: np.ndarray, inverse: np.ndarray, shown: np.ndarray, lam: np.ndarray, sigma2: np.ndarray, c: np.ndarray, mu: float) -> np.ndarray:
+def terms(sizes: np.ndarray, gaps: np.ndarray, gap: np.ndarray, inverse: np.ndarray, shown: np.ndarray, lam: np.ndarray, sigma2: np.ndarray, c: np.ndarray, mu: float) -> np.ndarray:
     """(settings, rows): each row's negative log-likelihood; the rows as `dealt` has them."""
-    gaps, at = np.unique(gap, return_inverse=True)
+    many, most = len(lam), int(sizes.max(initial=0))
     keeps = np.exp(-lam[:, None] * gaps)
-    off, noise, sigma2, out = shown - mu, c[:, None], sigma2[:, None], np.empty((len(lam), len(shown)))
-    most = int(sizes[0]) if len(sizes) else 0
-    level, var, keep, total, gain = np.zeros((len(lam), most)), np.empty((len(lam), most)), *(np.empty((len(lam), most)) for _ in range(3))
+    off, noise, sigma2, out = shown - mu, c[:, None], sigma2[:, None], np.empty((many, len(shown)))
+    level, var, room = np.zeros((many, most)), np.empty((many, most)), np.empty((3, many * most))
     var[:] = sigma2
     begin = 0
     for step, m in enumerate(sizes.tolist()):
         own = slice(begin, begin + m)
         begin += m
-        d, v, k, t, g, o = level[:, :m], var[:, :m], keep[:, :m], total[:, :m], gain[:, :m], out[:, own]
+        d, v, o = level[:, :m], var[:, :m], out[:, own]
+        k, t, g = (x[: many * m].reshape(many, m) for x in room)
         if step:  # level and variance before the row: d is the level less mu
-            k[:] = keeps.take(at[own], axis=1)
+            np.take(keeps, gap[own], axis=1, out=k, mode="clip")
             d *= k
             k *= k
             v *= k
@@ -191,14 +193,15 @@ def scored(packed: DataFrame, settings: list[list[tuple[float, float, float]]],
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for b in (b for frame in frames for b in frame.itertuples()):
-            sizes, gap, inverse, code, shown = (np.frombuffer(x, t) for x, t in ((b.sizes, "i4"), (b.gap, "i4"), (b.inverse, "f8"), (b.code, "i4"), (b.shown, "f8")))
+            sizes, gaps, gap, inverse, code, shown = (np.frombuffer(x, t) for x, t in ((b.sizes, "i4"), (b.gaps, "f8"), (b.gap, "i4"), (b.inverse, "f8"), (b.code, "i4"), (b.shown, "f8")))
+            gap, code = gap.astype(np.intp), code.astype(np.intp)
             count = np.bincount(code, minlength=len(b.periods))
             here = np.flatnonzero(count)
             for part, values in zip(b.parts, shown.reshape(len(b.parts), -1), strict=True):
                 asked = np.array(settings[part], float).reshape(-1, 3)
                 many = max(1, min(16, STEP_VALUES // max(sizes.max(initial=1), 1)))
                 for k in range(0, len(asked), many):
-                    sums = [np.bincount(code, line, len(count))[here] for line in terms(sizes, gap, inverse, values, *asked[k : k + many].T, mu[part])]
+                    sums = [np.bincount(code, line, len(count))[here] for line in terms(sizes, gaps, gap, inverse, values, *asked[k : k + many].T, mu[part])]
                     yield pd.DataFrame({"part": part, "setting": np.repeat(np.arange(k, k + len(sums)), len(here)), "period": np.tile(np.asarray(b.periods)[here], len(sums)), "nll": np.concatenate(sums), "n": np.tile(count[here], len(sums))})
 
     sums = packed.mapInPandas(run, f"part int, setting int, period {kind}, nll double, n long")

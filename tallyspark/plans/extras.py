@@ -233,10 +233,8 @@ def component_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     prediction, and its variance without and with what the components' surprises had in common in earlier seasons."""
     log = kept(component_log(spark, sf_dir))
     first = [r[0] for r in log.select("season").distinct().orderBy("season").limit(2).collect()]
-    settings = {}
-    for part in PLAYER_PARTS:
-        model = OuModel(log.where(F.col("season").isin(first)), "person_id", "game_date", part, "minutes", "season")
-        settings[part] = (*map(float, np.exp(model.fit([model.start]).at)), model.mu)
+    models = OuModel.each(log.where(F.col("season").isin(first)), "person_id", "game_date", list(PLAYER_PARTS), "minutes", "season")
+    settings = {part: (*map(float, np.exp(best.at)), model.mu) for part, model, best in zip(PLAYER_PARTS, models, M.fitted(models), strict=True)}
     return M.component_filters(log, "person_id", "game_date", "season", "minutes", settings).select("person_id", "game_date", "total", "pred", "var", "joint_var")
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from tallyspark.operators.likelihood import OuModel, Problem, component_filters, fitted, minimised
 from tallyspark.operators.statespace import Histories, dealt, ou_filter, ou_likelihood, scored
+from tallyspark.plans import QUERIES
 from tallyspark.plans.models import OU_GRID
 
 PLANTED = 0.03, 40.0, 150.0
@@ -145,3 +146,16 @@ def test_components_are_added_up_with_what_they_share(spark):
             joint += sum(2 * rho[i, j] * np.sqrt(var[i] * var[j]) for i in range(3) for j in range(i + 1, 3))
         if not early or key[0] < 3:
             assert (r["pred"], r["var"], r["joint_var"]) == tuple(map(pytest.approx, (sum(part[k][key][1] for k in "abc"), sum(var), joint)))
+
+
+def test_the_component_query_fits_its_parts_in_common_passes(spark, sf_dir):
+    """Five fits share their rows and passes: the query's jobs are those of one search, not of five."""
+    context = spark.sparkContext
+    context.setJobGroup("components", "")
+    try:
+        rows = QUERIES["q10_component_filters"](spark, sf_dir).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len({(r["person_id"], r["game_date"]) for r in rows}) == len(rows) > 0 and all(r["var"] > 0 and np.isfinite(r["pred"]) for r in rows)
+    jobs = len(context.statusTracker().getJobIdsForGroup("components"))
+    assert jobs < 300, jobs
